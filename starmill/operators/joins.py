@@ -6,6 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def with_match(left: DataFrame, right: DataFrame, on: dict[str, str]) -> DataFrame:
+    """Rows of ``left`` with at least one row of ``right``; ``on`` maps left to right columns.
+
+    The right keys are made distinct first. That dedups them on the map side, so
+    a key that repeats in a large part of ``right`` costs one row per task, and the
+    join reuses the partitioning of the distinct.
+    """
+    return _by_keys(left, right, on, "left_semi")
+
+
+def without_match(left: DataFrame, right: DataFrame, on: dict[str, str]) -> DataFrame:
+    """Rows of ``left`` without any row of ``right``; see ``with_match``."""
+    return _by_keys(left, right, on, "left_anti")
+
+
+def _by_keys(left: DataFrame, right: DataFrame, on: dict[str, str], how: str) -> DataFrame:
+    keys = right.select(*[F.col(r).alias(f"_key_{l}") for l, r in on.items()]).distinct()
+    condition = F.lit(True)
+    for column in on:
+        condition = condition & (F.col(column) == F.col(f"_key_{column}"))
+    return left.join(keys, condition, how)
+
+
 def null_aware_anti(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataFrame:
     """``left.key NOT IN (select right_key from right)`` with SQL's null rules.
 
@@ -19,8 +42,7 @@ def null_aware_anti(left: DataFrame, right: DataFrame, key: str, right_key: str)
     )
     no_rows = facts.select(F.col("n_rows") == 0).scalar()
     no_nulls = facts.select(F.col("n_rows") == F.col("n_keys")).scalar()
-    probe = right.select(F.col(right_key).alias("_anti_key")).filter("_anti_key is not null")
-    kept = left.join(probe, F.col(key) == F.col("_anti_key"), "left_anti")
+    kept = without_match(left, right.filter(F.col(right_key).isNotNull()), {key: right_key})
     return kept.filter(no_rows | (no_nulls & F.col(key).isNotNull()))
 
 

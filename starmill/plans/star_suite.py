@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from starmill.functions.money import mean, net_price, rounded, share
-from starmill.operators.joins import null_aware_anti, opposite_pairs
+from starmill.operators.joins import (
+    null_aware_anti, opposite_pairs, with_match, without_match)
 from starmill.sources.star import Star
 
 
@@ -108,12 +109,17 @@ def q03(star: Star, segment: str = "BUILDING", day: str = "1995-03-15",
         .select("o_orderkey", "o_custkey", "o_orderdate", "o_shippriority")
         .join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
     )
-    lines = star.lines(ship_from=_days_after(day, 1))
+    # The order key decides the other group columns, so lines are summed before
+    # the join and the join reuses the partitioning of that sum.
+    revenue = (
+        star.lines(ship_from=_days_after(day, 1))
+        .groupBy("l_orderkey")
+        .agg(F.sum(net_price()).alias("_revenue"))
+    )
     return _top(
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("l_orderkey", "o_orderdate", "o_shippriority")
-        .agg(rounded(F.sum(net_price())).alias("revenue"))
-        .select("l_orderkey", "revenue", "o_orderdate", "o_shippriority")
+        revenue.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select("l_orderkey", rounded(F.col("_revenue")).alias("revenue"), "o_orderdate",
+                "o_shippriority")
         .orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey"),
         limit,
     )
@@ -123,8 +129,8 @@ def q04(star: Star, day: str = "1993-07-01") -> DataFrame:
     """Orders of a quarter with at least one late line, per priority."""
     late = star.lineitem.filter(F.col("l_commitdate") < F.col("l_receiptdate"))
     return (
-        star.orders_between(day, _months_after(day, 3))
-        .join(late, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+        with_match(star.orders_between(day, _months_after(day, 3)), late,
+                   {"o_orderkey": "l_orderkey"})
         .groupBy("o_orderpriority")
         .agg(F.count(F.lit(1)).alias("order_count"))
         .orderBy("o_orderpriority")
@@ -289,12 +295,16 @@ def q09(star: Star, colour: str = "green", limit: int | None = None) -> DataFram
 
 def q10(star: Star, day: str = "1993-10-01", limit: int | None = 20) -> DataFrame:
     """Customers who returned the most value in a quarter."""
-    returned = star.lineitem.filter(F.col("l_returnflag") == "R")
+    returned = (
+        star.lineitem.filter(F.col("l_returnflag") == "R")
+        .groupBy("l_orderkey")
+        .agg(F.sum(net_price()).alias("_returned"))
+    )
     spent = (
         star.orders_between(day, _months_after(day, 3))
         .join(returned, F.col("o_orderkey") == F.col("l_orderkey"))
         .groupBy("o_custkey")
-        .agg(F.sum(net_price()).alias("_spent"))
+        .agg(F.sum("_returned").alias("_spent"))
     )
     # Customer columns depend on the key, so they are attached after the sum.
     return _top(
@@ -592,10 +602,10 @@ def q20(star: Star, colour: str = "forest", day: str = "1994-01-01",
         & (F.col("ps_availqty") * 2 > F.col("_sold")),
         "left_semi",
     )
+    suppliers = star.supplier.join(
+        _one_nation(star, nation), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
     return (
-        star.supplier
-        .join(_one_nation(star, nation), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
-        .join(excess, F.col("s_suppkey") == F.col("ps_suppkey"), "left_semi")
+        with_match(suppliers, excess, {"s_suppkey": "ps_suppkey"})
         .select("s_name", "s_address")
         .orderBy("s_name")
     )
@@ -649,8 +659,9 @@ def q22(star: Star,
         .scalar()
     )
     return (
-        candidates.filter(F.col("c_acctbal").cast("double") > average)
-        .join(star.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+        without_match(
+            candidates.filter(F.col("c_acctbal").cast("double") > average),
+            star.orders, {"c_custkey": "o_custkey"})
         .groupBy("cntrycode")
         .agg(F.count(F.lit(1)).alias("numcust"),
              rounded(F.sum("c_acctbal")).alias("totacctbal"))
