@@ -20,8 +20,8 @@ def _totals(name, table, key, text):
 
 _RAW = {
     "proj_arith": f"""
-        select {_LINE}, round(cast({_NET} as double), 2) as disc_price,
-               round(cast({_NET} * (1 + l_tax) as double), 2) as charge,
+        select {_LINE}, cast({_NET} as double) as disc_price,
+               cast({_NET} * (1 + l_tax) as double) as charge,
                round(100.00::double * cast(l_tax as double) / cast(l_extendedprice as double), 6)
                    as tax_percent,
                round(cast(l_extendedprice as double) / 7.0::double, 4) as weekly,

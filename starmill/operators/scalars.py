@@ -18,8 +18,8 @@ def proj_arith(star: Star) -> DataFrame:
     price = F.col("l_extendedprice").cast("double")
     return star.lineitem.select(
         *_LINE,
-        rounded(net_price()).alias("disc_price"),
-        rounded(net_price() * (1 + F.col("l_tax"))).alias("charge"),
+        net_price().cast("double").alias("disc_price"),
+        (net_price() * (1 + F.col("l_tax"))).cast("double").alias("charge"),
         F.round(100.00 * F.col("l_tax").cast("double") / price, 6).alias("tax_percent"),
         F.round(price / 7.0, 4).alias("weekly"),
         F.round(price / 2.0, 4).alias("half"),
