@@ -180,9 +180,10 @@ def partsupp(rows: DataFrame, scale: Scale, pool: Pool | None = None) -> DataFra
 
 # --- orders and line items ---------------------------------------------------
 
-def _order_draws(rows: DataFrame) -> DataFrame:
-    """Powers, date and line count of each order."""
-    jumped = rows.select("*", *[jump(F.col("row"), n).alias(f"j{n}") for n in (1, 2, 7, 14)])
+def _order_draws(rows: DataFrame, key: Column | None) -> DataFrame:
+    """Key, powers, date and line count of each order."""
+    key = sparse_key(F.col("row")) if key is None else key
+    jumped = rows.select("*", key.alias("key"), *[jump(F.col("row"), n).alias(f"j{n}") for n in (1, 2, 7, 14)])
     return jumped.select(
         "*",
         uniform(draw("order_date", F.col("j1"), 1), 0, DAYS_OF_ORDERS - 1).alias("day"),
@@ -219,13 +220,14 @@ def _line_fields(scale: Scale, line: Column | int) -> dict[str, Column]:
 
 
 def orders(rows: DataFrame, scale: Scale, pool: Pool | None = None,
-           set_number: Column | int = 0) -> DataFrame:
+           key: Column | None = None) -> DataFrame:
     """Orders with status and total from their own lines, without a join.
 
     The (at most seven) lines of an order depend on its row number only, so the
-    rollup is an expression over the row.
+    rollup is an expression over the row. ``key`` replaces the order key made from
+    the row number.
     """
-    drawn = _order_draws(rows)
+    drawn = _order_draws(rows, key)
     total, shipped = F.lit(0).cast("bigint"), F.lit(0)
     for line in range(1, MOST_LINES + 1):
         fields = _line_fields(scale, line)
@@ -240,7 +242,7 @@ def orders(rows: DataFrame, scale: Scale, pool: Pool | None = None,
     buyer = F.when(buyer % 3 != 0, buyer).when(
         buyer < scale.customers, buyer + 1).otherwise(buyer - 1)
     made = drawn.withColumns({"total": total, "shipped": shipped}).select(
-        sparse_key(F.col("row"), set_number).alias("o_orderkey"),
+        F.col("key").alias("o_orderkey"),
         buyer.alias("o_custkey"),
         F.when(F.col("shipped") == F.col("lines"), "F").when(F.col("shipped") > 0, "P")
         .otherwise("O").alias("o_orderstatus"),
@@ -255,13 +257,13 @@ def orders(rows: DataFrame, scale: Scale, pool: Pool | None = None,
 
 
 def lineitem(rows: DataFrame, scale: Scale, pool: Pool | None = None,
-             set_number: Column | int = 0) -> DataFrame:
+             key: Column | None = None) -> DataFrame:
     """Line items of the orders with the given row numbers.
 
     Only lines received by the cutoff draw a return flag, and they draw in turn. A
     bit per received line gives each line its place in that turn.
     """
-    drawn = _order_draws(rows)
+    drawn = _order_draws(rows, key)
     received = F.lit(0)
     for line in range(1, MOST_LINES + 1):
         receipt = (
@@ -274,11 +276,11 @@ def lineitem(rows: DataFrame, scale: Scale, pool: Pool | None = None,
     turn = F.bit_count(earlier) + 1
     fields = _line_fields(scale, F.col("line"))
     spread = lines.select(
-        "row", "line", "j7", "j14", turn.alias("turn"),
+        "key", "line", "j7", "j14", turn.alias("turn"),
         *[column.alias(name) for name, column in fields.items()])
     flag = pick(draw_at("line_return", F.col("j7"), F.col("turn"), MOST_LINES), words.RETURN_FLAGS)
     made = spread.select(
-        sparse_key(F.col("row"), set_number).alias("l_orderkey"),
+        F.col("key").alias("l_orderkey"),
         F.col("part").alias("l_partkey"),
         F.col("supplier").alias("l_suppkey"),
         F.col("line").alias("l_linenumber"),

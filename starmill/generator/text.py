@@ -119,29 +119,35 @@ class _Block:
             end[chosen], length[chosen] = at[chosen], total[chosen]
         return end, length
 
-    def _say(self, kind: str, at: int, out: list[str]) -> int:
-        for token in self._PHRASES[kind][self.phrase[kind][at]][0].split():
-            at += 1
-            out.append(self._WORDS[token[0]][self.word[token[0]][at]][0] + token[1:])
-        return at + 1
-
     def text(self, entry: int) -> str:
         """Sentences from ``entry`` to the end of the block, a space after each."""
-        sentences, start = [], entry
-        while start < self.count:
+        said = {k: [self._WORDS[k][i][0] for i in index.tolist()] for k, index in self.word.items()}
+        prep = [words.PREPOSITIONS[i][0] + " the" for i in self.prep.tolist()]
+        stop = [words.TERMINATORS[i][0] for i in self.stop.tolist()]
+        form = self.form.tolist()
+        phrase = {k: index.tolist() for k, index in self.phrase.items()}
+        sentence_forms = [f.split() for f, _ in words.SENTENCES]
+        phrase_forms = {k: [[(t[0], t[1:]) for t in f.split()] for f, _ in forms]
+                        for k, forms in self._PHRASES.items()}
+        sentences, at = [], entry
+        while at < self.count:
             out: list[str] = []
-            at = start + 1
-            for token in words.SENTENCES[self.form[start]][0].split():
+            tokens = sentence_forms[form[at]]
+            at += 1
+            for token in tokens:
                 if token == "T":
-                    out[-1] += words.TERMINATORS[self.stop[at]][0]
+                    out[-1] += stop[at]
+                    at += 1
+                    continue
+                if token == "P":
+                    out.append(prep[at])
                     at += 1
-                elif token == "P":
-                    out.append(words.PREPOSITIONS[self.prep[at]][0] + " the")
-                    at = self._say("N", at + 1, out)
-                else:
-                    at = self._say(token, at, out)
+                    token = "N"
+                for kind, mark in phrase_forms[token][phrase[token][at]]:
+                    at += 1
+                    out.append(said[kind][at] + mark)
+                at += 1
             sentences.append(" ".join(out))
-            start = at
         return " ".join(sentences) + " " if sentences else ""
 
 
@@ -166,10 +172,24 @@ def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Text of each block, cut at the piece bounds.
+
+    A piece also takes the first OVERLAP characters of the next one.
+    """
     for batch in batches:
         for row in batch.itertuples():
             block = _Block(int(row.block) * BLOCK_DRAWS, BLOCK_DRAWS)
-            yield pd.DataFrame({"first": [row.first], "text": [block.text(int(row.entry))]})
+            first = int(row.first)
+            text = block.text(int(row.entry))[:int(row.stop) - first]
+            stop = first + len(text)
+            numbers = range(max(0, (first - OVERLAP) // PIECE), (stop - 1) // PIECE + 1)
+            starts = [max(first, n * PIECE) for n in numbers]
+            yield pd.DataFrame({
+                "piece": numbers,
+                "at": starts,
+                "part": [text[at - first:n * PIECE + PIECE + OVERLAP - first]
+                         for n, at in zip(numbers, starts)],
+            })
 
 
 def build_pool(spark: SparkSession, path: str, characters: int = words.POOL_CHARACTERS) -> Pool:
@@ -177,7 +197,7 @@ def build_pool(spark: SparkSession, path: str, characters: int = words.POOL_CHAR
 
     A shorter pool moves the comments of all rows; it serves tests only.
     """
-    blocks = max(1, int(characters / 3.5) // BLOCK_DRAWS + 1)
+    blocks = int(characters / 4.8) // BLOCK_DRAWS + 1  # a draw adds about five characters
     while True:
         # One row per block, at most a few hundred: the pool has a fixed size.
         chains = sorted(
@@ -186,7 +206,7 @@ def build_pool(spark: SparkSession, path: str, characters: int = words.POOL_CHAR
             .collect(), key=lambda r: r["block"])
         entry, first, plan = 0, 0, []
         for row in chains:
-            plan.append((row["block"], entry, first))
+            plan.append((row["block"], entry, first, characters))
             first += row["chars"][entry]
             entry = row["exits"][entry]
             if first >= characters:
@@ -194,25 +214,10 @@ def build_pool(spark: SparkSession, path: str, characters: int = words.POOL_CHAR
         if first >= characters:
             break
         blocks *= 2
-    texts = (
-        spark.createDataFrame(plan, "block bigint, entry bigint, first bigint")
+    parts = (
+        spark.createDataFrame(plan, "block bigint, entry bigint, first bigint, stop bigint")
         .repartitionByRange(len(plan), "block")
-        .mapInPandas(_texts, "first bigint, text string")
-    )
-    # Cut each block's text at the piece bounds, then join the parts of a piece. A piece
-    # also takes the first OVERLAP characters of the next one.
-    start = F.col("first")
-    stop = F.least(start + F.length("text"), F.lit(characters))
-    numbers = F.sequence(
-        F.greatest(F.lit(0), F.floor((start - OVERLAP) / PIECE)), F.floor((stop - 1) / PIECE))
-    cut = texts.withColumn("text", F.substring("text", F.lit(1), (stop - start).cast("int")))
-    parts = cut.select("first", "text", F.explode(numbers).alias("piece")).select(
-        "piece",
-        F.greatest("first", F.col("piece") * PIECE).alias("at"),
-        F.expr(
-            f"substring(text, cast(greatest(piece * {PIECE} - first, 0) + 1 as int),"
-            f" cast(piece * {PIECE} + {PIECE + OVERLAP} - greatest(first, piece * {PIECE}) as int))"
-        ).alias("part"),
+        .mapInPandas(_texts, "piece bigint, at bigint, part string")
     )
     pieces = parts.groupBy("piece").agg(
         F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts")
