@@ -21,10 +21,14 @@ def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int)
     return df.sparkSession.table(table)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's size estimate; for a stored table it comes from the file sizes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def reference_copy(df: DataFrame, limit_bytes: int = REFERENCE_LIMIT_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast if its estimated size is below the limit, else leave it."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= limit_bytes else df
+    return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
 
 
 def append(df: DataFrame, path: str) -> None:

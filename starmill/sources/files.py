@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from starmill.operators.layout import REFERENCE_LIMIT_BYTES, estimated_bytes
+
 # Column order and types of the delimited files.
 _DDL = {
     "nation": "n_nationkey int, n_name string, n_regionkey int, n_comment string",
@@ -185,10 +187,11 @@ def table_size(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
         F.coalesce("tbl", F.lit("total")).alias("tbl"), "rows", "bytes")
 
 
-def warm_cache(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """Keep the tables cached and count each of them."""
+def warm_cache(tables: dict[str, DataFrame]) -> DataFrame:
+    """Count every table; tables small enough to be copied to all tasks stay cached."""
     counts = None
     for name, df in tables.items():
-        row = df.cache().agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tbl"), "n")
+        kept = df.cache() if estimated_bytes(df) <= REFERENCE_LIMIT_BYTES else df
+        row = kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tbl"), "n")
         counts = row if counts is None else counts.unionByName(row)
     return counts
