@@ -77,7 +77,7 @@ _RAW = {
             select 1 from (select distinct string_split(value, ' ')[1] as id from {_TRACES}
                            where lower(value) like '%shard%') where contains(a.value, id))""",
     "log_success": f"select not bool_or(lower(value) like '%shard%') as success from {_TRACES}",
-    "stream_refresh": """
+    "stream_refresh_apply": """
         select o_orderstatus, count(*) as orders, round(cast(sum(q) as double), 2) as quantity
         from (
             select k, o_orderstatus, (select sum(l_quantity) from x_lineitem

@@ -17,7 +17,7 @@ from starmill.plans import star_suite
 from starmill.plans.star_runs import PARAMETERS
 from starmill.sources import files
 from starmill.sources.star import Star
-from starmill.streaming.refresh import stream_refresh_apply
+from starmill.streaming.refresh import apply_arrived
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -222,7 +222,7 @@ def log_success(star: Star) -> DataFrame:
 SHIFT = 10_000_000
 
 
-def stream_refresh(star: Star, sets: int = 3) -> DataFrame:
+def stream_refresh_apply(star: Star, sets: int = 3) -> DataFrame:
     """Sets of new orders with their lines and of deletes, taken in as a stream.
 
     Set s inserts the orders with key % 30 = s under shifted keys and deletes those of
@@ -241,7 +241,7 @@ def stream_refresh(star: Star, sets: int = 3) -> DataFrame:
         files.write_tbl(
             star.raw("events").filter(F.col("event_id") % 30 == number).select("event_id"),
             f"{incoming}/delete.{number}")
-    after_orders, after_lines = stream_refresh_apply(spark, incoming, work, orders, lines)
+    after_orders, after_lines = apply_arrived(spark, incoming, work, orders, lines)
     per_order = after_lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
     return (
         after_orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -279,7 +279,7 @@ PLANS = (
     scan_parquet, read_tbl, write_tbl, write_tbl_chunks, csv_export, csv_import, read_golden,
     compare_answers, write_metrics_csv, split_columns, head_per_file, last_row_per_chunk,
     table_size, warm_cache, parse_bench_log, ch_timings, ch_qph, nopm, log_trace_filter,
-    log_success, stream_refresh, stream_run,
+    log_success, stream_refresh_apply, stream_run,
 )
 
 

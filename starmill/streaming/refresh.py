@@ -71,8 +71,8 @@ def _apply(base: DataFrame, inserted: DataFrame, deleted: DataFrame, key: str) -
     ).drop("set_number")
 
 
-def stream_refresh_apply(spark: SparkSession, incoming: str, work: str, orders: DataFrame,
-                         lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_arrived(spark: SparkSession, incoming: str, work: str, orders: DataFrame,
+                  lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Take in what has arrived and return orders and lines with all sets applied."""
     collect_changes(spark, incoming, work)
     log = spark.read.schema("value string, kind string, set_number bigint, batch bigint").parquet(
