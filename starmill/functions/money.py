@@ -7,8 +7,23 @@ from pyspark.sql import functions as F
 
 
 def net_price() -> Column:
-    """Line price after discount, exact to four decimals."""
-    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    """Line price after discount, in ten-thousandths."""
+    return F.col("l_price_cents") * (100 - F.col("l_discount_percent"))
+
+
+def exact_sum(units: Column | str, digits: int) -> Column:
+    """Sum of whole numbers in units of 10^-digits, as an exact decimal.
+
+    A row's product fits 64 bits; the sum over a large table need not, so it is kept
+    in a decimal.
+    """
+    units = F.col(units) if isinstance(units, str) else units
+    unit = F.lit("0." + "0" * (digits - 1) + "1").cast(f"decimal({digits + 1},{digits})")
+    return F.sum(units.cast("decimal(20,0)")) * unit
+
+
+def net_sum() -> Column:
+    return exact_sum(net_price(), 4)
 
 
 def rounded(total: Column, digits: int = 2) -> Column:
@@ -16,6 +31,10 @@ def rounded(total: Column, digits: int = 2) -> Column:
     return F.round(total.cast("double"), digits)
 
 
+def exact_mean(units: str, digits: int) -> Column:
+    return F.round(exact_sum(units, digits).cast("double") / F.count(units), 4)
+
+
 def mean(column: str | Column, digits: int = 4) -> Column:
     """Average from the exact sum, so that it does not depend on the row order."""
     value = F.col(column) if isinstance(column, str) else column

@@ -191,32 +191,29 @@ def _order_draws(rows: DataFrame, key: Column | None) -> DataFrame:
     )
 
 
-def _line_fields(scale: Scale, line: Column | int) -> dict[str, Column]:
-    """Numeric fields of line ``line`` of an order, as offsets and cents."""
-    j7 = F.col("j7")
-
-    def value(stream: str) -> Column:
-        if isinstance(line, int):
-            return draw(stream, j7, line)
-        return draw_at(stream, j7, line, MOST_LINES)
-
-    part_key = uniform(value("line_part"), 1, scale.parts)
-    ship = F.col("day") + uniform(value("line_ship"), 1, 121)
-    quantity = uniform(value("line_quantity"), 1, 50)
-    return {
-        "part": part_key,
-        "supplier": offered_supplier(
-            part_key, uniform(value("line_supplier"), 0, 3), scale.suppliers),
-        "quantity": quantity,
-        "price": retail_price(part_key) * quantity,
-        "discount": uniform(value("line_discount"), 0, 10),
-        "tax": uniform(value("line_tax"), 0, 8),
-        "ship": ship,
-        "commit": F.col("day") + uniform(value("line_commit"), 30, 90),
-        "receipt": ship + uniform(value("line_receipt"), 1, 30),
-        "instruction": pick(value("line_instruction"), words.INSTRUCTIONS),
-        "mode": pick(value("line_mode"), words.SHIP_MODES),
-    }
+def _line_draw(stream: str, line: Column) -> Column:
+    return draw_at(stream, F.col("j7"), line, MOST_LINES)
+
+
+def _line_part(scale: Scale, line: Column) -> Column:
+    return uniform(_line_draw("line_part", line), 1, scale.parts)
+
+
+def _line_quantity(line: Column) -> Column:
+    return uniform(_line_draw("line_quantity", line), 1, 50)
+
+
+def _line_discount(line: Column) -> Column:
+    return uniform(_line_draw("line_discount", line), 0, 10)
+
+
+def _line_tax(line: Column) -> Column:
+    return uniform(_line_draw("line_tax", line), 0, 8)
+
+
+def _line_ship(line: Column) -> Column:
+    """Day a line ships, counted from the start date."""
+    return F.col("day") + uniform(_line_draw("line_ship", line), 1, 121)
 
 
 def orders(rows: DataFrame, scale: Scale, pool: Pool | None = None,
@@ -228,25 +225,30 @@ def orders(rows: DataFrame, scale: Scale, pool: Pool | None = None,
     the row number.
     """
     drawn = _order_draws(rows, key)
-    total, shipped = F.lit(0).cast("bigint"), F.lit(0)
-    for line in range(1, MOST_LINES + 1):
-        fields = _line_fields(scale, line)
-        used = F.col("lines") >= line
-        net = F.floor(fields["price"] * (100 - fields["discount"]) / 100)
-        cents = F.floor(net * (100 + fields["tax"]) / 100)
-        total = total + F.when(used, cents).otherwise(0)
-        shipped = shipped + F.when(used & (fields["ship"] <= _CUTOFF), 1).otherwise(0)
+
+    def add_line(so_far: Column, line: Column) -> Column:
+        price = retail_price(_line_part(scale, line)) * _line_quantity(line)
+        net = F.floor(price * (100 - _line_discount(line)) / 100)
+        cents = F.floor(net * (100 + _line_tax(line)) / 100)
+        return F.struct(
+            (so_far["total"] + cents).alias("total"),
+            (so_far["shipped"] + F.when(_line_ship(line) <= _CUTOFF, 1).otherwise(0))
+            .alias("shipped"))
+
+    nothing = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("shipped"))
+    drawn = drawn.withColumn("sum", F.aggregate(
+        F.sequence(F.lit(1), F.col("lines").cast("int")), nothing, add_line))
     j1 = F.col("j1")
     buyer = uniform(draw("order_customer", j1, 1), 1, scale.customers)
     # A third of customers place no orders: multiples of three move to a neighbour.
     buyer = F.when(buyer % 3 != 0, buyer).when(
         buyer < scale.customers, buyer + 1).otherwise(buyer - 1)
-    made = drawn.withColumns({"total": total, "shipped": shipped}).select(
+    made = drawn.select(
         F.col("key").alias("o_orderkey"),
         buyer.alias("o_custkey"),
-        F.when(F.col("shipped") == F.col("lines"), "F").when(F.col("shipped") > 0, "P")
+        F.when(F.col("sum.shipped") == F.col("lines"), "F").when(F.col("sum.shipped") > 0, "P")
         .otherwise("O").alias("o_orderstatus"),
-        _money(F.col("total")).alias("o_totalprice"),
+        _money(F.col("sum.total")).alias("o_totalprice"),
         _day(F.col("day")).alias("o_orderdate"),
         pick(draw("order_priority", j1, 1), words.PRIORITIES).alias("o_orderpriority"),
         _tag("Clerk#", uniform(draw("order_clerk", j1, 1), 1, scale.clerks)).alias("o_clerk"),
@@ -274,27 +276,32 @@ def lineitem(rows: DataFrame, scale: Scale, pool: Pool | None = None,
         "line", F.explode(F.sequence(F.lit(1), F.col("lines").cast("int"))))
     earlier = F.col("received").bitwiseAND(F.expr("shiftleft(1, line) - 1"))
     turn = F.bit_count(earlier) + 1
-    fields = _line_fields(scale, F.col("line"))
+    line = F.col("line")
     spread = lines.select(
-        "key", "line", "j7", "j14", turn.alias("turn"),
-        *[column.alias(name) for name, column in fields.items()])
+        "key", "line", "j7", "j14", "day", turn.alias("turn"),
+        _line_part(scale, line).alias("part"),
+        uniform(_line_draw("line_supplier", line), 0, 3).alias("slot"),
+        _line_quantity(line).alias("quantity"),
+        _line_ship(line).alias("ship"),
+    ).withColumn("receipt", F.col("ship") + uniform(_line_draw("line_receipt", line), 1, 30))
     flag = pick(draw_at("line_return", F.col("j7"), F.col("turn"), MOST_LINES), words.RETURN_FLAGS)
     made = spread.select(
         F.col("key").alias("l_orderkey"),
         F.col("part").alias("l_partkey"),
-        F.col("supplier").alias("l_suppkey"),
+        offered_supplier(F.col("part"), F.col("slot"), scale.suppliers).alias("l_suppkey"),
         F.col("line").alias("l_linenumber"),
         F.col("quantity").cast("decimal(12,2)").alias("l_quantity"),
-        _money(F.col("price")).alias("l_extendedprice"),
-        _hundredths(F.col("discount")).alias("l_discount"),
-        _hundredths(F.col("tax")).alias("l_tax"),
+        _money(retail_price(F.col("part")) * F.col("quantity")).alias("l_extendedprice"),
+        _hundredths(_line_discount(line)).alias("l_discount"),
+        _hundredths(_line_tax(line)).alias("l_tax"),
         F.when(F.col("receipt") <= _CUTOFF, flag).otherwise("N").alias("l_returnflag"),
         F.when(F.col("ship") <= _CUTOFF, "F").otherwise("O").alias("l_linestatus"),
         _day(F.col("ship")).alias("l_shipdate"),
-        _day(F.col("commit")).alias("l_commitdate"),
+        _day(F.col("day") + uniform(_line_draw("line_commit", line), 30, 90))
+        .alias("l_commitdate"),
         _day(F.col("receipt")).alias("l_receiptdate"),
-        F.col("instruction").alias("l_shipinstruct"),
-        F.col("mode").alias("l_shipmode"),
+        pick(_line_draw("line_instruction", line), words.INSTRUCTIONS).alias("l_shipinstruct"),
+        pick(_line_draw("line_mode", line), words.SHIP_MODES).alias("l_shipmode"),
         "j14", "line",
     )
     return _with_comment(

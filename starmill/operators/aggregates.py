@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starmill.functions.money import mean, net_price, rounded
+from starmill.functions.money import exact_sum, mean, net_price, net_sum, rounded
 from starmill.sources.star import Star
 
 
@@ -18,8 +18,8 @@ def agg_group_multi(star: Star) -> DataFrame:
 
 
 def agg_global(star: Star) -> DataFrame:
-    return star.lineitem.agg(
-        rounded(F.sum(net_price())).alias("revenue"), F.count(F.lit(1)).alias("n"))
+    return star.facts().agg(
+        rounded(net_sum()).alias("revenue"), F.count(F.lit(1)).alias("n"))
 
 
 def agg_count_col(star: Star) -> DataFrame:
@@ -46,12 +46,12 @@ def agg_min_max(star: Star) -> DataFrame:
 
 
 def agg_conditional(star: Star) -> DataFrame:
-    promo = F.sum(F.when(F.col("p_type").startswith("PROMO"), net_price()).otherwise(0))
+    promo = exact_sum(F.when(F.col("p_type").startswith("PROMO"), net_price()).otherwise(0), 4)
     return (
-        star.lineitem.join(star.part, F.col("l_partkey") == F.col("p_partkey"))
+        star.facts().join(star.part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("l_returnflag")
         .agg(rounded(promo).alias("promo"),
-             F.round(100.0 * promo.cast("double") / F.sum(net_price()).cast("double"), 4)
+             F.round(100.0 * promo.cast("double") / net_sum().cast("double"), 4)
              .alias("percent"))
     )
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starmill.functions.money import net_price, rounded
+from starmill.functions.money import net_sum, rounded
 from starmill.functions.shared import shared_dir
 from starmill.operators.joins import null_aware_anti, opposite_pairs, with_match, without_match
 from starmill.operators.layout import write_bucketed
@@ -45,13 +45,13 @@ def join_multiway(star: Star) -> DataFrame:
     orders = star.orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", "r_name")
     return (
-        star.lineitem
+        star.facts()
         .join(star.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
         .join(star.supplier.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"),
               "left_semi")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("r_name", "p_type")
-        .agg(rounded(F.sum(net_price())).alias("revenue"), F.count(F.lit(1)).alias("n"))
+        .agg(rounded(net_sum()).alias("revenue"), F.count(F.lit(1)).alias("n"))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starmill.functions.money import net_price, rounded
+from starmill.functions.money import rounded
 from starmill.sources.star import Star
 
 _LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -16,10 +16,11 @@ _LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 def proj_arith(star: Star) -> DataFrame:
     """Discounted and taxed prices, percentages and fractions, from exact decimals."""
     price = F.col("l_extendedprice").cast("double")
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return star.lineitem.select(
         *_LINE,
-        net_price().cast("double").alias("disc_price"),
-        (net_price() * (1 + F.col("l_tax"))).cast("double").alias("charge"),
+        net.cast("double").alias("disc_price"),
+        (net * (1 + F.col("l_tax"))).cast("double").alias("charge"),
         F.round(100.00 * F.col("l_tax").cast("double") / price, 6).alias("tax_percent"),
         F.round(price / 7.0, 4).alias("weekly"),
         F.round(price / 2.0, 4).alias("half"),

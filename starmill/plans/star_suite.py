@@ -11,12 +11,14 @@ when their measured size allows and shuffles them otherwise.
 from __future__ import annotations
 
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from starmill.functions.money import mean, net_price, rounded, share
+from starmill.functions.money import (
+    exact_mean, exact_sum, net_price, net_sum, rounded, share)
 from starmill.operators.joins import (
     null_aware_anti, opposite_pairs, with_match, without_match)
 from starmill.sources.star import Star
@@ -52,18 +54,18 @@ def _one_nation(star: Star, name: str) -> DataFrame:
 
 def q01(star: Star, days: int = 90) -> DataFrame:
     """Pricing summary per return flag and line status."""
-    lines = star.lines(ship_before=_days_after("1998-12-01", 1 - days))
-    net = net_price()
+    lines = star.facts(ship_before=_days_after("1998-12-01", 1 - days))
+    charge = net_price() * (100 + F.col("l_tax_percent"))
     return (
         lines.groupBy("l_returnflag", "l_linestatus")
         .agg(
-            rounded(F.sum("l_quantity")).alias("sum_qty"),
-            rounded(F.sum("l_extendedprice")).alias("sum_base_price"),
-            rounded(F.sum(net)).alias("sum_disc_price"),
-            rounded(F.sum(net * (1 + F.col("l_tax")))).alias("sum_charge"),
-            mean("l_quantity").alias("avg_qty"),
-            mean("l_extendedprice").alias("avg_price"),
-            mean("l_discount").alias("avg_disc"),
+            rounded(exact_sum("l_quantity_cents", 2)).alias("sum_qty"),
+            rounded(exact_sum("l_price_cents", 2)).alias("sum_base_price"),
+            rounded(net_sum()).alias("sum_disc_price"),
+            rounded(exact_sum(charge, 6)).alias("sum_charge"),
+            exact_mean("l_quantity_cents", 2).alias("avg_qty"),
+            exact_mean("l_price_cents", 2).alias("avg_price"),
+            exact_mean("l_discount_percent", 2).alias("avg_disc"),
             F.count(F.lit(1)).alias("count_order"),
         )
         .orderBy("l_returnflag", "l_linestatus")
@@ -112,9 +114,9 @@ def q03(star: Star, segment: str = "BUILDING", day: str = "1995-03-15",
     # The order key decides the other group columns, so lines are summed before
     # the join and the join reuses the partitioning of that sum.
     revenue = (
-        star.lines(ship_from=_days_after(day, 1))
+        star.facts(ship_from=_days_after(day, 1))
         .groupBy("l_orderkey")
-        .agg(F.sum(net_price()).alias("_revenue"))
+        .agg(net_sum().alias("_revenue"))
     )
     return _top(
         revenue.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -127,7 +129,7 @@ def q03(star: Star, segment: str = "BUILDING", day: str = "1995-03-15",
 
 def q04(star: Star, day: str = "1993-07-01") -> DataFrame:
     """Orders of a quarter with at least one late line, per priority."""
-    late = star.lineitem.filter(F.col("l_commitdate") < F.col("l_receiptdate"))
+    late = star.facts().filter(F.col("l_commitdate") < F.col("l_receiptdate"))
     return (
         with_match(star.orders_between(day, _months_after(day, 3)), late,
                    {"o_orderkey": "l_orderkey"})
@@ -147,7 +149,7 @@ def q05(star: Star, region: str = "ASIA", day: str = "1994-01-01") -> DataFrame:
         star.customer, F.col("o_custkey") == F.col("c_custkey")
     ).select("o_orderkey", "c_nationkey")
     return (
-        star.lineitem
+        star.facts()
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(
             suppliers,
@@ -155,7 +157,7 @@ def q05(star: Star, region: str = "ASIA", day: str = "1994-01-01") -> DataFrame:
             & (F.col("c_nationkey") == F.col("s_nationkey")),
         )
         .groupBy("n_name")
-        .agg(rounded(F.sum(net_price())).alias("revenue"))
+        .agg(rounded(net_sum()).alias("revenue"))
         .orderBy(F.desc("revenue"))
     )
 
@@ -163,13 +165,13 @@ def q05(star: Star, region: str = "ASIA", day: str = "1994-01-01") -> DataFrame:
 def q06(star: Star, day: str = "1994-01-01", discount: str = "0.06",
         quantity: int = 24) -> DataFrame:
     """Revenue gain from small discounted lines."""
-    middle = F.lit(discount).cast("decimal(4,2)")
-    step = F.lit("0.01").cast("decimal(4,2)")
+    percent = int(Decimal(discount) * 100)
     return (
-        star.lines(ship_from=day, ship_before=_months_after(day, 12))
-        .filter(F.col("l_discount").between(middle - step, middle + step))
-        .filter(F.col("l_quantity") < quantity)
-        .agg(rounded(F.sum(F.col("l_extendedprice") * F.col("l_discount"))).alias("revenue"))
+        star.facts(ship_from=day, ship_before=_months_after(day, 12))
+        .filter(F.col("l_discount_percent").between(percent - 1, percent + 1))
+        .filter(F.col("l_quantity_cents") < quantity * 100)
+        .agg(rounded(exact_sum(F.col("l_price_cents") * F.col("l_discount_percent"), 4))
+             .alias("revenue"))
     )
 
 
@@ -187,7 +189,7 @@ def _two_nation_volume(star: Star, one: str, other: str) -> DataFrame:
         customers, F.col("o_custkey") == F.col("c_custkey")
     ).select("o_orderkey", "c_nationkey")
     return (
-        star.lines("1995-01-01", "1997-01-01")
+        star.facts("1995-01-01", "1997-01-01")
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(
@@ -209,7 +211,7 @@ def q07(star: Star, nation1: str = "FRANCE", nation2: str = "GERMANY") -> DataFr
     return (
         _two_nation_volume(star, nation1, nation2)
         .groupBy("supp_nation", "cust_nation", "l_year")
-        .agg(rounded(F.sum("volume")).alias("revenue"))
+        .agg(rounded(exact_sum("volume", 4)).alias("revenue"))
         .orderBy("supp_nation", "cust_nation", "l_year")
     )
 
@@ -225,7 +227,7 @@ def _market_volumes(star: Star, region: str, part_type: str) -> DataFrame:
         F.broadcast(star.nation), F.col("s_nationkey") == F.col("n_nationkey")
     ).select("s_suppkey", "n_name")
     return (
-        star.lineitem
+        star.facts()
         .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -240,11 +242,11 @@ def _market_volumes(star: Star, region: str, part_type: str) -> DataFrame:
 def q08(star: Star, nation: str = "BRAZIL", region: str = "AMERICA",
         part_type: str = "ECONOMY ANODIZED STEEL") -> DataFrame:
     """Market share of a nation within a region for one part type."""
-    own = F.sum(F.when(F.col("nation") == nation, F.col("volume")).otherwise(0))
+    own = exact_sum(F.when(F.col("nation") == nation, F.col("volume")).otherwise(0), 4)
     return (
         _market_volumes(star, region, part_type)
         .groupBy("o_year")
-        .agg(share(own, F.sum("volume")).alias("mkt_share"))
+        .agg(share(own, exact_sum("volume", 4)).alias("mkt_share"))
         .orderBy("o_year")
     )
 
@@ -252,11 +254,11 @@ def q08(star: Star, nation: str = "BRAZIL", region: str = "AMERICA",
 def q08a(star: Star, nation: str = "BRAZIL", region: str = "AMERICA",
          part_type: str = "ECONOMY ANODIZED STEEL") -> DataFrame:
     """``q08`` spelled with DECODE."""
-    own = F.expr("sum(decode(nation, :nation, volume, 0))".replace(":nation", f"'{nation}'"))
+    own = exact_sum(F.expr(f"decode(nation, '{nation}', volume, 0L)"), 4)
     return (
         _market_volumes(star, region, part_type)
         .groupBy("o_year")
-        .agg(share(own, F.sum("volume")).alias("mkt_share"))
+        .agg(share(own, exact_sum("volume", 4)).alias("mkt_share"))
         .orderBy("o_year")
     )
 
@@ -267,11 +269,13 @@ def q09(star: Star, colour: str = "green", limit: int | None = None) -> DataFram
     suppliers = star.supplier.join(
         F.broadcast(star.nation), F.col("s_nationkey") == F.col("n_nationkey")
     ).select("s_suppkey", "n_name")
-    lines = star.lineitem.join(
+    lines = star.facts().join(
         parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-    costs = star.partsupp.select("ps_partkey", "ps_suppkey", "ps_supplycost").join(
+    cost_cents = (F.col("ps_supplycost") * 100).cast("bigint").alias("cost_cents")
+    costs = star.partsupp.select("ps_partkey", "ps_suppkey", cost_cents).join(
         parts, F.col("ps_partkey") == F.col("p_partkey"), "left_semi")
-    amount = net_price() - F.col("ps_supplycost") * F.col("l_quantity")
+    # Both terms are in ten-thousandths.
+    amount = net_price() - F.col("cost_cents") * F.col("l_quantity_cents")
     return _top(
         lines
         .join(
@@ -287,7 +291,7 @@ def q09(star: Star, colour: str = "green", limit: int | None = None) -> DataFram
             amount.alias("amount"),
         )
         .groupBy("nation", "o_year")
-        .agg(rounded(F.sum("amount")).alias("sum_profit"))
+        .agg(rounded(exact_sum("amount", 4)).alias("sum_profit"))
         .orderBy("nation", F.desc("o_year")),
         limit,
     )
@@ -296,9 +300,9 @@ def q09(star: Star, colour: str = "green", limit: int | None = None) -> DataFram
 def q10(star: Star, day: str = "1993-10-01", limit: int | None = 20) -> DataFrame:
     """Customers who returned the most value in a quarter."""
     returned = (
-        star.lineitem.filter(F.col("l_returnflag") == "R")
+        star.facts().filter(F.col("l_returnflag") == "R")
         .groupBy("l_orderkey")
-        .agg(F.sum(net_price()).alias("_returned"))
+        .agg(net_sum().alias("_returned"))
     )
     spent = (
         star.orders_between(day, _months_after(day, 3))
@@ -340,7 +344,7 @@ def q11(star: Star, nation: str = "GERMANY", fraction: float = 0.0001) -> DataFr
 
 
 def _mode_lines(star: Star, mode1: str, mode2: str, day: str) -> DataFrame:
-    late = star.lineitem.filter(
+    late = star.facts().filter(
         F.col("l_shipmode").isin(mode1, mode2)
         & (F.col("l_commitdate") < F.col("l_receiptdate"))
         & (F.col("l_shipdate") < F.col("l_commitdate"))
@@ -422,16 +426,16 @@ def q13a(star: Star, word1: str = "special", word2: str = "requests") -> DataFra
 
 
 def _month_lines_with_type(star: Star, day: str) -> DataFrame:
-    return star.lines(day, _months_after(day, 1)).join(
+    return star.facts(day, _months_after(day, 1)).join(
         star.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
 
 
 def q14(star: Star, day: str = "1995-09-01", limit: int | None = None) -> DataFrame:
     """Share of revenue from promotional parts in a month."""
-    promo = F.sum(F.when(F.col("p_type").startswith("PROMO"), net_price()).otherwise(0))
+    promo = exact_sum(F.when(F.col("p_type").startswith("PROMO"), net_price()).otherwise(0), 4)
     return _top(
         _month_lines_with_type(star, day).agg(
-            F.round(100.0 * promo.cast("double") / F.sum(net_price()).cast("double"), 4)
+            F.round(100.0 * promo.cast("double") / net_sum().cast("double"), 4)
             .alias("promo_revenue")),
         limit,
     )
@@ -439,18 +443,19 @@ def q14(star: Star, day: str = "1995-09-01", limit: int | None = None) -> DataFr
 
 def q14a(star: Star, day: str = "1995-09-01") -> DataFrame:
     """``q14`` spelled with DECODE over a prefix."""
-    promo = F.expr(
-        "sum(decode(substring(p_type, 1, 5), 'PROMO', l_extendedprice * (1 - l_discount), 0))")
+    promo = exact_sum(F.expr(
+        "decode(substring(p_type, 1, 5), 'PROMO', l_price_cents * (100 - l_discount_percent), 0L)"
+    ), 4)
     return _month_lines_with_type(star, day).agg(
-        F.round(100.0 * promo.cast("double") / F.sum(net_price()).cast("double"), 4)
+        F.round(100.0 * promo.cast("double") / net_sum().cast("double"), 4)
         .alias("promo_revenue"))
 
 
 def _quarter_revenue(star: Star, day: str) -> DataFrame:
     return (
-        star.lines(day, _months_after(day, 3))
+        star.facts(day, _months_after(day, 3))
         .groupBy(F.col("l_suppkey").alias("supplier_no"))
-        .agg(F.sum(net_price()).alias("total_revenue"))
+        .agg(net_sum().alias("total_revenue"))
     )
 
 
@@ -517,14 +522,14 @@ def q17(star: Star, brand: str = "Brand#23", container: str = "MED BOX") -> Data
     parts = star.part.filter(
         (F.col("p_brand") == brand) & (F.col("p_container") == container)).select("p_partkey")
     by_quantity = (
-        star.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-        .groupBy("l_partkey", "l_quantity")
-        .agg(F.sum("l_extendedprice").alias("price"), F.count(F.lit(1)).alias("n"))
+        star.facts().join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+        .groupBy("l_partkey", "l_quantity_cents")
+        .agg(exact_sum("l_price_cents", 2).alias("price"), F.count(F.lit(1)).alias("n"))
     )
     part = W.partitionBy("l_partkey")
     # quantity < 0.2 * sum / count, kept exact by multiplying out
-    small = F.col("l_quantity") * F.sum("n").over(part) * 5 < F.sum(
-        F.col("l_quantity") * F.col("n")).over(part)
+    small = F.col("l_quantity_cents") * F.sum("n").over(part) * 5 < F.sum(
+        F.col("l_quantity_cents") * F.col("n")).over(part)
     return (
         by_quantity.withColumn("small", small)
         .filter("small")
@@ -539,8 +544,8 @@ def q18(star: Star, quantity: int = 300, limit: int | None = 100) -> DataFrame:
     lines are read and summed once.
     """
     large = (
-        star.lineitem.groupBy("l_orderkey")
-        .agg(F.sum("l_quantity").alias("_quantity"))
+        star.facts().groupBy("l_orderkey")
+        .agg(exact_sum("l_quantity_cents", 2).alias("_quantity"))
         .filter(F.col("_quantity") > quantity)
     )
     return _top(
@@ -573,14 +578,14 @@ def q19(star: Star, brand1: str = "Brand#12", brand2: str = "Brand#23",
             & F.col("p_size").between(1, size)
         )
         on_part = on_part | part
-        on_both = on_both | (part & F.col("l_quantity").between(quantity, quantity + 10))
-    lines = star.lineitem.filter(
+        on_both = on_both | (part & F.col("l_quantity_cents").between(quantity * 100, quantity * 100 + 1000))
+    lines = star.facts().filter(
         F.col("l_shipmode").isin("AIR", "AIR REG")
         & (F.col("l_shipinstruct") == "DELIVER IN PERSON"))
     return _top(
         lines.join(star.part.filter(on_part), F.col("l_partkey") == F.col("p_partkey"))
         .filter(on_both)
-        .agg(rounded(F.sum(net_price())).alias("revenue")),
+        .agg(rounded(net_sum()).alias("revenue")),
         limit,
     )
 
@@ -590,10 +595,10 @@ def q20(star: Star, colour: str = "forest", day: str = "1994-01-01",
     """Suppliers of a nation with excess stock of parts of one colour."""
     parts = star.part.filter(F.col("p_name").startswith(colour)).select("p_partkey")
     sold = (
-        star.lines(day, _months_after(day, 12))
+        star.facts(day, _months_after(day, 12))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
         .groupBy("l_partkey", "l_suppkey")
-        .agg(F.sum("l_quantity").alias("_sold"))
+        .agg(exact_sum("l_quantity_cents", 2).alias("_sold"))
     )
     excess = star.partsupp.select("ps_partkey", "ps_suppkey", "ps_availqty").join(
         sold,
@@ -622,7 +627,7 @@ def q21(star: Star, nation: str = "SAUDI ARABIA", limit: int | None = 100) -> Da
     late = F.col("l_receiptdate") > F.col("l_commitdate")
     supp = F.col("l_suppkey")
     per_order = (
-        star.lineitem.groupBy("l_orderkey")
+        star.facts().groupBy("l_orderkey")
         .agg(
             F.min(supp).alias("lowest"),
             F.max(supp).alias("highest"),

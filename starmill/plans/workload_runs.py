@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmill.functions.money import mean, net_price, rounded
+from starmill.functions.money import mean, net_sum, rounded
 from starmill.operators import dml
 from starmill.operators.joins import opposite_pairs
 from starmill.sources.star import Star
@@ -57,7 +57,7 @@ def jdbc_nation_pairs(star: Star, one: str = "NATION_6", other: str = "NATION_9"
     orders = star.orders.join(star.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", "c_nationkey")
     return (
-        star.lines("1995-01-01", "1997-01-01")
+        star.facts("1995-01-01", "1997-01-01")
         .join(star.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(pairs, (F.col("s_nationkey") == F.col("first_key"))
@@ -65,7 +65,7 @@ def jdbc_nation_pairs(star: Star, one: str = "NATION_6", other: str = "NATION_9"
         .groupBy(F.col("first_name").cast("string").alias("supp_nation"),
                  F.col("second_name").cast("string").alias("cust_nation"),
                  F.year("l_shipdate").cast("int").alias("l_year"))
-        .agg(rounded(F.sum(net_price())).alias("revenue"))
+        .agg(rounded(net_sum()).alias("revenue"))
         .orderBy("supp_nation", "cust_nation", "l_year")
     )
 

@@ -154,11 +154,25 @@ class Star:
     def lineitem(self) -> DataFrame:
         return self.lines()
 
-    def lines(self, ship_from: str | None = None, ship_before: str | None = None) -> DataFrame:
+    def facts(self, ship_from: str | None = None, ship_before: str | None = None) -> DataFrame:
+        """Line items with amounts as whole numbers as well: cents and percents.
+
+        Products of these stay in 64-bit integers, several times cheaper per row than
+        decimal arithmetic on amounts that are stored as doubles, and as exact.
+        """
+        return self.lines(ship_from, ship_before, {
+            "l_quantity_cents": ("bigint", "rint(l_quantity * 100)"),
+            "l_price_cents": ("bigint", "rint(l_extendedprice * 100)"),
+            "l_discount_percent": ("bigint", "rint(l_discount * 100)"),
+            "l_tax_percent": ("bigint", "rint(l_tax * 100)"),
+        })
+
+    def lines(self, ship_from: str | None = None, ship_before: str | None = None,
+              more: dict[str, tuple[str, str]] | None = None) -> DataFrame:
         """Line items, optionally limited to ship dates in [ship_from, ship_before).
 
         The bounds are compared with the stored column, before any cast, so they
-        reach the Parquet reader.
+        reach the Parquet reader. ``more`` names further columns to compute.
         """
         df = self.raw("lineitem")
         stored = dict(df.dtypes)["l_shipdate"]
@@ -187,6 +201,7 @@ class Star:
             "l_shipmode": (
                 "string", f"{_SHIP_MODE}[cast(({_LINE_HASH} + l_suppkey) % 7 as int)]"),
             "l_comment": ("string", "''"),
+            **(more or {}),
         })
 
     def orders_between(self, date_from: str | None, date_before: str | None) -> DataFrame:
