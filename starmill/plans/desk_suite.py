@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from starmill.functions.money import mean, rounded, share
+from starmill.functions.money import exact_mean, exact_sum, mean, rounded, share
 from starmill.operators.joins import (
     null_aware_anti, opposite_pairs, with_match, without_match)
 from starmill.sources.desk import Desk, supplier_key
@@ -72,9 +72,9 @@ def q01(desk: Desk) -> DataFrame:
         desk.order_line.groupBy("ol_number")
         .agg(
             F.sum("ol_quantity").alias("sum_qty"),
-            rounded(F.sum("ol_amount")).alias("sum_amount"),
+            rounded(exact_sum("ol_cents", 2)).alias("sum_amount"),
             mean("ol_quantity").alias("avg_qty"),
-            mean("ol_amount").alias("avg_amount"),
+            exact_mean("ol_cents", 2).alias("avg_amount"),
             F.count(F.lit(1)).alias("count_order"),
         )
         .orderBy("ol_number").limit(TOP)
@@ -119,7 +119,7 @@ def q03(desk: Desk) -> DataFrame:
         )
     )
     totals = desk.order_line.groupBy("ol_w_id", "ol_d_id", "ol_o_id").agg(
-        F.sum("ol_amount").alias("total"))
+        exact_sum("ol_cents", 2).alias("total"))
     return (
         totals.join(
             open_orders,
@@ -164,14 +164,14 @@ def q05(desk: Desk) -> DataFrame:
             suppliers,
             (F.col("s_suppkey") == F.col("su_suppkey")) & (F.col("home") == F.col("su_nationkey")),
         )
-        .groupBy("n_name").agg(rounded(F.sum("ol_amount")).alias("revenue"))
+        .groupBy("n_name").agg(rounded(exact_sum("ol_cents", 2)).alias("revenue"))
         .orderBy(F.desc("revenue"), "n_name").limit(TOP)
     )
 
 
 def q06(desk: Desk) -> DataFrame:
     return desk.order_line.filter(F.col("ol_quantity").between(1, 100_000)).agg(
-        rounded(F.sum("ol_amount")).alias("revenue")).limit(TOP)
+        rounded(exact_sum("ol_cents", 2)).alias("revenue")).limit(TOP)
 
 
 def q07(desk: Desk) -> DataFrame:
@@ -198,7 +198,7 @@ def q07(desk: Desk) -> DataFrame:
         )
         .groupBy(F.col("su_nationkey").alias("supp_nation"), "cust_nation",
                  F.year("o_entry_d").alias("l_year"))
-        .agg(rounded(F.sum("ol_amount")).alias("revenue"))
+        .agg(rounded(exact_sum("ol_cents", 2)).alias("revenue"))
         .orderBy("supp_nation", "cust_nation", "l_year").limit(TOP)
     )
 
@@ -222,7 +222,8 @@ def q08(desk: Desk) -> DataFrame:
         .join(items, F.col("ol_i_id") == F.col("i_id"), "left_semi")
         .join(suppliers, F.col("s_suppkey") == F.col("su_suppkey"))
     )
-    own = F.sum(F.when(F.col("n_name") == "Germany", F.col("ol_amount")).otherwise(0))
+    own = exact_sum(
+        F.when(F.col("n_name") == "Germany", F.col("ol_cents")).otherwise(0), 2)
     return (
         buyers.join(
             lines,
@@ -230,7 +231,7 @@ def q08(desk: Desk) -> DataFrame:
             & (F.col("ol_o_id") == F.col("o_id")),
         )
         .groupBy(F.year("o_entry_d").alias("l_year"))
-        .agg(share(own, F.sum("ol_amount")).alias("mkt_share"))
+        .agg(share(own, exact_sum("ol_cents", 2)).alias("mkt_share"))
         .orderBy("l_year").limit(TOP)
     )
 
@@ -253,7 +254,7 @@ def q09(desk: Desk) -> DataFrame:
             & (F.col("ol_o_id") == F.col("o_id")),
         )
         .groupBy("n_name", F.year("o_entry_d").alias("l_year"))
-        .agg(rounded(F.sum("ol_amount")).alias("sum_profit"))
+        .agg(rounded(exact_sum("ol_cents", 2)).alias("sum_profit"))
         .orderBy("n_name", F.desc("l_year")).limit(TOP)
     )
 
@@ -265,7 +266,7 @@ def q10(desk: Desk) -> DataFrame:
         _orders_with_lines(desk)
         .filter(F.col("o_entry_d") <= F.col("ol_delivery_d"))
         .groupBy("o_c_id", "o_w_id", "o_d_id")
-        .agg(F.sum("ol_amount").alias("spent"))
+        .agg(exact_sum("ol_cents", 2).alias("spent"))
     )
     buyers = desk.customer.join(
         spent,
@@ -326,10 +327,11 @@ def q13(desk: Desk) -> DataFrame:
 
 
 def q14(desk: Desk) -> DataFrame:
-    promo = F.sum(F.when(F.col("i_data").like("PR%"), F.col("ol_amount")).otherwise(0))
+    promo = exact_sum(
+        F.when(F.col("i_data").like("PR%"), F.col("ol_cents")).otherwise(0), 2)
     return (
         desk.order_line.join(desk.item, F.col("ol_i_id") == F.col("i_id"))
-        .agg(F.round(100.0 * promo.cast("double") / (1 + F.sum("ol_amount")).cast("double"), 4)
+        .agg(F.round(100.0 * promo.cast("double") / (1 + exact_sum("ol_cents", 2)).cast("double"), 4)
              .alias("promo_revenue"))
         .limit(TOP)
     )
@@ -338,7 +340,7 @@ def q14(desk: Desk) -> DataFrame:
 def q15(desk: Desk) -> DataFrame:
     revenue = (
         _lines_with_stock(desk).groupBy(F.col("s_suppkey").alias("supplier_no"))
-        .agg(F.sum("ol_amount").alias("total_revenue"))
+        .agg(exact_sum("ol_cents", 2).alias("total_revenue"))
     )
     best = revenue.filter(
         F.col("total_revenue") == revenue.agg(F.max("total_revenue")).scalar())
@@ -374,7 +376,7 @@ def q17(desk: Desk) -> DataFrame:
     by_quantity = (
         desk.order_line.join(items, F.col("ol_i_id") == F.col("i_id"), "left_semi")
         .groupBy("ol_i_id", "ol_quantity")
-        .agg(F.sum("ol_amount").alias("amount"), F.count(F.lit(1)).alias("n"))
+        .agg(exact_sum("ol_cents", 2).alias("amount"), F.count(F.lit(1)).alias("n"))
     )
     item = W.partitionBy("ol_i_id")
     below = F.col("ol_quantity") * F.sum("n").over(item) < F.sum(
@@ -389,7 +391,7 @@ def q17(desk: Desk) -> DataFrame:
 def q18(desk: Desk) -> DataFrame:
     """Largest orders; the shown ``o_id`` is the customer id, the group key is the order's."""
     totals = desk.order_line.groupBy("ol_w_id", "ol_d_id", "ol_o_id").agg(
-        F.sum("ol_amount").alias("total")).filter(F.col("total") > 200)
+        exact_sum("ol_cents", 2).alias("total")).filter(F.col("total") > 200)
     return (
         _customers_with_orders(desk)
         .join(
@@ -412,7 +414,7 @@ def q19(desk: Desk) -> DataFrame:
     lines = desk.order_line.filter(F.col("ol_quantity").between(1, 10))
     return (
         lines.join(items, F.col("ol_i_id") == F.col("i_id")).filter(kind)
-        .agg(rounded(F.sum("ol_amount")).alias("revenue")).limit(TOP)
+        .agg(rounded(exact_sum("ol_cents", 2)).alias("revenue")).limit(TOP)
     )
 
 

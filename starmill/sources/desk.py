@@ -47,7 +47,7 @@ class Desk:
 
     customer = cached_property(lambda self: self._table("customer"))
     orders = cached_property(lambda self: self._table("orders"))
-    order_line = cached_property(lambda self: self._table("order_line"))
+    order_line = cached_property(lambda self: self._with_cents(self._table("order_line")))
     new_order = cached_property(lambda self: self._table("new_order"))
     item = cached_property(lambda self: self._table("item"))
     stock = cached_property(lambda self: self._table("stock"))
@@ -55,6 +55,13 @@ class Desk:
     nation = cached_property(lambda self: self._table("nation"))
     region = cached_property(lambda self: self._table("region"))
 
+    @staticmethod
+    def _with_cents(lines: DataFrame) -> DataFrame:
+        """The amount of a line as whole cents too, for exact sums in integers."""
+        if "ol_cents" in lines.columns:
+            return lines
+        return lines.withColumn("ol_cents", F.expr("cast(rint(ol_amount * 100) as bigint)"))
+
     def _derived_customer(self) -> DataFrame:
         return self.star.customer.selectExpr(
             "c_custkey + 1 as c_id",
@@ -80,7 +87,7 @@ class Desk:
 
     def _derived_order_line(self) -> DataFrame:
         owners = self._derived_orders().select("o_id", "o_w_id", "o_d_id")
-        return self.star.lineitem.join(
+        return self.star.facts().join(
             owners, F.col("l_orderkey") == F.col("o_id")
         ).selectExpr(
             "o_id as ol_o_id",
@@ -92,6 +99,7 @@ class Desk:
             f"date_add(l_shipdate, {DAYS_MOVED}) as ol_delivery_d",
             "cast(l_quantity as int) as ol_quantity",
             "l_extendedprice as ol_amount",
+            "l_price_cents as ol_cents",
         )
 
     def _derived_new_order(self) -> DataFrame:
