@@ -13,15 +13,14 @@ _SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only when nothing
-    is named, as in local tests, a temporary folder takes its place.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only when nothing is
+    named, as in local tests, a temporary folder takes its place.
     """
-    base = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
+    context = spark.sparkContext
+    base = spark.conf.get(_SETTING, None) or context.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="starmill-")
-        spark.conf.set(_SETTING, base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="starmill-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

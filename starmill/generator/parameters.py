@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from starmill.generator import words
 from starmill.generator.streams import (
-    MODULUS, MULTIPLIER, _expanded, _string_array, _total, pick_index, uniform)
+    MODULUS, MULTIPLIER, _expanded, _long_array, _string_array, pick_index, uniform)
 
 # A second choice that must differ from the first is drawn again until it does. This
 # many draws leave a chance below 10^-25 that none differs.
@@ -19,26 +19,39 @@ def _draw(query: int, k: int) -> Column:
     return F.col("seed") % MODULUS * pow(MULTIPLIER, query + k, MODULUS) % MODULUS
 
 
+def _draws(query: int, k: int, count: int) -> Column:
+    """Draws ``k`` .. ``k + count - 1`` as an array."""
+    constants = _long_array([pow(MULTIPLIER, query + k + i, MODULUS) for i in range(count)])
+    return F.transform(constants, lambda c: F.col("seed") % MODULUS * c % MODULUS)
+
+
 def _number(query: int, k: int, low: int, high: int) -> Column:
     return uniform(_draw(query, k), low, high)
 
 
-def _word(query: int, k: int, weighted: list) -> Column:
+def _chosen(value: Column, weighted: list) -> Column:
     values = _expanded(weighted)
-    return F.get(_string_array(values), (uniform(_draw(query, k), 1, _total(weighted)) - 1).cast("int"))
+    return F.get(_string_array(values), (uniform(value, 1, len(values)) - 1).cast("int"))
 
 
-def _other_word(query: int, k: int, names: list[str]) -> Column:
-    """First word from draw ``k`` on that differs from the word of the draw before."""
+def _word(query: int, k: int, weighted: list) -> Column:
+    return _chosen(_draw(query, k), weighted)
+
+
+def _differs(query: int, k: int, names: list[str]) -> Column:
+    """For draw ``k`` and those after it: whether they choose another word than the one before."""
     first = _word(query, k - 1, names)
-    later = F.array(*[_word(query, k + i, names) for i in range(_REDRAWS)])
-    return F.get(F.filter(later, lambda w: w != first), 0)
+    return F.transform(_draws(query, k, _REDRAWS), lambda v: _chosen(v, names) != first)
 
 
 def _draws_until_other(query: int, k: int, names: list[str]) -> Column:
-    first = pick_index(_draw(query, k - 1), len(names))
-    later = F.array(*[pick_index(_draw(query, k + i), len(names)) for i in range(_REDRAWS)])
-    return F.array_position(F.transform(later, lambda w: w != first), True)
+    """Number of draws from ``k`` on until the word differs from the one before."""
+    return F.array_position(_differs(query, k, names), True)
+
+
+def _other_word(query: int, k: int, names: list[str]) -> Column:
+    at = (_draws_until_other(query, k, names) - 1).cast("int")
+    return _chosen(F.get(_draws(query, k, _REDRAWS), at), names)
 
 
 def _month(months: Column) -> Column:
@@ -47,8 +60,12 @@ def _month(months: Column) -> Column:
                          "yyyy-MM-dd")
 
 
+def _year(number: Column) -> Column:
+    return F.concat(F.lit("19"), number.cast("string"), F.lit("-01-01"))
+
+
 def _january(query: int, k: int) -> Column:
-    return F.concat(F.lit("19"), _number(query, k, 93, 97).cast("string"), F.lit("-01-01"))
+    return _year(_number(query, k, 93, 97))
 
 
 def _brand(query: int, k: int) -> Column:
@@ -61,9 +78,11 @@ def _shuffled(query: int, k: int, size: int, taken: int, first_value: int) -> Co
 
     Step i of the shuffle settles place i, so the steps beyond ``taken`` do not matter.
     """
-    swaps = F.array(*[
-        F.struct(F.lit(i).alias("place"), _number(query, k + i, i, size - 1).cast("int").alias("source"))
-        for i in range(taken)])
+    swaps = F.transform(
+        _draws(query, k, taken),
+        lambda value, place: F.struct(
+            place.alias("place"),
+            uniform(value, place, F.lit(size - 1)).cast("int").alias("source")))
     values = F.sequence(F.lit(first_value), F.lit(first_value + size - 1))
 
     def swap(held: Column, step: Column) -> Column:
@@ -87,7 +106,7 @@ def _by_query(factor: float) -> dict[int, Column]:
     nation8 = pick_index(_draw(8, 1), len(words.NATIONS)).cast("int")
     modes = words.SHIP_MODES
     # The year of query 12 is drawn after however many draws the second mode took.
-    years12 = F.array(*[_january(12, 3 + i) for i in range(_REDRAWS)])
+    year12 = F.get(_draws(12, 3, _REDRAWS), (_draws_until_other(12, 2, modes) - 1).cast("int"))
     return {
         1: _texts(_number(1, 1, 60, 120)),
         2: _texts(_number(2, 1, 1, 50),
@@ -107,7 +126,7 @@ def _by_query(factor: float) -> dict[int, Column]:
         10: _texts(_month(_number(10, 1, 1, 24))),
         11: _texts(_word(11, 1, words.NATIONS), F.lit(f"{0.0001 / factor:11.10f}")),
         12: _texts(_word(12, 1, modes), _other_word(12, 2, modes),
-                   F.get(years12, (_draws_until_other(12, 2, modes) - 1).cast("int"))),
+                   _year(uniform(year12, 93, 97))),
         13: _texts(_word(13, 1, words.QUERY_ADJECTIVES), _word(13, 2, words.QUERY_NOUNS)),
         14: _texts(_month(_number(14, 1, 0, 59))),
         15: _texts(_month(_number(15, 1, 0, 57))),

@@ -33,23 +33,17 @@ def null_aware_anti(left: DataFrame, right: DataFrame, key: str, right_key: str)
     """``left.key NOT IN (select right_key from right)`` with SQL's null rules.
 
     Spark runs NOT IN as a broadcast of the whole right side. Here the anti join
-    stays an ordinary one, and the null rules are two one-row facts: whether the
-    right side has rows, and whether one of them is null.
+    stays an ordinary one, and the null rules need one word about the right side:
+    whether it is empty or holds a null.
     """
-    facts = right.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(right_key).alias("n_keys"),
-    )
-    no_rows = facts.select(F.col("n_rows") == 0).scalar()
-    no_nulls = facts.select(F.col("n_rows") == F.col("n_keys")).scalar()
+    keys, rows = F.count(right_key), F.count(F.lit(1))
+    state = right.agg(
+        F.when(rows == 0, "empty").when(keys == rows, "no nulls").otherwise("nulls").alias("state")
+    ).scalar()
     kept = without_match(left, right.filter(F.col(right_key).isNotNull()), {key: right_key})
-    return kept.filter(no_rows | (no_nulls & F.col(key).isNotNull()))
-
-
-def in_pairs(df: DataFrame, left: str, right: str, one: str, other: str) -> DataFrame:
-    """Keep rows whose (left, right) is (one, other) or (other, one)."""
-    pair = F.create_map(F.lit(one), F.lit(other), F.lit(other), F.lit(one))
-    return df.filter(F.col(left).isin(one, other) & (pair[F.col(left)] == F.col(right)))
+    return kept.filter(
+        F.when(state == "empty", True).when(state == "no nulls", F.col(key).isNotNull())
+        .otherwise(False))
 
 
 def opposite_pairs(keys: DataFrame, key: str, name: str, one: str, other: str) -> DataFrame:

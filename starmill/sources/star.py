@@ -142,7 +142,7 @@ class Star:
             "o_orderdate": ("date", "null"),
             "o_orderpriority": ("string", "null"),
             "o_clerk": ("string", "concat('Clerk#', o_orderkey % 1000)"),
-            "o_shippriority": ("int", "0"),
+            "o_shippriority": ("int", "o_orderkey * 0"),
             "o_comment": (
                 "string",
                 "case when o_orderkey % 13 = 0 then 'the special packages requests'"

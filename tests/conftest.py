@@ -25,8 +25,9 @@ def star(spark):
     return Star(spark, DATA)
 
 
-def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+def plan_of(df, mode="simple"):
+    modes = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode
+    return df._jdf.queryExecution().explainString(modes.fromString(mode))
 
 
 @pytest.fixture(scope="session")
