@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MONEY = "decimal(12,2)"
 # Rates are below 100, so price * (1 - rate) stays within 18 digits and Spark
@@ -26,6 +27,10 @@ _BOX_SIZE = "array('SM', 'LG', 'MED', 'JUMBO', 'WRAP')"
 _BOX_KIND = "array('CASE', 'BOX', 'BAG', 'JAR', 'PKG', 'PACK', 'CAN', 'DRUM')"
 
 
+# Schemas by application and path: a path's footer is read for its schema once.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 class Star:
     """Star-schema tables read from the parquet files of one directory."""
 
@@ -36,17 +41,22 @@ class Star:
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._stored:
-            self._stored[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+            path = f"{self.path}/{name}.parquet"
+            key = (self.spark.sparkContext.applicationId, path)
+            reader = self.spark.read
+            if key in _SCHEMAS:
+                reader = reader.schema(_SCHEMAS[key])
+            self._stored[name] = reader.parquet(path)
+            _SCHEMAS[key] = self._stored[name].schema
         return self._stored[name]
 
     @staticmethod
     def _project(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
         """Select ``columns`` (name -> (type, fallback expression))."""
-        out: list[Column] = []
-        for name, (dtype, fallback) in columns.items():
-            source = F.col(name) if name in df.columns else F.expr(fallback)
-            out.append(source.cast(dtype).alias(name))
-        return df.select(*out)
+        present = set(df.columns)
+        return df.selectExpr(*[
+            f"cast({name if name in present else fallback} as {dtype}) as {name}"
+            for name, (dtype, fallback) in columns.items()])
 
     @cached_property
     def region(self) -> DataFrame:
