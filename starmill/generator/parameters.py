@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from starmill.generator import words
 from starmill.generator.streams import (
-    MODULUS, MULTIPLIER, _expanded, _long_array, _string_array, pick_index, uniform)
+    MODULUS, MULTIPLIER, expanded, long_array, word_array, pick_index, uniform)
 
 # A second choice that must differ from the first is drawn again until it does. This
 # many draws leave a chance below 10^-25 that none differs.
@@ -21,7 +21,7 @@ def _draw(query: int, k: int) -> Column:
 
 def _draws(query: int, k: int, count: int) -> Column:
     """Draws ``k`` .. ``k + count - 1`` as an array."""
-    constants = _long_array([pow(MULTIPLIER, query + k + i, MODULUS) for i in range(count)])
+    constants = long_array([pow(MULTIPLIER, query + k + i, MODULUS) for i in range(count)])
     return F.transform(constants, lambda c: F.col("seed") % MODULUS * c % MODULUS)
 
 
@@ -30,8 +30,8 @@ def _number(query: int, k: int, low: int, high: int) -> Column:
 
 
 def _chosen(value: Column, weighted: list) -> Column:
-    values = _expanded(weighted)
-    return F.get(_string_array(values), (uniform(value, 1, len(values)) - 1).cast("int"))
+    values = expanded(weighted)
+    return F.get(word_array(values), (uniform(value, 1, len(values)) - 1).cast("int"))
 
 
 def _word(query: int, k: int, weighted: list) -> Column:
@@ -119,8 +119,8 @@ def _by_query(factor: float) -> dict[int, Column]:
         6: _texts(_january(6, 1), F.concat(F.lit("0.0"), _number(6, 2, 2, 9).cast("string")),
                   _number(6, 3, 24, 25)),
         7: _texts(_word(7, 1, words.NATIONS), _other_word(7, 2, words.NATIONS)),
-        8: _texts(F.get(_string_array(words.NATIONS), nation8),
-                  F.get(_string_array(regions_of_nations), nation8),
+        8: _texts(F.get(word_array(words.NATIONS), nation8),
+                  F.get(word_array(regions_of_nations), nation8),
                   _word(8, 2, words.PART_TYPES)),
         9: _texts(_word(9, 1, words.COLOURS)),
         10: _texts(_month(_number(10, 1, 1, 24))),

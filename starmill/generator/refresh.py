@@ -24,8 +24,10 @@ def set_rows(sets: DataFrame, scale: Scale) -> DataFrame:
     """Rows of the sets numbered in column ``set_number``: the position in the set
     (from 0), the row among all new orders and the row that draws."""
     size = orders_per_set(scale)
+    # Below 10,000 orders a set is empty, and a sequence must not run backwards.
+    positions = F.sequence(F.lit(0), F.lit(max(size, 1) - 1))
     return (
-        sets.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+        sets.withColumn("position", F.explode(positions)).filter(F.lit(size > 0))
         .withColumn("new_row", (F.col("set_number") - 1) * size + F.col("position") + 1)
         .withColumn("row", F.col("new_row") + scale.orders)
     )

@@ -21,12 +21,12 @@ DIGIT_BITS = 8
 DIGITS = 5  # rows up to 2^40
 
 
-def _long_array(values: list[int]) -> Column:
+def long_array(values: list[int]) -> Column:
     """Array literal; written as one string, which the optimizer folds to a constant."""
     return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
 
 
-def _string_array(values: list[str]) -> Column:
+def word_array(values: list[str]) -> Column:
     """Array literal of words, none of which holds a tilde; folded like the number arrays."""
     return F.expr(f"split('{'~'.join(values)}', '~')")
 
@@ -43,7 +43,7 @@ def jump(row: Column, reserved: int) -> Column:
             table.append(power)
             power = power * base % MODULUS
         index = F.shiftright(skip, DIGIT_BITS * digit).bitwiseAND((1 << DIGIT_BITS) - 1)
-        factor = F.get(_long_array(table), index.cast("int"))
+        factor = F.get(long_array(table), index.cast("int"))
         product = factor if product is None else product * factor % MODULUS
     return product
 
@@ -62,7 +62,7 @@ def draw_at(stream: str, jumped: Column, k: Column, largest: int, stride: int =
         seed * pow(MULTIPLIER, first + stride * i, MODULUS) % MODULUS
         for i in range(1, largest + 1)
     ]
-    return jumped * F.get(_long_array(constants), (k - 1).cast("int")) % MODULUS
+    return jumped * F.get(long_array(constants), (k - 1).cast("int")) % MODULUS
 
 
 def uniform(value: Column, low: int | Column, high: int | Column) -> Column:
@@ -75,8 +75,8 @@ def uniform(value: Column, low: int | Column, high: int | Column) -> Column:
 
 def pick(value: Column, weighted: list[tuple[str, int]] | list[str]) -> Column:
     """Weighted choice: the first word whose running weight reaches the draw."""
-    return F.get(_string_array(_expanded(weighted)),
-                 (uniform(value, 1, _total(weighted)) - 1).cast("int"))
+    return F.get(word_array(expanded(weighted)),
+                 (uniform(value, 1, total_weight(weighted)) - 1).cast("int"))
 
 
 def pick_index(value: Column, size: int) -> Column:
@@ -84,14 +84,14 @@ def pick_index(value: Column, size: int) -> Column:
     return uniform(value, 1, size) - 1
 
 
-def _expanded(weighted: list) -> list[str]:
+def expanded(weighted: list) -> list[str]:
     """The word for each value of the draw."""
     return [w for entry in weighted
             for w in ([entry] if isinstance(entry, str) else [entry[0]] * entry[1])]
 
 
-def _total(weighted: list) -> int:
-    return len(_expanded(weighted))
+def total_weight(weighted: list) -> int:
+    return len(expanded(weighted))
 
 
 def alphanumeric(stream: str, jumped: Column, average: int) -> Column:
@@ -101,7 +101,7 @@ def alphanumeric(stream: str, jumped: Column, average: int) -> Column:
     and its low six-bit groups are those of a two's complement number.
     """
     low, high = int(average * 0.4), int(average * 1.6)
-    alphabet = _string_array(list(ALPHABET))
+    alphabet = word_array(list(ALPHABET))
     characters = []
     for group in range((high + 4) // 5):
         value = (draw(stream, jumped, group + 2) / F.lit(float(MODULUS))

@@ -162,7 +162,7 @@ def _bench_lines(star: Star) -> DataFrame:
     n = F.col("event_id")
     return _lines(
         star.raw("events"), n,
-        F.when(n % 7 == 0, "PGBENCH FAILED").otherwise(
+        F.when(n % 7 == 0, "BENCH FAILED").otherwise(
             F.concat(F.lit("latency average = "), latency, F.lit(" ms"))),
         F.when(n % 7 == 0, "").when(n % 2 == 0, F.concat(
             F.lit("tps = "), tps, F.lit(" (excluding connections establishing)"))).otherwise(
@@ -252,7 +252,11 @@ def stream_refresh_apply(star: Star, sets: int = 3) -> DataFrame:
 
 def run_stream(star: Star, stream: int, parameters: dict[str, dict],
                orders: list[tuple[int, ...]] | None = None) -> DataFrame:
-    """All queries in the order of a stream: rows and a checksum of each."""
+    """All queries in the order of a stream: rows and a checksum of each.
+
+    ``parameters`` holds the arguments per query, as ``drawn_arguments`` makes them from
+    the parameters drawn for the stream's seed.
+    """
     order = query_order(
         star.spark.range(stream, stream + 1).withColumnRenamed("id", "stream"), orders)
     out = None

@@ -40,6 +40,42 @@ PARAMETERS: dict[str, dict] = {
     "q22": {},
 }
 
+# How the drawn parameters of a query, all texts, become arguments of its plan.
+_ARGUMENTS: dict[int, list[tuple[str, Callable]]] = {
+    1: [("days", int)],
+    2: [("size", int), ("type_suffix", str), ("region", str)],
+    3: [("segment", str), ("day", str)],
+    4: [("day", str)],
+    5: [("region", str), ("day", str)],
+    6: [("day", str), ("discount", str), ("quantity", int)],
+    7: [("nation1", str), ("nation2", str)],
+    8: [("nation", str), ("region", str), ("part_type", str)],
+    9: [("colour", str)],
+    10: [("day", str)],
+    11: [("nation", str), ("fraction", float)],
+    12: [("mode1", str), ("mode2", str), ("day", str)],
+    13: [("word1", str), ("word2", str)],
+    14: [("day", str)],
+    15: [("day", str)],
+    17: [("brand", str), ("container", str)],
+    18: [("quantity", int)],
+    19: [("brand1", str), ("brand2", str), ("brand3", str), ("quantity1", int),
+         ("quantity2", int), ("quantity3", int)],
+    20: [("colour", str), ("day", str), ("nation", str)],
+    21: [("nation", str)],
+}
+
+
+def drawn_arguments(query: int, parameters: list[str]) -> dict:
+    """Arguments of a query's plan from its drawn parameters."""
+    if query == 16:
+        return {"brand": parameters[0], "type_prefix": parameters[1],
+                "sizes": tuple(int(p) for p in parameters[2:])}
+    if query == 22:
+        return {"codes": tuple(parameters)}
+    return {name: kind(p) for (name, kind), p in zip(_ARGUMENTS[query], parameters, strict=True)}
+
+
 VARIANTS = {"q08a": "q08", "q12a": "q12", "q13a": "q13", "q14a": "q14", "q15a": "q15"}
 
 # Row limits of the variant set run against a sharded layout.

@@ -65,7 +65,7 @@ def test_logs(spark):
         (1, "latency average = 12.5 ms"), (1, "tps = 80.1 (including connections establishing)"),
         (1, "tps = 81.2 (excluding connections establishing)"),
         (2, "latency average = 3.0 ms"), (2, "tps = 7.5 (without initial connection time)"),
-        (3, "PGBENCH FAILED"),
+        (3, "BENCH FAILED"),
     ], "run int, value string")
     got = {r.run: tuple(r)[1:] for r in logs.parse_bench_log(lines).collect()}
     assert got == {1: (12.5, 81.2, 80.1, False), 2: (3.0, 7.5, None, False),
