@@ -233,7 +233,7 @@ _RAW = {
     ]),
     "agg_param_batch": """
         select id, count(o_orderkey) as n,
-               round(cast(sum(o_totalprice) as double) / count(o_orderkey), 4) as average
+               cast(sum(o_totalprice) as double) / count(o_orderkey) as average
         from (select distinct user_id as id from events) left join x_orders on o_custkey = id
         group by id""",
     "sort_multi": """

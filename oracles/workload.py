@@ -25,7 +25,7 @@ _TEMPLATES = [
               from x_orders where o_custkey in (select id from {_IDS}))
         where pos between 2 and 4 group by id""",
     f"select distinct o_custkey as id from x_orders where o_custkey in (select id from {_IDS})",
-    f"""select o_custkey as id, round(cast(sum(o_orderkey) as double) / count(*), 4) as average
+    f"""select o_custkey as id, cast(sum(o_orderkey) as double) / count(*) as average
         from x_orders where o_custkey in (select id from {_IDS}) group by o_custkey""",
     f"select id, count(o_orderkey) as n from {_JOIN} and 1 = 0 group by id",
 ]

@@ -35,10 +35,11 @@ def exact_mean(units: str, digits: int) -> Column:
     return F.round(exact_sum(units, digits).cast("double") / F.count(units), 4)
 
 
-def mean(column: str | Column, digits: int = 4) -> Column:
+def mean(column: str | Column, digits: int | None = 4) -> Column:
     """Average from the exact sum, so that it does not depend on the row order."""
     value = F.col(column) if isinstance(column, str) else column
-    return F.round(F.sum(value).cast("double") / F.count(value), digits)
+    average = F.sum(value).cast("double") / F.count(value)
+    return average if digits is None else F.round(average, digits)
 
 
 def share(part: Column, whole: Column, digits: int = 4) -> Column:

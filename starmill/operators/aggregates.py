@@ -125,7 +125,7 @@ def agg_param_batch(star: Star) -> DataFrame:
     """
     calls = star.raw("events").select(F.col("user_id").alias("id")).distinct()
     found = star.orders.groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("n"), mean("o_totalprice").alias("average"))
+        F.count(F.lit(1)).alias("n"), mean("o_totalprice", None).alias("average"))
     return calls.join(found, F.col("id") == F.col("o_custkey"), "left").select(
         "id", F.coalesce("n", F.lit(0)).alias("n"), "average")
 

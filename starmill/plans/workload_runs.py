@@ -189,7 +189,7 @@ def distinct_by_id(ids: DataFrame, table: DataFrame) -> DataFrame:
 
 def average_by_id(ids: DataFrame, table: DataFrame) -> DataFrame:
     """Grouped average: an id without rows gives no row."""
-    return _per_id(ids, table, F.lit(True), average=mean("b")).filter(
+    return _per_id(ids, table, F.lit(True), average=mean("b", None)).filter(
         F.col("average").isNotNull())
 
 
