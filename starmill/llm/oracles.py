@@ -20,6 +20,8 @@ _DEMAND = """
     end
 """
 
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 ORACLES = {
     "op5_mixing": rf"""
 with recursive sized as (
@@ -63,5 +65,25 @@ counted as (
 select doc_id, size, source_size, target, taken,
     case when taken > 0 then cast(floor(({_DEMAND}) * 1000000) as bigint) end as position
 from counted
+""",
+    "op8_minhash_near_dup": rf"""
+with recursive tokens as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '[^\x20\x09-\x0D]+') as w from documents),
+shingled as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s
+    from tokens),
+flat as (select doc_id, len(s) as n, unnest(s) as x from shingled),
+shared as (
+    select a.doc_id as a, b.doc_id as b, count(*) as n_both, any_value(a.n) as na, any_value(b.n) as nb
+    from flat a join flat b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from shared where 100 * n_both >= 85 * (na + nb - n_both)),
+either as (select a, b from links union select b, a from links),
+reach as (select a as node, b as other from either union select r.node, e.b from reach r join either e on r.other = e.a),
+least_id as (select node, min(other) as low from reach group by node)
+select d.doc_id, cast(len(d.s) as bigint) as n_shingles,
+    cast(least(d.doc_id, coalesce(l.low, d.doc_id)) as bigint) as component_id,
+    d.doc_id <= coalesce(l.low, d.doc_id) as kept
+from shingled d left join least_id l on d.doc_id = l.node
 """,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from starmill.functions.shared import shared_dir
-from starmill.llm import mixing, token_orc
+from starmill.llm import mixing, near_dup, token_orc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).drop("source")
 
 
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, folder, "documents"), near_dup.Rule(k=3, percent=85, rows=7))
+
+
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_dir(spark, "token-orc")
     token_orc.write_tokens(
@@ -29,5 +33,6 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_mixing": mix_sources,
+        "op8_minhash_near_dup": near_duplicates,
         "op9_token_orc": token_files,
     }
