@@ -63,11 +63,11 @@ def blanks() -> np.ndarray:
 
 
 def text_slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of slices of a string column."""
-    if pa.types.is_large_string(column.type) or not pa.types.is_string(column.type):
+    """(first row, end row, bytes, offsets from 0) of slices of a string or binary column."""
+    if not (pa.types.is_string(column.type) or pa.types.is_binary(column.type)):
         column = column.cast(pa.string())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
     n = len(column)
     if not n:
         return
