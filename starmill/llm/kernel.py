@@ -127,12 +127,18 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(made)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting, which beats numpy's hash table here)."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
+
+
 def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
     """Sorted distinct shingles of each row; fewer than k words are one shingle as a whole."""
     every, made = shingles(hashes, k), []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= k:
-            made.append(np.unique(every[a: b - k + 1]))
+            made.append(distinct(every[a: b - k + 1]))
         elif b > a:
             made.append(shingles(hashes[a: b], b - a) ^ np.uint64(b - a))
         else:

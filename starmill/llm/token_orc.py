@@ -12,15 +12,17 @@ Rows without an id come first; rows that repeat an id stand together, ordered by
 their text, then by the text. Null and empty texts hold the end id alone.
 
 Encoding: byte-level BPE never merges across a single blank between two other characters,
-so a text is cut there, each distinct piece is encoded once by the tokenizers library and
-kept in a bounded cache of the worker, and ids are put together by numpy. Texts with a blank
-beside other white space are encoded whole.
+a letter beside a sign, or a single line feed, so a text is cut there, each distinct piece
+is encoded once by the tokenizers library and kept in a bounded cache of the worker, and ids
+are put together by numpy. Texts with a blank beside other white space, or with ``<|``, as
+special tokens have, are encoded whole.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,19 +74,80 @@ def _spaced(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> np.ndar
     return bad
 
 
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """Of bytes: 1 ASCII letters and digits, 2 ASCII signs but for the apostrophe, 3 line feed."""
+    made = np.zeros(256, np.uint8)
+    made[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]] = 1
+    made[[*b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = 2
+    made[10] = 3
+    return made
+
+
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of what is encoded by itself, in order."""
-    blank = np.flatnonzero(data == 32)
+    """(starts, ends) of what is encoded by itself, in order.
+
+    Cuts stand before a lone blank, between a letter or digit and a sign, and around a lone
+    line feed between those: places where the tokenizer's own pattern always cuts.
+    """
     full = offsets[:-1][offsets[:-1] < offsets[1:]]
-    if len(blank):
-        bad = _spaced(data, offsets, blank)
-        row = np.searchsorted(offsets, blank, "right") - 1
+    kind = _kinds()[data]
+    cut = np.flatnonzero((kind[:-1] == 1) & (kind[1:] >= 2)) + 1
+    feed = np.flatnonzero(kind[1:-1] == 3) + 1
+    near = (kind[feed - 1] > 0) & (kind[feed - 1] < 3)
+    after = feed[near & (kind[feed + 1] == 1)]
+    blank = np.flatnonzero(data == 32)
+    every = np.concatenate((cut, feed[near], after + 1, blank))
+    if len(every):
+        row = np.searchsorted(offsets, every, "right") - 1
         whole = np.zeros(len(offsets), bool)
-        whole[row[bad]] = True
-        blank = blank[~whole[row]]
-    starts = np.union1d(full, blank)
-    ends = np.append(starts[1:], len(data))
-    return starts, ends
+        if len(blank):
+            whole[row[-len(blank):][_spaced(data, offsets, blank)]] = True
+        # signs of a special token stay together, so its text goes whole
+        whole[np.searchsorted(offsets, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)), "right") - 1] = True
+        every = every[~whole[row]]
+    begins = np.zeros(len(data), bool)
+    begins[full] = True
+    begins[every] = True
+    starts = np.flatnonzero(begins)
+    return starts, np.append(starts[1:], len(data))
+
+
+def _encoded(tokenizer, pieces: list[bytes]) -> list[np.ndarray]:
+    """Ids of each piece; pieces are joined where their ids can be told apart again."""
+    made: list = [None] * len(pieces)
+    texts = [x.decode() for x in pieces]
+    lead, plain, alone = [], [], []
+    for k, text in enumerate(texts):
+        if len(text.split()) != 1 or text[-1].isspace() or len(text) > KEPT:
+            alone.append(k)
+        else:
+            (lead if text[0] == " " else alone if text[0].isspace() else plain).append(k)
+    feed = tokenizer.encode("\n", add_special_tokens=False).ids[0]
+    opens = _opening(tokenizer)
+    for chosen, glue in ((lead, ""), (plain, "\n")):
+        groups = [chosen[k: k + 64] for k in range(0, len(chosen), 64)]
+        joined = [glue.join([texts[k] for k in group]) for group in groups]
+        for group, e in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            if glue:
+                at = np.flatnonzero(ids == feed)
+                parts = [ids[a:b] for a, b in zip([0, *(at + 1)], [*at, len(ids)], strict=True)]
+            else:
+                at = np.flatnonzero(opens[ids])
+                parts = [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)]
+            for k, part in zip(group, parts, strict=True):
+                made[k] = part
+    for k, e in zip(alone, tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False), strict=True):
+        made[k] = np.array(e.ids, np.int32)
+    return made
+
+
+@lru_cache(4)
+def _opening(tokenizer) -> np.ndarray:
+    """Of all ids: those whose token begins with a blank."""
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    return np.array([(tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(size)])
 
 
 def _encode(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +168,8 @@ def _encode(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     new = {}
     for k in range(0, len(unknown), 4096):
         part = unknown[k: k + 4096]
-        found = tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
-        for x, e in zip(part, found, strict=True):
-            (cache if len(x) <= KEPT else new)[x] = np.array(e.ids, np.int32).tobytes()
+        for x, ids in zip(part, _encoded(tokenizer, part), strict=True):
+            (cache if len(x) <= KEPT else new)[x] = ids.tobytes()
     known = [cache[x] if x in cache else new[x] for x in distinct]
     size = np.fromiter(map(len, known), np.int64, len(known)) // 4
     table, begin = np.frombuffer(b"".join(known), np.int32), np.cumsum(size) - size

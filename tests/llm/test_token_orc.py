@@ -10,7 +10,7 @@ from starmill.llm import token_orc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", None, "  two  blanks ", " lead", "trail ", "a  b", "a  b", "tab\t x", "x\n y", "don't it's we'll",
-       "“quoted” “again”", "nul\x00 byte", "日本語 のテキスト ！", "1 2 33 a1 b2", "long " * 9000, "<|endoftext|> x", "é " * 3, "\x1f a"]
+       "“quoted” “again”", "nul\x00 byte", "日本語 のテキスト ！", "1 2 33 a1 b2", "long " * 9000, "<|endoftext|> x", "é " * 3, "\x1f a", "a.\nB,c é,d\n\né\nf. G's 'x' [(a)] x<|endoftext|>y", "x\n.y a\n", "a\r\nb", "9.9,9-a_b"]
 
 
 def written(spark, rows, folder, columns="doc_id bigint, text string, shard string, ids int"):
