@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from starmill.functions.shared import shared_dir
-from starmill.llm import mixing, near_dup, token_orc
+from starmill.llm import mixing, near_dup, suffix_dedup, token_orc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, folder, "documents"))
+
+
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).drop("source")
 
@@ -32,6 +36,7 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_suffix_dedup": repeated_strings,
         "op5_mixing": mix_sources,
         "op8_minhash_near_dup": near_duplicates,
         "op9_token_orc": token_files,
