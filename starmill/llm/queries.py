@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from starmill.functions.shared import shared_dir
-from starmill.llm import mixing, near_dup, suffix_dedup, token_orc
+from starmill.llm import language_id, mixing, near_dup, quality, suffix_dedup, token_orc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, folder, "documents"))
 
@@ -23,6 +28,11 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).drop("source")
 
 
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality.predict(docs, quality.fit(docs, _table(spark, folder, "labels")))
+
+
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, folder, "documents"), near_dup.Rule(k=3, percent=85, rows=7))
 
@@ -36,8 +46,10 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_codes": languages,
         "op3_suffix_dedup": repeated_strings,
         "op5_mixing": mix_sources,
+        "op7_factorisation_machine": quality_scores,
         "op8_minhash_near_dup": near_duplicates,
         "op9_token_orc": token_files,
     }
