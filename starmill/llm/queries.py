@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from starmill.functions.shared import shared_dir
-from starmill.llm import language_id, mixing, near_dup, quality, suffix_dedup, token_orc
+from starmill.llm import decontaminate, language_id, licenses, mixing, near_dup, quality, suffix_dedup, token_orc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, folder, "documents"))
 
 
+def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("digest")
+
+
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).drop("source")
 
@@ -44,12 +48,18 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_orc.digest(token_orc.read_tokens(spark, path))
 
 
+def license_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_codes": languages,
         "op3_suffix_dedup": repeated_strings,
+        "op4_simhash_decontamination": benchmark_leaks,
         "op5_mixing": mix_sources,
         "op7_factorisation_machine": quality_scores,
         "op8_minhash_near_dup": near_duplicates,
         "op9_token_orc": token_files,
+        "op10_license_scan": license_labels,
     }
