@@ -85,5 +85,20 @@ select d.doc_id, cast(len(d.s) as bigint) as n_shingles,
     cast(least(d.doc_id, coalesce(l.low, d.doc_id)) as bigint) as component_id,
     d.doc_id <= coalesce(l.low, d.doc_id) as kept
 from shingled d left join least_id l on d.doc_id = l.node
+""",
+    "op6_dual_tree_top_k": """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+    from embeddings
+    where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+    select a.vec_id as query_id, b.vec_id as vec_id,
+        cast(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) as bigint) as score
+    from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
+select * from (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+    from scored)
+where rank <= 5
 """,
 }

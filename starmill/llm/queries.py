@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starmill.functions.shared import shared_dir
-from starmill.llm import decontaminate, language_id, licenses, mixing, near_dup, quality, suffix_dedup, token_orc
+from starmill.llm import decontaminate, language_id, licenses, mixing, near_dup, quality, suffix_dedup, token_orc, topk, url_trust
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return url_trust.judge(_table(spark, folder, "pages"))
+
+
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return language_id.predict(docs, language_id.fit(docs))
@@ -32,6 +37,10 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).drop("source")
 
 
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return quality.predict(docs, quality.fit(docs, _table(spark, folder, "labels")))
@@ -54,10 +63,12 @@ def license_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_host_trust": url_verdicts,
         "op2_language_codes": languages,
         "op3_suffix_dedup": repeated_strings,
         "op4_simhash_decontamination": benchmark_leaks,
         "op5_mixing": mix_sources,
+        "op6_dual_tree_top_k": nearest_vectors,
         "op7_factorisation_machine": quality_scores,
         "op8_minhash_near_dup": near_duplicates,
         "op9_token_orc": token_files,
