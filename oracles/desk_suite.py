@@ -17,7 +17,9 @@ _DESK = {
         from x_orders""",
     "d_order_line": """
         select o_id as ol_o_id, o_w_id as ol_w_id, o_d_id as ol_d_id, l_linenumber as ol_number,
-               l_partkey + 1 as ol_i_id, o_w_id as ol_supply_w_id,
+               l_partkey + 1 as ol_i_id,
+               case when (l_orderkey + l_linenumber * 7 + l_partkey) % 100 = 3
+                    then cast(o_w_id % 5 + 1 as int) else o_w_id end as ol_supply_w_id,
                l_shipdate + 7305 as ol_delivery_d, cast(l_quantity as int) as ol_quantity,
                l_extendedprice as ol_amount
         from x_lineitem join d_orders on o_id = l_orderkey""",

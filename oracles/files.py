@@ -23,10 +23,18 @@ _TRACES = """
 _POSITIONS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
               "o_orderpriority", "o_clerk", "o_shippriority", "o_comment"]
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+_KEYS = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey",
+    "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey",
+    "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id",
+    "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id",
+    "conversations": "conv_id",
+}
 
 _RAW = {
-    "scan_parquet": "select * from nation",
+    "scan_parquet": " union all ".join(
+        f"select '{t}' as tbl, count(*) as n, cast(sum({k}) as bigint) as key_total from {t}"
+        for t, k in _KEYS.items()),
     "read_tbl": """
         select o_orderkey, o_custkey, o_orderstatus, cast(o_totalprice as double) as o_totalprice,
                o_orderdate, o_orderpriority, o_clerk, o_shippriority, o_comment
@@ -53,14 +61,14 @@ _RAW = {
     "head_per_file": """
         select place, o_orderkey
         from (select o_orderkey, cast(row_number() over (
-                  partition by o_orderkey % 4 order by o_orderkey) as int) as place from x_orders)
+                  partition by o_orderkey // 1000 order by o_orderkey) as int) as place from x_orders)
         where place <= 3""",
     "last_row_per_chunk": """
         select cast(o_orderkey % 13 as int) as chunk, o_orderkey, o_custkey, o_orderdate
         from x_orders
         qualify row_number() over (partition by o_orderkey % 13 order by o_orderkey desc) = 1""",
     "warm_cache": " union all ".join(
-        f"select '{t}' as tbl, count(*) as n from {t}" for t in _TABLES),
+        f"select '{t}' as tbl, count(*) as n from {t}" for t in _KEYS),
     "parse_bench_log": _BENCH,
     "ch_timings": """
         select cast(event_id % 22 + 1 as int) as query, count(*) as runs,
@@ -81,11 +89,11 @@ _RAW = {
         select o_orderstatus, count(*) as orders, round(cast(sum(q) as double), 2) as quantity
         from (
             select k, o_orderstatus, (select sum(l_quantity) from x_lineitem
-                                      where l_orderkey = k % 10000000) as q
-            from (select o_orderkey as k, o_orderstatus from x_orders
+                                      where l_orderkey = old) as q
+            from (select o_orderkey as k, o_orderkey as old, o_orderstatus from x_orders
                   union all
-                  select o_orderkey + 10000000, o_orderstatus from x_orders
-                  where o_orderkey % 30 in (1, 2, 3))
+                  select o_orderkey + (select max(o_orderkey) + 1 from x_orders), o_orderkey, o_orderstatus
+                  from x_orders where o_orderkey % 30 in (1, 2, 3))
             where k not in (select event_id from events where event_id % 30 in (1, 2, 3)))
         group by o_orderstatus""",
 }

@@ -321,7 +321,7 @@ ORACLES = {
         select range as a, range * 2 as b, range % 100 as c, {N_ORD} - range as d
         from range(1, {N_ORD} + 1)""",
     "gen_query_order": f"""
-        select cast(c_custkey as bigint) as stream, cast(position as int) as position,
+        select cast(c_custkey % {len(words.QUERY_ORDERS)} as bigint) as stream, cast(position as int) as position,
                ([{', '.join(str(list(o)) for o in words.QUERY_ORDERS)}])
                    [c_custkey % {len(words.QUERY_ORDERS)} + 1][position] as query
         from customer cross join (select unnest(range(1, 23)) as position)""",

@@ -13,7 +13,8 @@ def _codes(column):
     return f"list_sum(list_transform(string_split({column}, ''), lambda c: ascii(c)))"
 
 
-def _totals(name, table, key, text):
+def _totals(name, table, key, *texts):
+    text = " || ".join(f"coalesce({t}, '')" for t in texts) or "''"
     return (f"select '{name}' as tbl, cast(sum({key}) as bigint) as key_total,"
             f" cast(sum({_codes(text)}) as bigint) as text_total from {table}")
 
@@ -225,11 +226,18 @@ _RAW = {
         from x_orders group by o_custkey, o_orderstatus""",
     "agg_distinct_by_group": "select l_partkey from x_lineitem group by l_partkey",
     "agg_checksum": " union all ".join([
-        _totals("customer", "x_customer", "c_custkey", "c_name"),
-        _totals("supplier", "x_supplier", "s_suppkey", "s_name"),
-        _totals("part", "x_part", "p_partkey", "p_name"),
-        _totals("orders", "x_orders", "o_orderkey", "o_orderpriority"),
+        _totals("region", "x_region", "r_regionkey", "r_name"),
         _totals("nation", "x_nation", "n_nationkey", "n_name"),
+        _totals("supplier", "x_supplier", "s_suppkey", "s_name", "s_address", "s_phone", "s_comment"),
+        _totals("customer", "x_customer", "c_custkey", "c_name", "c_address", "c_phone",
+                "c_mktsegment", "c_comment"),
+        _totals("part", "x_part", "p_partkey", "p_name", "p_mfgr", "p_brand", "p_type", "p_container"),
+        "select 'partsupp' as tbl, cast(sum(ps_partkey) as bigint) as key_total,"
+        " cast(0 as bigint) as text_total from x_partsupp",
+        _totals("orders", "x_orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_clerk",
+                "o_comment"),
+        _totals("lineitem", "x_lineitem", "l_orderkey", "l_returnflag", "l_linestatus",
+                "l_shipinstruct", "l_shipmode"),
     ]),
     "agg_param_batch": """
         select id, count(o_orderkey) as n,

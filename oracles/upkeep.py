@@ -27,7 +27,7 @@ _FOREIGN = [
 _RAW = {
     "dml_insert": """
         select c_custkey, c_name, c_mktsegment from x_customer
-        union all select event_id + 1000000, null, 'NEW' from events""",
+        union all select event_id + (select max(c_custkey) + 1 from x_customer), null, 'NEW' from events""",
     "dml_update_set": """
         select c_custkey, coalesce(new, c_mktsegment) as c_mktsegment
         from x_customer left join (
@@ -74,11 +74,11 @@ _RAW = {
         select o_orderstatus, count(*) as orders, round(cast(sum(q) as double), 2) as quantity
         from (
             select k, o_orderstatus, (select sum(l_quantity) from x_lineitem
-                                      where l_orderkey = k % 10000000) as q
-            from (select o_orderkey as k, o_orderstatus from x_orders
+                                      where l_orderkey = old) as q
+            from (select o_orderkey as k, o_orderkey as old, o_orderstatus from x_orders
                   union all
-                  select o_orderkey + 10000000, o_orderstatus from x_orders
-                  where o_orderkey % 10 = 0)
+                  select o_orderkey + (select max(o_orderkey) + 1 from x_orders), o_orderkey, o_orderstatus
+                  from x_orders where o_orderkey % 10 = 0)
             where k not in (select event_id from events))
         group by o_orderstatus""",
     "dq_primary_key": """

@@ -154,14 +154,14 @@ def query_parameters(seeds: DataFrame, factor: float = 1.0) -> DataFrame:
 
 def query_order(streams: DataFrame,
                 orders: list[tuple[int, ...]] | None = None) -> DataFrame:
-    """Queries of every ``stream`` in order; streams beyond the table start it again.
+    """Queries of every ``stream`` in order; a stream beyond the table is an error.
 
-    Only the first orders are fixed values here; pass the full table to run more
-    streams than it has rows.
+    Only the first orders are fixed values here; pass a longer table to run more streams.
     """
     table = F.array(*[F.array(*[F.lit(q) for q in row]) for row in orders or words.QUERY_ORDERS])
     length = len(orders or words.QUERY_ORDERS)
     return streams.select(
         "stream",
-        F.posexplode(F.get(table, (F.col("stream") % length).cast("int"))).alias("at", "query"),
+        F.posexplode(F.when(F.col("stream") < length, F.get(table, F.col("stream").cast("int"))).otherwise(
+            F.raise_error(F.lit(f"there are orders for {length} streams only")).cast("array<int>"))).alias("at", "query"),
     ).select("stream", (F.col("at") + 1).alias("position"), "query")

@@ -14,6 +14,7 @@ from starmill.generator.scale import Scale
 from starmill.generator.text import Pool
 
 SETS_PER_SLOT = 1000
+BLOCK = 4096
 
 
 def orders_per_set(scale: Scale) -> int:
@@ -24,10 +25,17 @@ def set_rows(sets: DataFrame, scale: Scale) -> DataFrame:
     """Rows of the sets numbered in column ``set_number``: the position in the set
     (from 0), the row among all new orders and the row that draws."""
     size = orders_per_set(scale)
-    # Below 10,000 orders a set is empty, and a sequence must not run backwards.
-    positions = F.sequence(F.lit(0), F.lit(max(size, 1) - 1))
+    # Below 10,000 orders a set is empty, and a sequence must not run backwards. Sets grow
+    # in two steps, blocks of positions and the positions of a block, with the blocks dealt
+    # out between, so no task makes a whole set. The bounds hang on a column: the optimizer
+    # would put an array of all positions into the plan otherwise.
+    blocks = F.sequence(F.col("set_number") * 0, F.lit(max(size - 1, 0) // BLOCK).cast("bigint"))
+    first = F.col("block") * BLOCK
     return (
-        sets.withColumn("position", F.explode(positions)).filter(F.lit(size > 0))
+        sets.filter(F.lit(size > 0)).withColumn("block", F.explode(blocks))
+        .repartition("set_number", "block")
+        .withColumn("position", F.explode(F.sequence(first, F.least(first + BLOCK, F.lit(size).cast("bigint")) - 1)))
+        .drop("block")
         .withColumn("new_row", (F.col("set_number") - 1) * size + F.col("position") + 1)
         .withColumn("row", F.col("new_row") + scale.orders)
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,26 +97,23 @@ def agg_distinct_by_group(star: Star) -> DataFrame:
     return star.lineitem.select("l_partkey").distinct()
 
 
-def text_checksum(column: str) -> Column:
+def text_checksum(column: Column | str) -> Column:
     """Sum of the character codes of a text."""
     return F.aggregate(
         F.split(column, ""), F.lit(0).cast("bigint"), lambda total, c: total + F.ascii(c))
 
 
 def agg_checksum(star: Star) -> DataFrame:
-    """Per-table verification totals over keys and text."""
-    def totals(name: str, df: DataFrame, key: str, text: str) -> DataFrame:
-        return df.agg(F.sum(F.col(key).cast("bigint")).alias("key_total"),
-                      F.sum(text_checksum(text)).alias("text_total")).select(
+    """Verification totals of all eight tables, over the key and all text columns."""
+    out = None
+    for name in ("region", "nation", "supplier", "customer", "part", "partsupp", "orders", "lineitem"):
+        df = getattr(star, name)
+        texts = [F.coalesce(F.col(c), F.lit("")) for c, kind in df.dtypes if kind == "string"]
+        text = F.sum(text_checksum(F.concat(*texts))) if texts else F.lit(0).cast("bigint")
+        row = df.agg(F.sum(F.col(df.columns[0]).cast("bigint")).alias("key_total"), text.alias("text_total")).select(
             F.lit(name).alias("tbl"), "key_total", "text_total")
-
-    return (
-        totals("customer", star.customer, "c_custkey", "c_name")
-        .unionByName(totals("supplier", star.supplier, "s_suppkey", "s_name"))
-        .unionByName(totals("part", star.part, "p_partkey", "p_name"))
-        .unionByName(totals("orders", star.orders, "o_orderkey", "o_orderpriority"))
-        .unionByName(totals("nation", star.nation, "n_nationkey", "n_name"))
-    )
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def agg_param_batch(star: Star) -> DataFrame:
@@ -198,12 +197,13 @@ def cte(star: Star) -> DataFrame:
 
 def view(star: Star) -> DataFrame:
     """Create a view, bind a query to it, drop the view."""
+    name = f"priority_counts_{uuid.uuid4().hex}"
     star.orders.groupBy("o_orderpriority").agg(
-        F.count(F.lit(1)).alias("n")).createOrReplaceTempView("priority_counts")
+        F.count(F.lit(1)).alias("n")).createOrReplaceTempView(name)
     try:
-        return star.spark.sql("select o_orderpriority, n from priority_counts where n > 10")
+        return star.spark.sql(f"select o_orderpriority, n from {name} where n > 10")
     finally:
-        star.spark.catalog.dropTempView("priority_counts")
+        star.spark.catalog.dropTempView(name)
 
 
 PLANS = {

@@ -45,12 +45,15 @@ def _customers_with_orders(desk: Desk) -> DataFrame:
     )
 
 
-def _lines_with_stock(desk: Desk) -> DataFrame:
-    """Order lines with the stock row that supplied them, and its supplier key."""
+def _lines_with_stock(desk: Desk, warehouse: str = "ol_supply_w_id") -> DataFrame:
+    """Order lines with a warehouse's stock row of their item, and its supplier key.
+
+    ``warehouse`` names the supplying warehouse or the home one, ``ol_w_id``.
+    """
     stock = desk.stock.select("s_w_id", "s_i_id", supplier_key().alias("s_suppkey"))
     return desk.order_line.join(
         stock,
-        (F.col("ol_supply_w_id") == F.col("s_w_id")) & (F.col("ol_i_id") == F.col("s_i_id")),
+        (F.col(warehouse) == F.col("s_w_id")) & (F.col("ol_i_id") == F.col("s_i_id")),
     )
 
 
@@ -88,14 +91,10 @@ def q02(desk: Desk) -> DataFrame:
         suppliers, F.col("s_suppkey") == F.col("su_suppkey"))
     items = desk.item.filter(F.col("i_data").like("%b")).select("i_id", "i_name")
     offers = stocked.join(items, F.col("s_i_id") == F.col("i_id"))
-    lowest = offers.groupBy(F.col("i_id").alias("m_i_id")).agg(
-        F.min("s_quantity").alias("m_s_quantity"))
+    # An item has one offer per warehouse, so the join runs once and a window compares them.
+    lowest = F.min("s_quantity").over(W.partitionBy("i_id"))
     return (
-        offers.join(
-            lowest,
-            (F.col("i_id") == F.col("m_i_id")) & (F.col("s_quantity") == F.col("m_s_quantity")),
-            "left_semi",
-        )
+        offers.withColumn("_lowest", lowest).filter(F.col("s_quantity") == F.col("_lowest"))
         .select("su_suppkey", "su_name", "n_name", "i_id", "i_name", "su_address", "su_phone",
                 "su_comment")
         .orderBy("n_name", "su_name", "i_id").limit(TOP)
@@ -154,9 +153,9 @@ def q05(desk: Desk) -> DataFrame:
         F.col("o_entry_d") >= F.lit("2015-01-02").cast("date")
     ).select("o_id", "o_w_id", "o_d_id", _home().alias("home"))
     lines = recent.join(
-        _lines_with_stock(desk),
+        _lines_with_stock(desk, "ol_w_id"),
         (F.col("ol_o_id") == F.col("o_id")) & (F.col("ol_w_id") == F.col("o_w_id"))
-        & (F.col("ol_d_id") == F.col("o_d_id")) & (F.col("ol_w_id") == F.col("s_w_id")),
+        & (F.col("ol_d_id") == F.col("o_d_id")),
     )
     suppliers = _suppliers_in(desk, F.col("r_name") == "Europe")
     return (
@@ -446,8 +445,7 @@ def q21(desk: Desk) -> DataFrame:
         F.col("ol_d_id").alias("m_d_id"),
     ).agg(F.max("ol_delivery_d").alias("m_delivery_d"))
     lines = (
-        _lines_with_stock(desk)
-        .filter(F.col("ol_w_id") == F.col("s_w_id"))
+        _lines_with_stock(desk, "ol_w_id")
         .join(_suppliers_of(desk, "Germany"), F.col("s_suppkey") == F.col("su_suppkey"))
     )
     return (
@@ -488,6 +486,6 @@ def q22(desk: Desk) -> DataFrame:
 
 def desk_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def run(plan: Callable[[Desk], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, path: plan(Desk(spark, path))
+        return lambda spark, path: plan(Desk(spark, path, idle_customers=True))
 
     return {f"ch_q{n:02d}": run(globals()[f"q{n:02d}"]) for n in range(1, 23)}

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 from starmill.functions import logs
 from starmill.functions.money import rounded
 from starmill.functions.shared import shared_dir
-from starmill.generator.parameters import query_order
+from starmill.generator.parameters import query_order, query_parameters
 from starmill.plans import star_suite
-from starmill.plans.star_runs import PARAMETERS
+from starmill.plans.star_runs import drawn_arguments
 from starmill.sources import files
 from starmill.sources.star import Star
 from starmill.streaming.refresh import apply_arrived
@@ -22,12 +22,20 @@ from starmill.streaming.refresh import apply_arrived
 Query = Callable[[SparkSession, str], DataFrame]
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+GIVEN = (*TABLES, "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 # --- scans, sources, sinks ---------------------------------------------------
 
 def scan_parquet(star: Star) -> DataFrame:
-    return star.raw("nation")
+    """Rows of every given table and the sum of its first column, a key."""
+    out = None
+    for name in GIVEN:
+        rows = star.raw(name)
+        row = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(rows.columns[0]).cast("bigint")).alias("key_total")).select(
+            F.lit(name).alias("tbl"), "n", "key_total")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def _written_orders(star: Star, chunks: int = 4) -> str:
@@ -125,12 +133,14 @@ def split_columns(star: Star) -> DataFrame:
 
 
 def head_per_file(star: Star, n: int = 3) -> DataFrame:
-    """Three first lines of each of four files that are one task's output each."""
+    """Three first lines of each file; a file has the orders of a thousand keys in order."""
     folder = shared_dir(star.spark, "head")
-    for chunk in range(4):
-        rows = star.orders.filter(F.col("o_orderkey") % 4 == chunk).orderBy("o_orderkey")
-        files.write_tbl(rows.coalesce(1), f"{folder}/orders.tbl.{chunk + 1}")
-    return files.head_per_file(star.spark, f"{folder}/orders.tbl*", n).select(
+    rows = star.orders.select(
+        F.floor(F.col("o_orderkey") / 1000).alias("chunk"), "o_orderkey",
+        F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
+    rows.repartition("chunk").sortWithinPartitions("chunk", "o_orderkey").select(
+        "chunk", "value").write.partitionBy("chunk").text(folder)
+    return files.head_per_file(star.spark, folder, n).select(
         "place", F.split("value", r"\|")[0].cast("bigint").alias("o_orderkey"))
 
 
@@ -142,11 +152,11 @@ def last_row_per_chunk(star: Star, chunks: int = 13) -> DataFrame:
 
 def table_size(star: Star) -> DataFrame:
     return files.table_size(
-        star.spark, {name: f"{star.path}/{name}.parquet" for name in TABLES})
+        star.spark, {name: f"{star.path}/{name}.parquet" for name in GIVEN})
 
 
 def warm_cache(star: Star) -> DataFrame:
-    return files.warm_cache({name: star.raw(name) for name in TABLES})
+    return files.warm_cache({name: star.raw(name) for name in GIVEN})
 
 
 # --- log reducers ------------------------------------------------------------
@@ -219,9 +229,6 @@ def log_success(star: Star) -> DataFrame:
 
 # --- refresh stream and query streams ----------------------------------------
 
-SHIFT = 10_000_000
-
-
 def stream_refresh_apply(star: Star, sets: int = 3) -> DataFrame:
     """Sets of new orders with their lines and of deletes, taken in as a stream.
 
@@ -231,13 +238,14 @@ def stream_refresh_apply(star: Star, sets: int = 3) -> DataFrame:
     spark = star.spark
     incoming, work = shared_dir(spark, "incoming"), shared_dir(spark, "refresh")
     orders, lines = star.orders, star.lineitem
+    shift = orders.agg(F.max("o_orderkey") + 1).scalar()
     for number in range(1, sets + 1):
         files.write_tbl(
             orders.filter(F.col("o_orderkey") % 30 == number).withColumn(
-                "o_orderkey", F.col("o_orderkey") + SHIFT), f"{incoming}/orders.tbl.u{number}")
+                "o_orderkey", F.col("o_orderkey") + shift), f"{incoming}/orders.tbl.u{number}")
         files.write_tbl(
             lines.filter(F.col("l_orderkey") % 30 == number).withColumn(
-                "l_orderkey", F.col("l_orderkey") + SHIFT), f"{incoming}/lineitem.tbl.u{number}")
+                "l_orderkey", F.col("l_orderkey") + shift), f"{incoming}/lineitem.tbl.u{number}")
         files.write_tbl(
             star.raw("events").filter(F.col("event_id") % 30 == number).select("event_id"),
             f"{incoming}/delete.{number}")
@@ -275,8 +283,12 @@ def run_stream(star: Star, stream: int, parameters: dict[str, dict],
     return out
 
 
-def stream_run(star: Star) -> DataFrame:
-    return run_stream(star, 1, PARAMETERS)
+def stream_run(star: Star, stream: int = 1, seed: int = 19_620_718) -> DataFrame:
+    """A stream with the parameters that its seed draws."""
+    seeds = star.spark.range(seed, seed + 1).withColumnRenamed("id", "seed")
+    drawn = query_parameters(seeds).collect()  # 22 rows
+    return run_stream(star, stream, {
+        f"q{row['query']:02d}": drawn_arguments(row["query"], list(row["parameters"])) for row in drawn})
 
 
 PLANS = (
@@ -289,6 +301,6 @@ PLANS = (
 
 def file_queries() -> dict[str, Query]:
     def run(plan: Callable[[Star], DataFrame]) -> Query:
-        return lambda spark, path: plan(Star(spark, path))
+        return lambda spark, path: plan(Star(spark, path, idle_customers=True))
 
     return {plan.__name__: run(plan) for plan in PLANS}

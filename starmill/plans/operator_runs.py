@@ -14,6 +14,6 @@ def operator_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plans = scalars.PLANS | joining.PLANS | aggregates.PLANS
 
     def run(plan: Callable[[Star], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, path: plan(Star(spark, path))
+        return lambda spark, path: plan(Star(spark, path, idle_customers=True))
 
     return {name: run(plan) for name, plan in plans.items()}

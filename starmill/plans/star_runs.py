@@ -88,7 +88,7 @@ DISTRIBUTED_LIMITS: dict[str, dict] = {
 
 def _run(name: str, parameters: dict) -> Query:
     plan = getattr(suite, name)
-    return lambda spark, path: plan(Star(spark, path), **parameters)
+    return lambda spark, path: plan(Star(spark, path, idle_customers=True), **parameters)
 
 
 def star_queries() -> dict[str, Query]:

@@ -86,13 +86,9 @@ def q02(star: Star, size: int = 15, type_suffix: str = "BRASS", region: str = "E
         .join(parts, F.col("ps_partkey") == F.col("p_partkey"))
         .join(suppliers, F.col("ps_suppkey") == F.col("s_suppkey"))
     )
-    cheapest = offers.groupBy(F.col("p_partkey").alias("_part")).agg(
-        F.min("ps_supplycost").alias("_lowest"))
-    best = offers.join(
-        cheapest,
-        (F.col("p_partkey") == F.col("_part")) & (F.col("ps_supplycost") == F.col("_lowest")),
-        "left_semi",
-    )
+    # A part has a handful of offers, so the join runs once and a window compares them.
+    lowest = F.min("ps_supplycost").over(W.partitionBy("p_partkey"))
+    best = offers.withColumn("_lowest", lowest).filter(F.col("ps_supplycost") == F.col("_lowest"))
     return _top(
         best.select(
             F.col("s_acctbal").cast("double").alias("s_acctbal"), "s_name", "n_name",
@@ -332,13 +328,13 @@ def q11(star: Star, nation: str = "GERMANY", fraction: float = 0.0001) -> DataFr
         star.partsupp
         .join(suppliers, F.col("ps_suppkey") == F.col("s_suppkey"), "left_semi")
         .groupBy("ps_partkey")
-        .agg(F.sum(F.col("ps_supplycost") * F.col("ps_availqty")).cast("double").alias("value"))
+        .agg(F.sum(F.col("ps_supplycost") * F.col("ps_availqty")).alias("value"))
     )
-    # The total is taken over the grouped rows, so both uses share one shuffle.
-    threshold = values.agg(F.sum("value") * F.lit(fraction)).scalar()
+    # The exact total is taken over the grouped rows, so both uses share one shuffle.
+    threshold = values.agg(F.sum("value").cast("double") * F.lit(fraction)).scalar()
     return (
-        values.filter(F.col("value") > threshold)
-        .select("ps_partkey", F.round("value", 2).alias("value"))
+        values.filter(F.col("value").cast("double") > threshold)
+        .select("ps_partkey", F.round(F.col("value").cast("double"), 2).alias("value"))
         .orderBy(F.desc("value"), "ps_partkey")
     )
 
@@ -413,16 +409,12 @@ def q13(star: Star, word1: str = "special", word2: str = "requests") -> DataFram
 
 
 def q13a(star: Star, word1: str = "special", word2: str = "requests") -> DataFrame:
-    """``q13`` through a view that is dropped once the plan is bound."""
-    view = "orders_per_cust"
-    _orders_per_customer(star, word1, word2).createOrReplaceTempView(view)
-    try:
-        return star.spark.sql(
-            f"select c_count as ordercount, count(*) as custdist from {view}"
-            " group by c_count order by custdist desc, ordercount desc"
-        )
-    finally:
-        star.spark.catalog.dropTempView(view)
+    """``q13`` through a view of its own that is dropped once the plan is bound."""
+    return star.spark.sql(
+        "select c_count as ordercount, count(*) as custdist from {orders_per_cust}"
+        " group by c_count order by custdist desc, ordercount desc",
+        orders_per_cust=_orders_per_customer(star, word1, word2),
+    )
 
 
 def _month_lines_with_type(star: Star, day: str) -> DataFrame:
@@ -474,23 +466,18 @@ def q15(star: Star, day: str = "1996-01-01") -> DataFrame:
 
 def q15a(star: Star, day: str = "1996-01-01") -> DataFrame:
     """``q15`` with a common table expression."""
-    _quarter_revenue(star, day).createOrReplaceTempView("quarter_revenue")
-    star.supplier.createOrReplaceTempView("quarter_supplier")
-    try:
-        return star.spark.sql(
-            """
-            with best as (
-                select supplier_no, total_revenue from quarter_revenue
-                where total_revenue = (select max(total_revenue) from quarter_revenue))
-            select s_suppkey, s_name, s_address, s_phone,
-                   round(cast(total_revenue as double), 2) as total_revenue
-            from quarter_supplier join best on s_suppkey = supplier_no
-            order by s_suppkey
-            """
-        )
-    finally:
-        star.spark.catalog.dropTempView("quarter_revenue")
-        star.spark.catalog.dropTempView("quarter_supplier")
+    return star.spark.sql(
+        """
+        with best as (
+            select supplier_no, total_revenue from {revenue}
+            where total_revenue = (select max(total_revenue) from {revenue}))
+        select s_suppkey, s_name, s_address, s_phone,
+               round(cast(total_revenue as double), 2) as total_revenue
+        from {supplier} join best on s_suppkey = supplier_no
+        order by s_suppkey
+        """,
+        revenue=_quarter_revenue(star, day), supplier=star.supplier,
+    )
 
 
 def q16(star: Star, brand: str = "Brand#45", type_prefix: str = "MEDIUM POLISHED",

@@ -42,8 +42,8 @@ def _keyed(df: DataFrame, key: str, n: int) -> DataFrame:
 def dml_insert(star: Star) -> DataFrame:
     """Events become new customers with a key beyond the table and a default segment."""
     table = star.customer.select("c_custkey", "c_name", "c_mktsegment")
-    rows = star.raw("events").select(
-        (F.col("event_id") + 1_000_000).alias("c_custkey"))
+    first = table.agg(F.max("c_custkey") + 1).scalar()
+    rows = star.raw("events").select((F.col("event_id") + first).alias("c_custkey"))
     return dml.insert(table, rows, {"c_mktsegment": F.lit("NEW")})
 
 
@@ -115,7 +115,7 @@ def dml_refresh_pair(star: Star) -> DataFrame:
     orders named by the events are deleted."""
     orders = star.orders.select("o_orderkey", "o_orderstatus")
     lines = star.lineitem.select("l_orderkey", "l_quantity")
-    shift = 10_000_000
+    shift = orders.agg(F.max("o_orderkey") + 1).scalar()
     new_orders = orders.filter(F.col("o_orderkey") % 10 == 0).withColumn(
         "o_orderkey", F.col("o_orderkey") + shift)
     new_lines = lines.filter(F.col("l_orderkey") % 10 == 0).withColumn(
@@ -214,6 +214,6 @@ PLANS = (
 
 def upkeep_queries() -> dict[str, Query]:
     def run(plan: Callable[[Star], DataFrame]) -> Query:
-        return lambda spark, path: plan(Star(spark, path))
+        return lambda spark, path: plan(Star(spark, path, idle_customers=True))
 
     return {plan.__name__: run(plan) for plan in PLANS}

@@ -228,11 +228,11 @@ PLANS = (
 
 def workload_queries() -> dict[str, Query]:
     def run(plan: Callable[[Star], DataFrame]) -> Query:
-        return lambda spark, path: plan(Star(spark, path))
+        return lambda spark, path: plan(Star(spark, path, idle_customers=True))
 
     def template(plan: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
         def answer(spark: SparkSession, path: str) -> DataFrame:
-            star = Star(spark, path)
+            star = Star(spark, path, idle_customers=True)
             return plan(_ids(star), _table(star))
         return answer
 

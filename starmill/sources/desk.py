@@ -28,9 +28,9 @@ def supplier_key() -> Column:
 class Desk:
     """Order-desk tables of one directory."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, idle_customers: bool = False):
         self.spark = spark
-        self.star = Star(spark, path)
+        self.star = Star(spark, path, idle_customers)
 
     @cached_property
     def _complete(self) -> bool:
@@ -95,7 +95,9 @@ class Desk:
             "o_d_id as ol_d_id",
             "l_linenumber as ol_number",
             "l_partkey + 1 as ol_i_id",
-            "o_w_id as ol_supply_w_id",
+            # about one line in a hundred comes from another warehouse
+            "case when (l_orderkey + l_linenumber * 7 + l_partkey) % 100 = 3"
+            f" then cast(o_w_id % {WAREHOUSES} + 1 as int) else o_w_id end as ol_supply_w_id",
             f"date_add(l_shipdate, {DAYS_MOVED}) as ol_delivery_d",
             "cast(l_quantity as int) as ol_quantity",
             "l_extendedprice as ol_amount",

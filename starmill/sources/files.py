@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from starmill.operators.layout import REFERENCE_LIMIT_BYTES, estimated_bytes
 
 # Column order and types of the delimited files.
 _DDL = {
@@ -133,8 +133,8 @@ def compare_answers(result: DataFrame, expected: DataFrame, tolerance: float = 0
 
 
 def write_metrics_csv(rows: DataFrame, path: str) -> None:
-    """Metric rows with a header, as one file; there is one row per test."""
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Metric rows with a header, one file per task."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
 
 
 def split_columns(spark: SparkSession, path: str, separator: str = "|") -> DataFrame:
@@ -188,10 +188,13 @@ def table_size(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
 
 
 def warm_cache(tables: dict[str, DataFrame]) -> DataFrame:
-    """Count every table; tables small enough to be copied to all tasks stay cached."""
+    """Count every table and keep it, in memory as far as that goes, else on disk.
+
+    ``spark.catalog.clearCache()`` or ``unpersist`` lets them go.
+    """
     counts = None
     for name, df in tables.items():
-        kept = df.cache() if estimated_bytes(df) <= REFERENCE_LIMIT_BYTES else df
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
         row = kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tbl"), "n")
         counts = row if counts is None else counts.unionByName(row)
     return counts

@@ -20,18 +20,22 @@ _FILES = {"orders": r"^orders\.tbl\.u(\d+)", "lineitem": r"^lineitem\.tbl\.u(\d+
 
 def collect_changes(spark: SparkSession, incoming: str, work: str) -> None:
     """File all lines that have arrived into the change log and stop."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    path = F.col("_metadata.file_path")
+    name = F.regexp_extract(path, r"([^/]+)$", 1)
     kind, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     lines = spark.readStream.format("text").option("recursiveFileLookup", True).load(incoming)
     # A set written by several tasks is a folder named like the single file.
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    delivery = path
     for table, pattern in _FILES.items():
         for source in (folder, name):
             matches = source.rlike(pattern)
             kind = F.when(matches, table).otherwise(kind)
             number = F.when(matches, F.regexp_extract(source, pattern, 1).cast("bigint")).otherwise(number)
-    changes = lines.select("value", kind.alias("kind"), number.alias("set_number")).filter(
-        "kind is not null")
+        delivery = F.when(folder.rlike(pattern), F.regexp_extract(path, r"^(.*)/[^/]+$", 1)).otherwise(delivery)
+    changes = lines.select(
+        "value", kind.alias("kind"), number.alias("set_number"), delivery.alias("delivery")
+    ).filter("kind is not null")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{work}/log/batch={batch_id}")
@@ -45,21 +49,22 @@ def collect_changes(spark: SparkSession, incoming: str, work: str) -> None:
 
 
 def _rows(log: DataFrame, kind: str) -> DataFrame:
-    """Rows of one kind; a set delivered again in a later batch is ignored."""
-    own = log.filter(F.col("kind") == kind)
+    """Rows of one kind, each as often as the delivery of its set that has it most.
+
+    A delivery is a file, or a folder named like one. So parts of a set add up whenever
+    they arrive, and a set that is delivered again counts once.
+    """
+    times = log.filter(F.col("kind") == kind).groupBy("set_number", "value", "delivery").agg(
+        F.count(F.lit(1)).alias("n"))
+    own = times.groupBy("set_number", "value").agg(F.max("n").alias("n")).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
     columns = schema(kind)
     cells = F.split("value", r"\|")
     return own.select(
-        "set_number", "batch",
+        "set_number",
         *[F.get(cells, i).cast(f.dataType).alias(f.name) for i, f in enumerate(columns.fields)])
 
 
-def _first_delivery(rows: DataFrame) -> DataFrame:
-    # One small row per set.
-    first = rows.groupBy("set_number").agg(F.min("batch").alias("batch"))
-    return rows.join(first, ["set_number", "batch"], "left_semi").drop("batch")
-
-
 def _apply(base: DataFrame, inserted: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     """Base and inserted rows without those deleted in the same set or a later one."""
     last = deleted.groupBy(F.col("o_orderkey").alias("_gone")).agg(
@@ -75,9 +80,9 @@ def apply_arrived(spark: SparkSession, incoming: str, work: str, orders: DataFra
                   lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Take in what has arrived and return orders and lines with all sets applied."""
     collect_changes(spark, incoming, work)
-    log = spark.read.schema("value string, kind string, set_number bigint, batch bigint").parquet(
+    log = spark.read.schema("value string, kind string, set_number bigint, delivery string").parquet(
         f"{work}/log")
     new_orders, new_lines, deleted = (
-        _first_delivery(_rows(log, kind)) for kind in ("orders", "lineitem", "delete"))
+        _rows(log, kind) for kind in ("orders", "lineitem", "delete"))
     return (_apply(orders, new_orders, deleted, "o_orderkey"),
             _apply(lines, new_lines, deleted, "l_orderkey"))

@@ -22,7 +22,7 @@ def spark():
 def star(spark):
     from starmill.sources.star import Star
 
-    return Star(spark, DATA)
+    return Star(spark, DATA, idle_customers=True)
 
 
 def plan_of(df, mode="simple"):

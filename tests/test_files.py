@@ -120,6 +120,30 @@ def test_refresh_stream_equals_batch(spark, tmp_path):
     assert got_lines.exceptAll(want_lines).count() == 0
 
 
+def test_a_set_may_arrive_in_parts(spark, tmp_path):
+    """Parts of one set in two batches, and a part that comes again, equal the whole set."""
+    scale = Scale.of(0.01)
+    base = row_numbers(spark, 1, 300)
+    orders = tables.orders(base, scale).withColumn("o_comment", F.lit(""))
+    lines = tables.lineitem(base, scale).withColumn("l_comment", F.lit(""))
+    more = row_numbers(spark, 301, 400)
+    new_orders = tables.orders(more, scale).withColumn("o_comment", F.lit(""))
+    new_lines = tables.lineitem(more, scale).withColumn("l_comment", F.lit(""))
+    incoming, work = str(tmp_path / "in"), str(tmp_path / "work")
+    first, second = F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 2 == 1
+    files.write_tbl(new_orders.filter(first), f"{incoming}/a/orders.tbl.u1")
+    files.write_tbl(new_lines, f"{incoming}/a/lineitem.tbl.u1")
+    files.write_tbl(orders.filter("o_orderkey < 40").select("o_orderkey"), f"{incoming}/a/delete.1")
+    collect_changes(spark, incoming, work)
+    files.write_tbl(new_orders.filter(second), f"{incoming}/b/orders.tbl.u1")
+    files.write_tbl(new_orders.filter(first).repartition(3), f"{incoming}/c/orders.tbl.u1")
+    got_orders, got_lines = apply_arrived(spark, incoming, work, orders, lines)
+    deleted = orders.filter("o_orderkey < 40").select("o_orderkey")
+    want_orders, want_lines = dml.refresh(orders, lines, new_orders, new_lines, deleted)
+    assert got_orders.count() == want_orders.count() and got_orders.exceptAll(want_orders).count() == 0
+    assert got_lines.count() == want_lines.count() and got_lines.exceptAll(want_lines).count() == 0
+
+
 def test_shared_dir_uses_the_named_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     one, other = shared_dir(spark, "x"), shared_dir(spark, "x")

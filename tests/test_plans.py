@@ -1,8 +1,14 @@
 """Plans that must hold at scale, checked with automatic broadcast switched off."""
 
+from decimal import Decimal
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from starmill.functions.money import exact_sum
+from starmill.generator import parameters, refresh
+from starmill.generator.scale import Scale
 from starmill.operators import joining
 from starmill.plans import star_suite
 from tests.conftest import DATA
@@ -38,6 +44,36 @@ def test_lines_are_read_once(star, plan):
         assert plan(query(star), "formatted").count("lineitem.parquet") == 1
 
 
+def test_offers_are_joined_once(star, plan):
+    assert plan(star_suite.q02(star), "formatted").count("lineitem.parquet") == 1
+
+
+def test_large_refresh_sets_stay_out_of_the_plan(spark, plan):
+    sets = spark.range(1, 3).withColumnRenamed("id", "set_number")
+    text = plan(refresh.set_rows(sets, Scale.of(100_000)))
+    assert len(text) < 20_000
+    rows = refresh.set_rows(sets, Scale.of(1)).groupBy("set_number").agg(
+        F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last"),
+        F.countDistinct("position").alias("different"))
+    assert {tuple(r) for r in rows.collect()} == {(1, 1500, 0, 1499, 1500), (2, 1500, 0, 1499, 1500)}
+
+
+def test_sums_beyond_64_bits_are_exact(spark):
+    big = (1 << 43) - 7
+    rows = spark.range(3_000_000).select(F.when(F.col("id") % 3 == 0, -5).otherwise(big).alias("x"))
+    got = rows.agg(exact_sum("x", 2).alias("s")).first().s
+    assert got == Decimal(2_000_000 * big - 5_000_000) / 100
+
+
+def test_unknown_stream_is_an_error(spark):
+    from starmill.generator import words
+
+    known = len(words.QUERY_ORDERS)
+    assert parameters.query_order(spark.range(known).withColumnRenamed("id", "stream")).count() == 22 * known
+    with pytest.raises(Exception, match="streams only"):
+        parameters.query_order(spark.range(known, known + 1).withColumnRenamed("id", "stream")).collect()
+
+
 def test_colocated_join_has_no_exchange_below_it(star, plan):
     text = plan(joining.join_colocated(star, 4))
     below = text[text.index("SortMergeJoin"):]
