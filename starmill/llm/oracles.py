@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from starmill.llm.licenses import COMMON, TEMPLATES
+
 _DEMAND = """
     case rank % 3
     when 0 then case when share * 1.0::double < 1.0::double
@@ -22,6 +24,10 @@ _DEMAND = """
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+# The licence sentences are parameters of the query, so both sides read the same ones.
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{a}', '{b}', '{c}')" for k, (a, b, c) in enumerate(TEMPLATES))
+_COMMON = ", ".join(f"'{w}'" for w in sorted(COMMON))
+
 ORACLES = {
     "op5_mixing": rf"""
 with recursive sized as (
@@ -100,5 +106,77 @@ select * from (
     select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
     from scored)
 where rank <= 5
+""",
+    "op3_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as (
+    select doc_id, i, substring(h, 2 * i + 1, 200) as s
+    from (select doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) as i from d)),
+later as (
+    select doc_id, i from windows
+    qualify row_number() over (partition by s order by doc_id, i) > 1),
+numbered as (
+    select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run
+    from (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as fresh
+          from later)),
+runs as (select doc_id, run, min(i) as a, max(i) + 100 as b from numbered group by doc_id, run),
+gaps as (
+    select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from runs),
+cut as (
+    select g.doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last_end,
+        string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' order by a) as head
+    from gaps g join d on g.doc_id = d.doc_id group by g.doc_id)
+select d.doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+    cast(coalesce(n_spans, 0) as bigint) as n_spans,
+    sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last_end, 0) + 1))) as kept_sha256
+from d left join cut c on d.doc_id = c.doc_id
+""",
+    "op10_license_scan": rf"""
+with templates(template, label, sentence, phrase) as (values {_TEMPLATE_ROWS}),
+sentences as (
+    select template, label,
+        list_filter(regexp_split_to_array(translate(sentence, {_UPPER}), '[^a-z0-9]+'), lambda x: x <> '') as w,
+        list_filter(regexp_split_to_array(translate(phrase, {_UPPER}), '[^a-z0-9]+'), lambda x: x <> '') as p
+    from templates),
+started as (
+    select *, list_filter(range(1, len(w) + 1), lambda i: w[i : i + len(p) - 1] = p)[1] as origin from sentences),
+index as (
+    select template, label, i - 1 as place, w[i] as word, (i >= origin and i < origin + len(p))::int as needed
+    from (select *, unnest(range(1, len(w) + 1)) as i from started)
+    where (i >= origin and i < origin + len(p)) or w[i] not in ({_COMMON})),
+docs as (
+    select row_number() over () as r, doc_id,
+        list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_UPPER}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+    from documents),
+places as (
+    select r, w[i] as word, i - 1 as place, w from (select r, w, unnest(range(1, len(w) + 1)) as i from docs)
+    where w[i] in (select word from index)),
+weights as (
+    select word, round(ln(((select count(*) from docs) + 1)::double / (count(distinct r) + 1)) + 1.0, 6) as weight
+    from (select r, word from places union all select null, word from index) group by word),
+rare as (
+    select r, word from (select distinct r, word from places) join weights using (word)
+    qualify row_number() over (partition by r order by weight desc, word) <= 4),
+aligned as (
+    select p.r, i.template, i.label, p.place - i.place as shift, sum(weight) as weight, sum(i.needed) as needed,
+        max((p.word in (select word from rare x where x.r = p.r))::int) as has_rare
+    from places p join index i on p.word = i.word join weights g on g.word = i.word group by all),
+totals as (select template, sum(weight) as whole, sum(needed) as all_needed from index join weights using (word) group by template),
+agreed as (
+    select r, list(distinct label) as found, max(weight / whole) as best
+    from aligned join totals using (template)
+    where has_rare = 1 and needed = all_needed and weight / whole >= 0.6 group by r),
+base as (
+    select r, phrase, label, i - 1 as place
+    from (select r, w, unnest(range(1, len(w) + 1)) as i from docs),
+        (values (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')) as b(phrase, label)
+    where w[i] = phrase[1] and w[i : i + len(phrase) - 1] = phrase),
+based as (select r, count(*) as n, min(place) as first_word, max(place) as last_word, list(distinct label) as labels from base group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_base,
+    cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
+    coalesce(array_to_string(list_sort(b.labels), ','), '') as base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(found, [])))), ','), '') as labels,
+    case when n > 0 then 1.0 else round(least(coalesce(best, 0.0), 1.0), 6) end as score
+from docs d left join based b on d.r = b.r left join agreed a on d.r = a.r
 """,
 }
