@@ -43,6 +43,12 @@ def _suite(seed=11, calls=12):
     return " union all ".join(rows)
 
 
+def _draws(seed=5, calls=10):
+    drawn = random.Random(seed)
+    return [(drawn.randrange(10), drawn.randrange(10), drawn.randrange(10_000), drawn.randrange(10_000))
+            for _ in range(calls)]
+
+
 _STATEMENTS = """
     (select o_orderkey, case when cast(o_orderkey as varchar) like '%89' then o_totalprice + 2
                              else o_totalprice end as o_totalprice
@@ -68,8 +74,8 @@ _RAW = {
         join x_nation a on a.n_nationkey = s_nationkey
         join x_nation b on b.n_nationkey = c_nationkey
         where l_shipdate between date '1995-01-01' and date '1996-12-31'
-          and ((a.n_name = 'NATION_6' and b.n_name = 'NATION_9')
-            or (a.n_name = 'NATION_9' and b.n_name = 'NATION_6'))
+          and (a.n_name, b.n_name) in (('NATION_6', 'NATION_9'), ('NATION_9', 'NATION_6'),
+                                       ('NATION_3', 'NATION_7'), ('NATION_7', 'NATION_3'))
         group by 1, 2, 3""",
     "jdbc_delete_update_like": f"""
         select count(*) as n, round(cast(sum(o_totalprice) as double), 2) as total
@@ -77,10 +83,18 @@ _RAW = {
     "jdbc_sum_like": f"""
         select round(cast(sum(o_totalprice) as double), 2) as total
         from {_STATEMENTS} where cast(o_orderkey as varchar) like '%88'""",
-    "jdbc_suppkey_prio": """
-        select l_partkey, count(distinct o_orderkey) as orders, count(*) as n
+    "jdbc_suppkey_prio": " union all ".join(f"""
+        select {v} as value, l_partkey, count(distinct o_orderkey) as orders, count(*) as n
         from x_lineitem join x_orders on l_suppkey = o_shippriority
-        where l_quantity < 9 and o_totalprice <> 9 group by l_partkey""",
+        where l_quantity < {v} and o_totalprice <> {v} group by l_partkey""" for v in range(10)),
+    "jdbc_join4_draws": " union all ".join(
+        f"""select {k} as call, least(count(*), 3000) as rows from (
+            select distinct l_partkey, o_orderkey
+            from x_lineitem join x_part on p_partkey = l_partkey
+            join x_orders on o_orderkey = l_orderkey join x_customer on c_custkey = o_custkey
+            where (l_quantity > {q} or l_extendedprice > {e}) and p_size > 8
+              and o_totalprice > {t} and c_acctbal < {b})"""
+        for k, (q, e, t, b) in enumerate(_draws())),
     "jdbc_join4_params": """
         select l_partkey, o_orderkey, count(*) as n
         from x_lineitem join x_part on p_partkey = l_partkey

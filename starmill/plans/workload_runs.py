@@ -9,7 +9,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starmill.functions.money import mean, net_sum, rounded
@@ -52,8 +52,14 @@ def jdbc_join_param(star: Star, suppliers: tuple[int, ...] = (15, 155, 1555)) ->
     return counts.unpivot([], [str(s) for s in suppliers], "supplier", "n")
 
 
-def jdbc_nation_pairs(star: Star, one: str = "NATION_6", other: str = "NATION_9") -> DataFrame:
-    pairs = F.broadcast(opposite_pairs(star.nation, "n_nationkey", "n_name", one, other))
+def jdbc_nation_pairs(star: Star, pairs_wanted: tuple[tuple[str, str], ...] = (
+        ("NATION_6", "NATION_9"), ("NATION_3", "NATION_7"))) -> DataFrame:
+    """Trade within each pair of nations; all pairs in one pass over the lines."""
+    pairs = None
+    for one, other in pairs_wanted:
+        pair = opposite_pairs(star.nation, "n_nationkey", "n_name", one, other)
+        pairs = pair if pairs is None else pairs.unionByName(pair)
+    pairs = F.broadcast(pairs)
     orders = star.orders.join(star.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", "c_nationkey")
     return (
@@ -88,19 +94,26 @@ def jdbc_sum_like(star: Star) -> DataFrame:
     return deleted.agg(rounded(F.sum("o_totalprice")).alias("total"))
 
 
-def jdbc_suppkey_prio(star: Star, quantity: int = 9, price: int = 9) -> DataFrame:
-    """Lines joined to orders on l_suppkey = o_shippriority, counted per part.
+def jdbc_suppkey_prio(star: Star, values: tuple[int, ...] = tuple(range(10))) -> DataFrame:
+    """Lines joined to orders on l_suppkey = o_shippriority, counted per part, for lines below
+    and orders not at each value; all values in one pass.
 
     All orders share a ship priority, so listing each (part, order) would repeat the
     orders for every part. Both sides are counted per key before the join instead; a
     part's rows pair with each of ``orders``.
     """
-    lines = star.lineitem.filter(F.col("l_quantity") < quantity).groupBy(
-        "l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("lines"))
-    orders = star.orders.filter(F.col("o_totalprice") != price).groupBy("o_shippriority").agg(
-        F.count(F.lit(1)).alias("orders"))
-    return lines.join(orders, F.col("l_suppkey") == F.col("o_shippriority")).select(
-        "l_partkey", "orders", (F.col("lines") * F.col("orders")).alias("n"))
+    names = [f"v{v}" for v in values]
+    lines = star.lineitem.groupBy("l_suppkey", "l_partkey").agg(*[
+        F.count(F.when(F.col("l_quantity") < v, 1)).alias(f"v{v}") for v in values])
+    orders = star.orders.groupBy("o_shippriority").agg(*[
+        F.count(F.when(F.col("o_totalprice") != v, 1)).alias(f"v{v}") for v in values])
+    value = F.substring("name", 2, 10).cast("int").alias("value")
+    lines = lines.unpivot(["l_suppkey", "l_partkey"], names, "name", "lines").filter("lines > 0")
+    orders = orders.unpivot(["o_shippriority"], names, "name", "orders").filter("orders > 0")
+    return lines.join(
+        orders.withColumnRenamed("name", "other"),
+        (F.col("l_suppkey") == F.col("o_shippriority")) & (F.col("name") == F.col("other"))
+    ).select(value, "l_partkey", "orders", (F.col("lines") * F.col("orders")).alias("n"))
 
 
 def jdbc_join4_params(star: Star, quantity: int = 5, extended: int = 7, total: int = 5000,
@@ -118,6 +131,28 @@ def jdbc_join4_params(star: Star, quantity: int = 5, extended: int = 7, total: i
     )
 
 
+def jdbc_join4_draws(star: Star, seed: int = 5, calls: int = 10, limit: int = 3000) -> DataFrame:
+    """Rows that each of some drawn calls of the four-table join returns; one pass for all."""
+    drawn = random.Random(seed)
+    draws = [(drawn.randrange(10), drawn.randrange(10), drawn.randrange(10_000), drawn.randrange(10_000))
+             for _ in range(calls)]
+    joined = (
+        star.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+        .join(star.part.filter(F.col("p_size") > 8), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+        .join(star.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(star.customer, F.col("o_custkey") == F.col("c_custkey"))
+    )
+    meets = [
+        ((F.col("l_quantity") > q) | (F.col("l_extendedprice") > e)) & (F.col("o_totalprice") > t)
+        & (F.col("c_acctbal") < b) for q, e, t, b in draws]
+    pairs = joined.groupBy("l_partkey", "o_orderkey").agg(*[
+        F.max(m.cast("int")).alias(f"c{k}") for k, m in enumerate(meets)])
+    counts = pairs.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"c{k}") for k in range(calls)])
+    return counts.unpivot([], [f"c{k}" for k in range(calls)], "call", "found").select(
+        F.substring("call", 2, 10).cast("int").alias("call"),
+        F.least("found", F.lit(limit)).cast("bigint").alias("rows"))
+
+
 # --- random procedure templates ----------------------------------------------
 
 def _table(star: Star) -> DataFrame:
@@ -167,20 +202,30 @@ def rows_by_id(ids: DataFrame, table: DataFrame) -> DataFrame:
     return table.join(ids, F.col("a") == F.col("id"), "left_semi").select(F.col("a").alias("id"))
 
 
+def _cut(answers: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """``limit`` and ``offset`` within the answer of each id.
+
+    Spark pushes the upper rank below the shuffle, so an id with very many rows sends a
+    few per task.
+    """
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("id")))
+    return answers.withColumn("place", place).filter(
+        (F.col("place") <= limit + offset) & (F.col("place") > offset)).drop("place")
+
+
 def count_limited(ids: DataFrame, table: DataFrame) -> DataFrame:
-    """A limit of three on a single count changes nothing."""
-    return _counts(ids, table)
+    """A limit of three on an answer of one row."""
+    return _cut(_counts(ids, table), 3)
 
 
 def count_skipped(ids: DataFrame, table: DataFrame) -> DataFrame:
-    """An offset of one on a single count leaves no row for any id."""
-    return _counts(ids, table).filter(F.lit(False))
+    """An offset of one on an answer of one row."""
+    return _cut(_counts(ids, table), 3, 1)
 
 
 def rows_skipped(ids: DataFrame, table: DataFrame) -> DataFrame:
-    """Per id, rows two to four of its equal rows: their number follows from the count."""
-    kept = F.least(F.greatest(F.col("n") - 1, F.lit(0)), F.lit(3))
-    return _counts(ids, table).select("id", kept.alias("n")).filter(F.col("n") > 0)
+    """Per id, rows two to four of its equal rows, counted."""
+    return _cut(rows_by_id(ids, table), 3, 1).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_by_id(ids: DataFrame, table: DataFrame) -> DataFrame:
@@ -222,7 +267,7 @@ def rand_suite(star: Star, seed: int = 11, calls: int = 12) -> DataFrame:
 PLANS = (
     jdbc_count_orders, jdbc_join2, jdbc_join2_cust, jdbc_join3, jdbc_join_param,
     jdbc_nation_pairs, jdbc_delete_update_like, jdbc_sum_like, jdbc_suppkey_prio,
-    jdbc_join4_params, rand_suite,
+    jdbc_join4_params, jdbc_join4_draws, rand_suite,
 )
 
 
