@@ -69,6 +69,10 @@ _RAW = {
         qualify row_number() over (partition by o_orderkey % 13 order by o_orderkey desc) = 1""",
     "warm_cache": " union all ".join(
         f"select '{t}' as tbl, count(*) as n from {t}" for t in _KEYS),
+    "table_size": "with s as (" + " union all ".join(
+        f"select '{t}' as tbl, count(*) as n from {t}" for t in _KEYS)
+        + ") select tbl, n as rows, true as stored from s"
+        " union all select 'total', cast(sum(n) as bigint), true from s",
     "parse_bench_log": _BENCH,
     "ch_timings": """
         select cast(event_id % 22 + 1 as int) as query, count(*) as runs,

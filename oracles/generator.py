@@ -320,6 +320,11 @@ ORACLES = {
     "gen_series": f"""
         select range as a, range * 2 as b, range % 100 as c, {N_ORD} - range as d
         from range(1, {N_ORD} + 1)""",
+    "gen_random_tables": """
+        select cast(k as int) as tbl, n, n as largest, cast(n * (n + 1) // 2 as bigint) as total
+        from (select k, c + cast('0x' || substr(md5('7:' || k), 1, 8) as bigint) % (c + 1) as n
+              from (select unnest(range((select count(*) from region))) as k,
+                           (select count(*) from customer) as c))""",
     "gen_query_order": f"""
         select cast(c_custkey % {len(words.QUERY_ORDERS)} as bigint) as stream, cast(position as int) as position,
                ([{', '.join(str(list(o)) for o in words.QUERY_ORDERS)}])

@@ -239,6 +239,8 @@ _RAW = {
         _totals("lineitem", "x_lineitem", "l_orderkey", "l_returnflag", "l_linestatus",
                 "l_shipinstruct", "l_shipmode"),
     ]),
+    "limit_unordered_count": """
+        select least(count(*), 10) as rows, least(count(*), 10) as members from x_orders""",
     "agg_param_batch": """
         select id, count(o_orderkey) as n,
                cast(sum(o_totalprice) as double) / count(o_orderkey) as average

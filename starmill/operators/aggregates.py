@@ -152,6 +152,13 @@ def limit_unordered(star: Star, k: int = 10) -> DataFrame:
     return star.orders.select("o_orderkey", "o_orderstatus").limit(k)
 
 
+def limit_unordered_count(star: Star, k: int = 10) -> DataFrame:
+    """How many rows a limit without an order gives, and how many of them the table has."""
+    some = limit_unordered(star, k)
+    there = some.join(star.orders.select("o_orderkey", F.lit(1).alias("there")), "o_orderkey", "left")
+    return there.agg(F.countDistinct("o_orderkey").alias("rows"), F.count("there").alias("members"))
+
+
 def limit_offset(star: Star) -> DataFrame:
     return star.orders.select("o_orderkey").orderBy(F.desc("o_orderkey")).offset(1).limit(3)
 
@@ -212,7 +219,7 @@ PLANS = {
         agg_group_multi, agg_global, agg_count_col, agg_count_distinct, agg_min_max,
         agg_conditional, agg_of_agg, agg_having, agg_having_subquery, agg_group_expr,
         agg_group_hidden, agg_distinct_by_group, agg_checksum, agg_param_batch,
-        sort_multi, sort_by_agg, topk, limit_unordered, limit_offset,
+        sort_multi, sort_by_agg, topk, limit_unordered, limit_unordered_count, limit_offset,
         subq_scalar, subq_scalar_correlated, subq_from, cte, view,
     )
 }

@@ -151,8 +151,10 @@ def last_row_per_chunk(star: Star, chunks: int = 13) -> DataFrame:
 
 
 def table_size(star: Star) -> DataFrame:
+    """Rows of each given table and in all, and whether its files have bytes."""
     return files.table_size(
-        star.spark, {name: f"{star.path}/{name}.parquet" for name in GIVEN})
+        star.spark, {name: f"{star.path}/{name}.parquet" for name in GIVEN}
+    ).select("tbl", "rows", (F.col("bytes") > 0).alias("stored"))
 
 
 def warm_cache(star: Star) -> DataFrame:

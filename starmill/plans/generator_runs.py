@@ -182,18 +182,20 @@ def gen_refresh_segments(star: Star, segments: int = 4) -> DataFrame:
 
 
 def gen_series(star: Star) -> DataFrame:
-    """Rows 1..n with expressions, n being the number of given orders."""
-    n = star.raw("orders").count()
-    return star.spark.range(1, n + 1).select(
-        F.col("id").alias("a"), (F.col("id") * 2).alias("b"), (F.col("id") % 100).alias("c"),
-        (n - F.col("id")).alias("d"))
+    """Rows 1..n with expressions, one per given order."""
+    rows = _rows(star, "orders", "o_orderkey")
+    n = rows.agg(F.count(F.lit(1))).scalar()
+    return rows.select(
+        F.col("row").alias("a"), (F.col("row") * 2).alias("b"), (F.col("row") % 100).alias("c"),
+        (n - F.col("row")).alias("d"))
 
 
 def random_tables(spark: SparkSession, tables_wanted: int, seed: int, low: int = 1_000,
                   high: int = 1_000_000) -> list[DataFrame]:
     """Tables (a, b) with a = b = 1..n for seeded random sizes."""
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10)
     sizes = spark.range(tables_wanted).select(
-        (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(high - low + 1)) + low).alias("n")).collect()
+        (drawn.cast("bigint") % F.lit(high - low + 1) + low).alias("n")).collect()
     return [
         spark.range(1, row["n"] + 1).select(F.col("id").alias("a"), F.col("id").alias("b"))
         for row in sizes]
