@@ -11,7 +11,8 @@ logistic of
 the sum-of-squares form of all pairwise interactions, linear in the number of features.
 
 Learning reads a bounded sample: about ``PER_CLASS`` labelled texts of each class, drawn by
-a hash of the id, featurised in tasks; the driver fits by Adagrad. Labels of one id that
+a hash of the id, featurised in tasks; the driver fits by Adagrad, with rows weighted by the
+number of labelled rows that they stand for. Labels of one id that
 disagree, nulls and other values than 0 and 1 are not learned from. Labels, language, source
 and id are never features. Every row gets a score, null and empty texts too (no words, zero
 shares); without both classes in the sample all scores are 1.
@@ -145,10 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_column: str = "text") -> Model
     rows.sort(key=lambda r: (r["doc_id"], r["statistics"]))
     if len({r["quality"] for r in rows}) < 2:
         return None
-    return _learn(rows)
+    return _learn(rows, counts)
 
 
-def _learn(rows: list[dict], rounds: int = 12, batch: int = 64, rate: float = 0.08) -> Model:
+def _learn(rows: list[dict], counts: dict[int, int], rounds: int = 12, batch: int = 64, rate: float = 0.08) -> Model:
     label = np.array([r["quality"] for r in rows], float)
     raw = np.array([r["statistics"] for r in rows])
     mean, deviation = raw.mean(0), raw.std(0) + 1e-6
@@ -161,7 +162,9 @@ def _learn(rows: list[dict], rounds: int = 12, batch: int = 64, rate: float = 0.
     n = WORDS + x.shape[1]
     linear, factors, base = np.zeros(n), rng.normal(0, 0.02, (n, FACTORS)), 0.0
     seen_linear, seen_factors, seen_base = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
-    weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
+    # a row weighs as many labelled rows as it stands for
+    whole = counts[0] + counts[1]
+    weight = np.where(label == 1, counts[1] / whole / label.mean(), counts[0] / whole / (1 - label.mean()))
     for _ in range(rounds):
         for some in np.array_split(rng.permutation(len(rows)), max(len(rows) // batch, 1)):
             pick = np.concatenate([np.arange(begin[k], begin[k + 1]) for k in some])
