@@ -44,6 +44,7 @@ LENGTH, CORE, RANGE = 100, 30, 16
 PLACES = "h bigint, f bigint, doc bigint, at bigint"
 MARKS = "settled boolean, doc bigint, at bigint"
 NO_ID = -(1 << 63)
+_SETTLED = np.int64(-(1 << 63))
 
 
 def _at(start: np.ndarray, count: np.ndarray, ahead: np.ndarray, check: np.ndarray) -> np.ndarray:
@@ -103,7 +104,7 @@ def _anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...] |
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of each text; those that repeat a context of their batch have no bucket."""
+    """Anchors of each text; those that repeat a context of their batch are settled."""
     for batch in batches:
         found = []
         ids = batch.column("doc").to_numpy()
@@ -130,8 +131,11 @@ def _later(fresh: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _rows(h: np.ndarray, f: np.ndarray, doc: np.ndarray, at: np.ndarray, settled: np.ndarray) -> pa.RecordBatch:
+    """Rows of PLACES; settled ones have the sign bit in ``at`` and a bucket drawn by place, so they spread."""
+    drawn = mix(doc.astype(np.int64).view(np.uint64) ^ at.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h, f = np.where(settled, drawn, h), np.where(settled, drawn, f)
     return pa.RecordBatch.from_arrays(
-        [pa.array(h.view(np.int64), mask=settled), pa.array(f.view(np.int64), mask=settled), pa.array(doc), pa.array(at)],
+        [pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(doc), pa.array(np.where(settled, at ^ _SETTLED, at))],
         names=["h", "f", "doc", "at"])
 
 
@@ -148,15 +152,13 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     held = None  # the current class's first place: h, f, doc, at, whether its bucket has others
     for batch in batches:
-        bucket = batch.column("h")
-        if bucket.null_count:
-            none = bucket.is_null().to_numpy(zero_copy_only=False)
-            doc, at = batch.column("doc").to_numpy(), batch.column("at").to_numpy()
-            yield _marks(np.ones(int(none.sum()), bool), doc[none], at[none])
-            batch = batch.filter(pa.array(~none))
-        if not batch.num_rows:
-            continue
         h, f, doc, at = (batch.column(c).to_numpy() for c in ("h", "f", "doc", "at"))
+        done = at < 0
+        if done.any():
+            yield _marks(np.ones(int(done.sum()), bool), doc[done], at[done] ^ _SETTLED)
+            h, f, doc, at = h[~done], f[~done], doc[~done], at[~done]
+        if not len(h):
+            continue
         if held is not None:
             h, f, doc, at = (np.concatenate(([x], y)) for x, y in zip(held[:4], (h, f, doc, at), strict=True))
         fresh = _class_starts(h, f)
