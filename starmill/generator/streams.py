@@ -10,6 +10,8 @@ and each draw then costs one multiplication. Products stay below 2^62.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +23,23 @@ DIGIT_BITS = 8
 DIGITS = 5  # rows up to 2^40
 
 
+def _array_text(values: list[int]) -> str:
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)"
+
+
 def long_array(values: list[int]) -> Column:
     """Array literal; written as one string, which the optimizer folds to a constant."""
-    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
+    return F.expr(_array_text(values))
+
+
+@lru_cache(256)
+def _powers(step: int, digit: int) -> str:
+    """Array literal of the powers of ``step`` by the values of a digit of the row number."""
+    base, table, power = pow(step, 1 << (DIGIT_BITS * digit), MODULUS), [], 1
+    for _ in range(1 << DIGIT_BITS):
+        table.append(power)
+        power = power * base % MODULUS
+    return _array_text(table)
 
 
 def word_array(values: list[str]) -> Column:
@@ -34,16 +50,12 @@ def word_array(values: list[str]) -> Column:
 def jump(row: Column, reserved: int) -> Column:
     """16807^((row - 1) * reserved) mod (2^31 - 1) for a one-based row number."""
     step = pow(MULTIPLIER, reserved, MODULUS)
-    skip = row - 1
+    skip = F.when(row <= 1 << (DIGIT_BITS * DIGITS), row - 1).otherwise(
+        F.raise_error(F.lit("row numbers go up to 2^40")).cast("bigint"))
     product: Column | None = None
     for digit in range(DIGITS):
-        base = pow(step, 1 << (DIGIT_BITS * digit), MODULUS)
-        table, power = [], 1
-        for _ in range(1 << DIGIT_BITS):
-            table.append(power)
-            power = power * base % MODULUS
         index = F.shiftright(skip, DIGIT_BITS * digit).bitwiseAND((1 << DIGIT_BITS) - 1)
-        factor = F.get(long_array(table), index.cast("int"))
+        factor = F.get(F.expr(_powers(step, digit)), index.cast("int"))
         product = factor if product is None else product * factor % MODULUS
     return product
 

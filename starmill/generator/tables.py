@@ -191,27 +191,30 @@ def _order_draws(rows: DataFrame, key: Column | None) -> DataFrame:
     )
 
 
-def _line_draw(stream: str, line: Column) -> Column:
+def _line_draw(stream: str, line: Column | int) -> Column:
+    """Draw of a line, whose number is a column or known."""
+    if isinstance(line, int):
+        return draw(stream, F.col("j7"), line)
     return draw_at(stream, F.col("j7"), line, MOST_LINES)
 
 
-def _line_part(scale: Scale, line: Column) -> Column:
+def _line_part(scale: Scale, line: Column | int) -> Column:
     return uniform(_line_draw("line_part", line), 1, scale.parts)
 
 
-def _line_quantity(line: Column) -> Column:
+def _line_quantity(line: Column | int) -> Column:
     return uniform(_line_draw("line_quantity", line), 1, 50)
 
 
-def _line_discount(line: Column) -> Column:
+def _line_discount(line: Column | int) -> Column:
     return uniform(_line_draw("line_discount", line), 0, 10)
 
 
-def _line_tax(line: Column) -> Column:
+def _line_tax(line: Column | int) -> Column:
     return uniform(_line_draw("line_tax", line), 0, 8)
 
 
-def _line_ship(line: Column) -> Column:
+def _line_ship(line: Column | int) -> Column:
     """Day a line ships, counted from the start date."""
     return F.col("day") + uniform(_line_draw("line_ship", line), 1, 121)
 
@@ -226,18 +229,16 @@ def orders(rows: DataFrame, scale: Scale, pool: Pool | None = None,
     """
     drawn = _order_draws(rows, key)
 
-    def add_line(so_far: Column, line: Column) -> Column:
+    # The lines are written out one by one, which stays within generated code.
+    total, shipped = F.lit(0).cast("bigint"), F.lit(0)
+    for line in range(1, MOST_LINES + 1):
         price = retail_price(_line_part(scale, line)) * _line_quantity(line)
         net = F.floor(price * (100 - _line_discount(line)) / 100)
         cents = F.floor(net * (100 + _line_tax(line)) / 100)
-        return F.struct(
-            (so_far["total"] + cents).alias("total"),
-            (so_far["shipped"] + F.when(_line_ship(line) <= _CUTOFF, 1).otherwise(0))
-            .alias("shipped"))
-
-    nothing = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("shipped"))
-    drawn = drawn.withColumn("sum", F.aggregate(
-        F.sequence(F.lit(1), F.col("lines").cast("int")), nothing, add_line))
+        has = F.col("lines") >= line
+        total = total + F.when(has, cents).otherwise(0)
+        shipped = shipped + F.when(has & (_line_ship(line) <= _CUTOFF), 1).otherwise(0)
+    drawn = drawn.withColumn("sum", F.struct(total.alias("total"), shipped.alias("shipped")))
     j1 = F.col("j1")
     buyer = uniform(draw("order_customer", j1, 1), 1, scale.customers)
     # A third of customers place no orders: multiples of three move to a neighbour.
