@@ -25,6 +25,10 @@ _FOREIGN = [
 ]
 
 _RAW = {
+    "tenant_read": """
+        select o_orderkey as id, o_orderpriority as data from x_orders
+        where o_custkey % 10 = 4 and o_orderkey % 4 = 1
+        order by o_orderkey desc limit 1""",
     "dml_insert": """
         select c_custkey, c_name, c_mktsegment from x_customer
         union all select event_id + (select max(c_custkey) + 1 from x_customer), null, 'NEW' from events""",

@@ -12,13 +12,21 @@ def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int)
     """Write ``df`` hash-distributed on ``key``; equal bucket counts join without a shuffle.
 
     Rows are moved to their bucket before the write, so a bucket is one file, not
-    one file per task.
+    one file per task. A key that holds much of the data makes its bucket as large, and
+    a join without a shuffle cannot split it: store such tables unbucketed and leave the
+    join to AQE's skew split (``join_repartition``).
+
+    The catalog entry only serves to read the buckets. It goes once the table's plan is
+    bound; the files stay at ``path``.
     """
     (
         df.repartition(buckets, key).write.mode("overwrite").format("parquet")
         .option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
     )
-    return df.sparkSession.table(table)
+    bound = df.sparkSession.table(table)
+    bound.schema  # binds the plan to the files
+    df.sparkSession.sql(f"drop table {table}")
+    return bound
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -175,14 +175,27 @@ def table_distribute(star: Star) -> DataFrame:
     return out
 
 
-def tenant_layout(star: Star) -> DataFrame:
-    """Orders stored per tenant and table, then one key read from one tenant."""
-    path = shared_dir(star.spark, "tenants")
-    rows = star.orders.select(
+def _tenants(star: Star) -> DataFrame:
+    return star.orders.select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("data"),
         (F.col("o_custkey") % 10).cast("int").alias("tenant"),
         (F.col("o_orderkey") % 4).cast("int").alias("tbl"))
+
+
+def tenant_read(star: Star, tenant: int = 4, tbl: int = 1) -> DataFrame:
+    """The row with the largest key of one tenant's table, read by that key from its folder."""
+    path = shared_dir(star.spark, "tenants")
+    rows = _tenants(star)
     layout.write_tenants(rows, path)
+    own = rows.filter((F.col("tenant") == tenant) & (F.col("tbl") == tbl))
+    key = own.agg(F.max("id").alias("id")).first()["id"]
+    return layout.read_tenant(star.spark, path, tenant, tbl, key).select("id", "data")
+
+
+def tenant_layout(star: Star) -> DataFrame:
+    """Orders stored per tenant and table, counted per folder."""
+    path = shared_dir(star.spark, "tenants")
+    layout.write_tenants(_tenants(star), path)
     whole = star.spark.read.parquet(path)
     return whole.groupBy("tenant", "tbl").agg(F.count("id").alias("n"))
 
@@ -208,7 +221,7 @@ PLANS = (
     dml_insert, dml_update_set, dml_update_delta, dml_update_all_but, dml_update_like,
     dml_delete_keys, dml_insert_select, dml_insert_on_conflict, dml_refresh_pair,
     dq_primary_key, dq_foreign_key, dq_orphans, dq_check, dq_defaults_notnull,
-    table_distribute, tenant_layout, wide_table,
+    table_distribute, tenant_layout, tenant_read, wide_table,
 )
 
 
