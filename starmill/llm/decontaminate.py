@@ -61,35 +61,37 @@ def _keyed(docs: DataFrame, text_column: str) -> DataFrame:
 
 def fingerprint(shingles: DataFrame, by: list[str]) -> DataFrame:
     """SimHash of groups of rows ``h``, ``times``, ``weight``: (by, print, whole)."""
-    value = F.col("times") * F.col("weight")
-    sums = [F.sum(F.when(F.shiftright("h", b).bitwiseAND(F.lit(1)) == 1, value).otherwise(0)).alias(f"bit{b}") for b in range(64)]
-    made = F.lit(0).cast("bigint")
-    for b in range(64):
-        made = made.bitwiseOR(F.when(F.col(f"bit{b}") * 2 >= F.col("whole"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
-    return shingles.groupBy(*by).agg(F.sum(value).alias("whole"), *sums).select(*by, made.alias("print"), "whole")
+    value = "times * weight"
+    sums = [F.expr(f"sum(if(shiftright(h, {b}) & 1 = 1, {value}, 0)) as bit{b}") for b in range(64)]
+    made = " | ".join(f"if(bit{b} * 2 >= whole, shiftleft(1L, {b}), 0L)" for b in range(64))
+    return shingles.groupBy(*by).agg(F.expr(f"sum({value}) as whole"), *sums).select(*by, F.expr(f"{made} as print"), "whole")
 
 
 def _widths() -> list[int]:
     return [64 // BLOCKS + (b >= BLOCKS - 64 % BLOCKS) for b in range(BLOCKS)]
 
 
-def _blocks(print_column: str, near: bool) -> Column:
-    """Blocks of a fingerprint as structs (block, value), with the neighbours of each if ``near``."""
+def _masks(near: bool) -> Column:
+    """Block, shift, bits of the block, and what to flip: nothing, or up to the bits of a near one.
+
+    A constant array, so the plan holds one value and not an expression per mask.
+    """
     made, at = [], 0
     for b, width in enumerate(_widths()):
-        value = F.shiftrightunsigned(print_column, at).bitwiseAND(F.lit((1 << width) - 1))
         for n in range(RADIUS // BLOCKS + 1 if near else 1):
-            for bits in combinations(range(width), n):
-                made.append(F.struct(F.lit(b).alias("block"), value.bitwiseXOR(F.lit(sum(1 << x for x in bits)).cast("bigint")).alias("value")))
+            made += [f"named_struct('block', {b}, 'at', {at}, 'bits', {(1 << width) - 1}L, 'flip', {sum(1 << x for x in bits)}L)"
+                     for bits in combinations(range(width), n)]
         at += width
-    return F.array(*made)
+    return F.expr(f"explode(array({', '.join(made)}))")
+
+
+_VALUE = "((shiftrightunsigned(print, mask.at) & mask.bits) ^ mask.flip) as value"
 
 
 def within_radius(windows: DataFrame, items: DataFrame, items_rows: int) -> DataFrame:
     """Pairs of rows of ``windows`` and ``items`` (print each) within the radius, with ``distance``."""
-    one = windows.withColumn("x", F.explode(_blocks("print", False))).select("*", "x.block", "x.value").drop("x")
-    two = items.withColumn("x", F.explode(_blocks("print", True))).select(
-        "item", F.col("print").alias("other"), "x.block", "x.value")
+    one = windows.withColumn("mask", _masks(False)).select("*", "mask.block", F.expr(_VALUE)).drop("mask")
+    two = items.withColumn("mask", _masks(True)).select("item", F.col("print").alias("other"), "mask.block", F.expr(_VALUE))
     variants = sum(len(list(combinations(range(w), n))) for w in _widths() for n in range(RADIUS // BLOCKS + 1))
     pairs = one.join(_bounded(two, items_rows * variants), ["block", "value"])
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("other")))

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,22 +143,25 @@ def fit(docs: DataFrame, labels: DataFrame, text_column: str = "text") -> Model
     # the drawn ids are at most 4 * PER_CLASS rows of two numbers
     rows = texts.join(F.broadcast(drawn), "doc_id").limit(8 * PER_CLASS).select("doc_id", "quality", "text", "stored").mapInArrow(
         _featuriser, "doc_id bigint, quality int, buckets array<int>, shares array<double>, statistics array<double>"
-    ).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["statistics"]))
-    if len({r["quality"] for r in rows}) < 2:
+    ).toArrow().combine_chunks()
+    if len(rows.column("quality").unique()) < 2:
         return None
     return _learn(rows, counts)
 
 
-def _learn(rows: list[dict], counts: dict[int, int], rounds: int = 12, batch: int = 64, rate: float = 0.08) -> Model:
-    label = np.array([r["quality"] for r in rows], float)
-    raw = np.array([r["statistics"] for r in rows])
+def _learn(rows: pa.Table, counts: dict[int, int], rounds: int = 12, batch: int = 64, rate: float = 0.08) -> Model:
+    def flat(name: str) -> np.ndarray:
+        return rows.column(name).combine_chunks().flatten().to_numpy()
+
+    raw = flat("statistics").reshape(rows.num_rows, -1)
+    order = np.lexsort((*raw.T, rows.column("doc_id").to_numpy()))  # as tasks end in any order
+    rows, raw = rows.take(pa.array(order)), raw[order]
+    label = rows.column("quality").to_numpy().astype(float)
     mean, deviation = raw.mean(0), raw.std(0) + 1e-6
     x = np.clip((raw - mean) / deviation, -4, 4)
-    size = np.array([len(r["buckets"]) for r in rows])
+    size = pc.list_value_length(rows.column("buckets")).to_numpy()
     begin = np.concatenate(([0], np.cumsum(size)))
-    bucket = np.concatenate([np.array(r["buckets"], np.int64) for r in rows])
-    share = np.concatenate([np.array(r["shares"]) for r in rows])
+    bucket, share = flat("buckets").astype(np.int64), flat("shares")
     rng = np.random.default_rng(7)
     n = WORDS + x.shape[1]
     linear, factors, base = np.zeros(n), rng.normal(0, 0.02, (n, FACTORS)), 0.0
@@ -166,7 +170,7 @@ def _learn(rows: list[dict], counts: dict[int, int], rounds: int = 12, batch: in
     whole = counts[0] + counts[1]
     weight = np.where(label == 1, counts[1] / whole / label.mean(), counts[0] / whole / (1 - label.mean()))
     for _ in range(rounds):
-        for some in np.array_split(rng.permutation(len(rows)), max(len(rows) // batch, 1)):
+        for some in np.array_split(rng.permutation(rows.num_rows), max(rows.num_rows // batch, 1)):
             pick = np.concatenate([np.arange(begin[k], begin[k + 1]) for k in some])
             row, col, val = np.repeat(np.arange(len(some)), size[some]), bucket[pick], share[pick]
             dense = x[some]
