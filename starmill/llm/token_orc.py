@@ -35,8 +35,8 @@ from starmill.llm.kernel import mix, powers, prefix_hash, text_slices
 SCHEMA = "doc_id bigint, shard int, place bigint, n_tokens bigint, ids array<int>"
 END = 0
 #: Pieces a worker remembers, and the longest that it keeps, in bytes.
-CACHE, KEPT = 600_000, 64
-_SLICE = 4 << 20
+CACHE, KEPT = 250_000, 64
+_SLICE = 2 << 20
 _WIDE = {0xE19A80, 0xE2819F, 0xE38080, 0xE280A8, 0xE280A9, 0xE280AF, *range(0xE28080, 0xE2808B)}
 
 _workers: dict[str, tuple] = {}
