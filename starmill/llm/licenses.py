@@ -1,12 +1,12 @@
 """Licence scan by a positional index of rare words.
 
 Templates are licence sentences. The index holds, for each of their words but the commonest
-English ones, its positions in the templates. Per file: of the licence words in it, those
-with the highest inverse document frequency (counted over all files) are looked up; each
-posting gives an alignment, position in the file less position in the template; all licence
-words of the file that agree with the same alignment are intersected. An alignment counts if
-it holds a looked-up word, all words of the template's mandatory phrase, and at least
-``SHARE`` of the template's weight.
+English ones, its positions in the templates. Per template the word of its mandatory phrase
+with the highest inverse document frequency (counted over all files) is looked up; a file
+without it cannot hold the phrase. For the templates found so, each posting gives an alignment,
+position in the file less position in the template; all licence words of the file that agree
+with the same alignment are intersected. An alignment counts if it holds all words of the
+template's mandatory phrase and at least ``SHARE`` of the template's weight.
 
 Base phrases are found word by word besides; their labels always stay.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from starmill.llm.stored import stored
 
 SIGNS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-LOOKED_UP, SHARE = 4, 0.6
+SHARE = 0.6
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Label, sentence, mandatory phrase (words that stand in the sentence).
 TEMPLATES = (
@@ -117,25 +117,26 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES,
     # one count per indexed word: the templates fix how many rows come back
     for r in rows.select(F.explode(F.array_distinct("hits.w")).alias("w")).groupBy("w").count().collect():
         seen[r["w"]] = r["count"]
-    weight = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, round(_idf(files, seen[w]), 6))))
+    idf = {w: round(_idf(files, seen[w]), 6) for w in vocabulary}
+    rarest = {k: max((idf[w], w) for t, _, w, _, needed in index if t == k and needed)[1] for k in range(len(templates))}
+    weight = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, idf[w])))
     listed = spark.range(1).select(F.explode(F.array(*(
         F.struct(F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(w).alias("w"), F.lit(at).alias("at"),
-                 F.lit(needed).alias("needed")) for k, label, w, at, needed in index))).alias("x")).select("x.*")
+                 F.lit(needed).alias("needed"), F.lit(rarest[k]).alias("rarest")) for k, label, w, at, needed in index))).alias("x")).select("x.*")
     weighed = listed.withColumn("weight", F.element_at(weight, F.col("w")))
     totals = weighed.groupBy("template").agg(F.sum("weight").alias("whole"), F.sum("needed").alias("all_needed"))
+    looked_up = F.array(*(F.lit(w) for w in sorted(set(rarest.values()))))
     marked = rows.where(F.size("hits") > 0).select(
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "digest", "hits",
-        F.transform(F.slice(F.array_sort(F.transform(
-            F.array_distinct("hits.w"), lambda w: F.struct((-F.element_at(weight, w)).alias("s"), w.alias("w")))),
-            1, LOOKED_UP), lambda x: x["w"]).alias("rare")).dropDuplicates(["id", "digest"])
+        F.array_intersect("hits.w", looked_up).alias("rare")).where(F.size("rare") > 0).dropDuplicates(["id", "digest"])
     found = marked.select("id", "digest", "rare", F.explode("hits").alias("hit")).select(
-        "id", "digest", F.col("hit.w").alias("w"), F.col("hit.p").alias("p"),
-        F.array_contains("rare", F.col("hit.w")).cast("int").alias("rare"))
-    aligned = found.join(F.broadcast(weighed), "w").groupBy("id", "digest", "template", "label", (F.col("p") - F.col("at")).alias("shift")).agg(
-        F.sum("weight").alias("weight"), F.sum("needed").alias("needed"), F.max("rare").alias("rare"))
+        "id", "digest", "rare", F.col("hit.w").alias("w"), F.col("hit.p").alias("p"))
+    aligned = found.join(F.broadcast(weighed), "w").where(F.array_contains("rare", F.col("rarest"))).groupBy(
+        "id", "digest", "template", "label", (F.col("p") - F.col("at")).alias("shift")).agg(
+        F.sum("weight").alias("weight"), F.sum("needed").alias("needed"))
     share = F.col("weight") / F.col("whole")
     agreed = aligned.join(F.broadcast(totals), "template").where(
-        (F.col("rare") == 1) & (F.col("needed") == F.col("all_needed")) & (share >= SHARE)).groupBy("id", "digest").agg(
+        (F.col("needed") == F.col("all_needed")) & (share >= SHARE)).groupBy("id", "digest").agg(
         F.collect_set("label").alias("found"), F.max(share).alias("best"))
     named = F.array_sort(F.filter(F.array(*(
         F.when(F.size(F.get("base", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(base))),

@@ -55,6 +55,18 @@ def test_labels_of_the_method(spark):
     assert got[9] == "mit"
 
 
+def test_every_complete_alignment_counts(spark):
+    """Several licences in a file, and ordinary words of other templates around one."""
+    ordinary = "The software is free for any person and any purpose, permission to copy and distribute a version into the domain. "
+    several = " ".join(sentence + "." for _, sentence, _ in licenses.TEMPLATES)
+    rows = [(0, several), (1, ordinary + LINES[2]), (2, LINES[2] + " " + ordinary), (3, ordinary + LINES[3] + " " + LINES[0])]
+    rows += [(10 + k, "the apache license of a public mit domain") for k in range(30)]
+    got = {r.doc_id: r for r in scanned(spark, rows)}
+    assert set(got[0].labels.split(",")) >= {label for label, _, _ in licenses.TEMPLATES}
+    assert [got[k].labels for k in (1, 2, 3)] == ["apache-2.0", "apache-2.0", "cc-by,cc-by-nc-4.0,mit"]
+    assert got[1].score == got[2].score == 1
+
+
 def test_empty_table(spark):
     assert scanned(spark, []) == []
 
