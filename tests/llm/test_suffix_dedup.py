@@ -65,6 +65,22 @@ def test_rows_that_repeat_an_id(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def test_many_rows_without_an_id(spark):
+    """Each row keeps its own places: none is taken from the many other texts of the group."""
+    rng = random.Random(11)
+    rows = [(None, text(rng, 500) * 2) for _ in range(400)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_texts_of_one_id_with_equal_starts(spark):
+    rng = random.Random(12)
+    head, tail = text(rng, 260), text(rng, 150)
+    rows = [(7, head + text(rng, 80) + tail) for _ in range(40)] + [(7, head + tail)] * 30 + [(None, "")] * 20
+    rows += [(3, "x" + head[:180] + "y"), (4, text(rng, 50) + head[90:]), (9, head), (None, tail[:120]), (None, tail[:120])]
+    rows += [(None, tail[:120] + text(rng, 60)) for _ in range(20)]
+    assert found(spark, rows) == brute(rows)
+
+
 def test_low_entropy(spark):
     rng = random.Random(9)
     rows = [(k, text(rng, rng.randint(150, 600), "ab")[:: rng.choice((1, 1, 2))] * rng.choice((1, 2, 3))) for k in range(40)]
