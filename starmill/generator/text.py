@@ -7,8 +7,9 @@ enter a block, one pass computes where the chain leaves the block and how many
 characters it adds. Joining these small tables end to end gives each block's true
 entry, and a second pass writes the text.
 
-The finished pool has a fixed size whatever the scale factor, so it is broadcast, in
-pieces short enough that cutting out a comment reads about a kilobyte.
+The finished pool has a fixed size whatever the scale factor. It is joined in pieces short
+enough that cutting out a comment reads about a kilobyte; the exact pool is too large to
+broadcast from a small driver, so Spark's size check decides which side is.
 """
 
 from __future__ import annotations
@@ -246,13 +247,12 @@ def comment_span(stream: str, jumped: Column, characters: int,
 
 
 def with_comment(df: DataFrame, pool: Pool, span: tuple[Column, Column], out: str) -> DataFrame:
-    """Look the comment up in the pool, whose size is fixed, by broadcast."""
+    """Look the comment up in the pool by its piece."""
     at, size = span
     located = df.withColumns({"_at": at, "_size": size}).withColumn(
         "_piece", F.floor(F.col("_at") / PIECE))
     return (
-        located.join(F.broadcast(pool.pieces.withColumnRenamed("text", "_text")),
-                     F.col("_piece") == F.col("piece"))
+        located.join(pool.pieces.withColumnRenamed("text", "_text"), F.col("_piece") == F.col("piece"))
         .withColumn(out, F.expr(
             f"substring(_text, cast(_at % {PIECE} + 1 as int), cast(_size as int))"))
         .drop("_at", "_size", "_piece", "piece", "_text")

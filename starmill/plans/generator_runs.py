@@ -34,6 +34,10 @@ def _amounts(df: DataFrame) -> DataFrame:
         for name, kind in df.dtypes])
 
 
+def _pool(star: Star, characters: int = words.POOL_CHARACTERS) -> text.Pool:
+    return text.build_pool(star.spark, shared_dir(star.spark, "pool"), characters)
+
+
 def gen_rng_stream(star: Star) -> DataFrame:
     rows = _rows(star, "orders", "o_orderkey").select("row", jump(F.col("row"), 7).alias("j"))
     return rows.select(
@@ -67,10 +71,9 @@ def gen_phone(star: Star) -> DataFrame:
         "row", phone("customer_phone", jump(F.col("row"), 3), nation).alias("phone"))
 
 
-def gen_text_comment(star: Star, characters: int = 8 * 1024 * 1024) -> DataFrame:
-    """Order comments from a pool that is shorter than the exact one, to keep it quick."""
-    path = shared_dir(star.spark, "pool")
-    pool = text.build_pool(star.spark, path, characters)
+def gen_text_comment(star: Star, characters: int = words.POOL_CHARACTERS) -> DataFrame:
+    """Order comments from the exact pool."""
+    pool = _pool(star, characters)
     rows = _rows(star, "orders", "o_orderkey").withColumn("j2", jump(F.col("row"), 2))
     span = text.comment_span("order_comment", F.col("j2"), characters)
     return text.with_comment(rows, pool, span, "comment").drop("j2")
@@ -98,27 +101,29 @@ def gen_time_dim(star: Star) -> DataFrame:
     return tables.time_dimension(days)
 
 
-def gen_region(star: Star) -> DataFrame:
+def gen_region(star: Star, pool: text.Pool | None = None) -> DataFrame:
     """Generated regions beside the given ones."""
-    return tables.region(star.spark).join(
+    return tables.region(star.spark, pool).join(
         star.region.select("r_regionkey", F.col("r_name").alias("given_name")), "r_regionkey")
 
 
-def gen_nation(star: Star) -> DataFrame:
-    return tables.nation(star.spark).join(
+def gen_nation(star: Star, pool: text.Pool | None = None) -> DataFrame:
+    return tables.nation(star.spark, pool).join(
         star.nation.select("n_nationkey", F.col("n_name").alias("given_name")), "n_nationkey")
 
 
-def gen_supplier(star: Star) -> DataFrame:
-    return _amounts(tables.supplier(_rows(star, "supplier", "s_suppkey")))
+def gen_supplier(star: Star, pool: text.Pool | None = None) -> DataFrame:
+    return _amounts(tables.supplier(_rows(star, "supplier", "s_suppkey"), pool))
 
 
-def gen_customer(star: Star) -> DataFrame:
-    return _amounts(tables.customer(_rows(star, "customer", "c_custkey")))
+def gen_customer(star: Star, pool: text.Pool | None = None) -> DataFrame:
+    return _amounts(tables.customer(_rows(star, "customer", "c_custkey"), pool))
 
 
-def gen_part(star: Star) -> DataFrame:
-    return _amounts(tables.part(_rows(star, "part", "p_partkey")))
+def gen_part(star: Star, pool: text.Pool | None = None) -> DataFrame:
+    rows = _rows(star, "part", "p_partkey")
+    made = tables.part(rows, pool)
+    return _amounts(made if pool is None else made.join(names.part_names(rows), "p_partkey"))
 
 
 def gen_retail_price(star: Star) -> DataFrame:
@@ -126,16 +131,16 @@ def gen_retail_price(star: Star) -> DataFrame:
     return rows.select("row", tables.retail_price(F.col("row")).cast("bigint").alias("cents"))
 
 
-def gen_partsupp(star: Star) -> DataFrame:
-    return _amounts(tables.partsupp(_rows(star, "part", "p_partkey"), _scale(star)))
+def gen_partsupp(star: Star, pool: text.Pool | None = None) -> DataFrame:
+    return _amounts(tables.partsupp(_rows(star, "part", "p_partkey"), _scale(star), pool))
 
 
-def gen_orders(star: Star) -> DataFrame:
-    return _amounts(tables.orders(_rows(star, "orders", "o_orderkey"), _scale(star)))
+def gen_orders(star: Star, pool: text.Pool | None = None) -> DataFrame:
+    return _amounts(tables.orders(_rows(star, "orders", "o_orderkey"), _scale(star), pool))
 
 
-def gen_lineitem(star: Star) -> DataFrame:
-    return _amounts(tables.lineitem(_rows(star, "orders", "o_orderkey"), _scale(star)))
+def gen_lineitem(star: Star, pool: text.Pool | None = None) -> DataFrame:
+    return _amounts(tables.lineitem(_rows(star, "orders", "o_orderkey"), _scale(star), pool))
 
 
 def gen_sparse_key(star: Star) -> DataFrame:
@@ -158,14 +163,14 @@ def _sets(star: Star) -> DataFrame:
     return star.raw("nation").select((F.col("n_nationkey") + 1).cast("bigint").alias("set_number"))
 
 
-def gen_refresh_inserts(star: Star) -> DataFrame:
+def gen_refresh_inserts(star: Star, pool: text.Pool | None = None) -> DataFrame:
     scale = _scale(star)
-    return _amounts(refresh.new_orders(refresh.set_rows(_sets(star), scale), scale))
+    return _amounts(refresh.new_orders(refresh.set_rows(_sets(star), scale), scale, pool))
 
 
-def gen_refresh_lines(star: Star) -> DataFrame:
+def gen_refresh_lines(star: Star, pool: text.Pool | None = None) -> DataFrame:
     scale = _scale(star)
-    return _amounts(refresh.new_lines(refresh.set_rows(_sets(star), scale), scale))
+    return _amounts(refresh.new_lines(refresh.set_rows(_sets(star), scale), scale, pool))
 
 
 def gen_refresh_deletes(star: Star) -> DataFrame:
@@ -236,9 +241,19 @@ PLANS = (
     gen_query_params, gen_query_order,
 )
 
+#: Registered again as ``..._full``, with comments from the exact pool (and names of parts), which have no SQL.
+COMMENTED = (
+    gen_region, gen_nation, gen_supplier, gen_customer, gen_part, gen_partsupp, gen_orders,
+    gen_lineitem, gen_refresh_inserts, gen_refresh_lines,
+)
+
 
 def generator_queries() -> dict[str, Query]:
     def run(plan: Callable[[Star], DataFrame]) -> Query:
         return lambda spark, path: plan(Star(spark, path, idle_customers=True))
 
-    return {plan.__name__: run(plan) for plan in PLANS}
+    def full(plan: Callable[[Star, text.Pool], DataFrame]) -> Query:
+        return run(lambda star: plan(star, _pool(star)))
+
+    return {**{plan.__name__: run(plan) for plan in PLANS},
+            **{f"{plan.__name__}_full": full(plan) for plan in COMMENTED}}

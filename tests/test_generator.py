@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from starmill.generator import names, parameters, refresh, tables, text, words
 from starmill.generator.scale import Scale, chunk_bounds, row_numbers
+from starmill.plans import generator_runs
+from tests.conftest import DATA
 
 P, A = 2**31 - 1, 16807
 
@@ -150,6 +152,40 @@ def test_pool_made_in_blocks_equals_the_serial_one(spark, tmp_path, monkeypatch)
         assert r.o_comment == expected[at:at + size]
 
 
+def test_registered_comments_come_from_the_exact_pool(spark, star, monkeypatch):
+    made, build = [], text.build_pool
+    monkeypatch.setattr(text, "build_pool", lambda *a: made.append(build(*a)) or made[-1])
+    got = {r.row: r.comment for r in generator_runs.gen_text_comment(star).collect()}
+    assert len(got) == star.raw("orders").count()
+    pool, = made
+    known = tables.customer(rows_of(spark, 57040, 143347), pool).collect()  # answers/q10.out
+    assert {r.c_custkey: r.c_comment.strip() for r in known} == {
+        57040: "sits. slyly regular requests sleep alongside of the regular inst",
+        143347: "ggle carefully enticing requests. final deposits use bold, bold pinto beans. ironic, idle re"}
+    pieces = pool.pieces.agg(F.count("*").alias("n"), F.max("piece").alias("last"), F.sum(F.least(
+        F.length("text"), F.lit(text.PIECE))).alias("size")).first()
+    assert (pieces.n, pieces.last, pieces.size) == (307_200, 307_199, 314_572_800)
+    for row in (1, 2, 777):
+        stream = Stream(words.STREAMS["order_comment"][0] * pow(A, (row - 1) * 2, P) % P)
+        at, size = stream.uniform(0, 314_572_800 - 78), stream.uniform(19, 78)
+        piece = pool.pieces.filter(F.col("piece") == at // text.PIECE).first().text
+        assert got[row] == piece[at % text.PIECE:at % text.PIECE + size]
+
+
+def test_full_tables_have_their_comments(spark, star, tmp_path, monkeypatch):
+    queries, short = generator_runs.generator_queries(), text.build_pool(spark, str(tmp_path / "pool"), 300_000)
+    monkeypatch.setattr(generator_runs, "_pool", lambda star: short)
+    extra = {"region": {"r_comment"}, "nation": {"n_comment"}, "supplier": {"s_comment"}, "customer": {"c_comment"},
+             "part": {"p_comment", "p_name"}, "partsupp": {"ps_comment"}, "orders": {"o_comment"},
+             "lineitem": {"l_comment"}, "refresh_inserts": {"o_comment"}, "refresh_lines": {"l_comment"}}
+    for name, columns in extra.items():
+        plain, full = (queries[f"gen_{name}{end}"](spark, DATA) for end in ("", "_full"))
+        assert set(full.columns) == set(plain.columns) | columns
+        assert full.drop(*columns).exceptAll(plain.select(full.drop(*columns).columns)).count() == 0
+        assert full.where(" or ".join(f"{c} is null" for c in columns)).count() == 0
+        assert full.count() == plain.count()
+
+
 def test_supplier_notices(spark, tmp_path):
     pool = text.build_pool(spark, str(tmp_path / "pool"), 300_000)
     rows = tables.supplier(row_numbers(spark, 1, 10_000), pool)
