@@ -156,7 +156,7 @@ def query_order(streams: DataFrame,
                 orders: list[tuple[int, ...]] | None = None) -> DataFrame:
     """Queries of every ``stream`` in order; a stream beyond the table is an error.
 
-    Only the first orders are fixed values here; pass a longer table to run more streams.
+    The orders are those of ``query_orders.csv``; pass a longer table to run more streams.
     """
     table = F.array(*[F.array(*[F.lit(q) for q in row]) for row in orders or words.QUERY_ORDERS])
     length = len(orders or words.QUERY_ORDERS)

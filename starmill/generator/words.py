@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 
 def _weighted(text: str) -> list[tuple[str, int]]:
     """Parse ``word:weight`` entries separated by slashes."""
@@ -161,11 +163,8 @@ START_DATE = "1992-01-01"
 CUTOFF_DATE = "1995-06-17"
 DAYS = 2557
 
-# Query order of the first streams; further rows are a parameter of the plan.
+# Query order of each stream, one per line.
 QUERY_ORDERS = [
-    (14, 2, 9, 20, 6, 17, 18, 8, 21, 13, 3, 22, 16, 4, 11, 15, 1, 10, 19, 5, 7, 12),
-    (21, 3, 18, 5, 11, 7, 6, 20, 17, 12, 16, 15, 13, 10, 2, 8, 14, 19, 9, 22, 1, 4),
-    (6, 17, 14, 16, 19, 10, 9, 2, 15, 8, 5, 22, 12, 7, 13, 18, 1, 4, 20, 3, 11, 21),
-    (8, 5, 4, 6, 17, 7, 1, 18, 22, 14, 9, 10, 15, 11, 20, 2, 21, 19, 13, 16, 12, 3),
-    (5, 21, 14, 19, 15, 17, 12, 6, 4, 9, 8, 16, 11, 2, 10, 18, 1, 13, 7, 22, 3, 20),
+    tuple(map(int, line.split(",")))
+    for line in Path(__file__).with_name("query_orders.csv").read_text().split()
 ]

@@ -303,6 +303,16 @@ def test_parameters(spark):
             assert got[seed, query] == expected, (seed, query)
 
 
+def test_registered_order_has_all_streams(star):
+    got = {}
+    for r in generator_runs.gen_query_order(star).distinct().collect():
+        got.setdefault(r.stream, []).append((r.position, r.query))
+    assert sorted(got) == list(range(41))
+    orders = {k: tuple(q for _, q in sorted(v)) for k, v in got.items()}
+    assert all(sorted(o) == list(range(1, 23)) for o in orders.values()) and len(set(orders.values())) == 41
+    assert orders[5][:4] == (21, 15, 4, 6) and orders[40][-4:] == (10, 12, 5, 19)
+
+
 def test_query_orders_are_permutations(spark):
     rows = parameters.query_order(spark.range(5).withColumnRenamed("id", "stream")).collect()
     by_stream = {}
