@@ -1,4 +1,4 @@
-"""Remove repeated strings of ``LENGTH`` bytes by bucket-pointer refinement.
+"""Remove repeated strings of ``LENGTH`` bytes by content hashes of anchored windows.
 
 Every string of 100 bytes (a window) belongs to one anchor: of the ``CORE``-byte grams in
 it, the one with the smallest hash, the leftmost of equals. Equal windows have equal
@@ -12,11 +12,11 @@ Levels refine buckets of places, from a core that all windows of a place share:
 3. one window is its 100 bytes.
 
 At each level places are range-sorted by (bucket identifier, identifier of the place's whole
-context, document, start). The context identifier is the bucket of the text at the later
-offsets. Within one context every place but the first is settled: all its windows start
+context, document, start). Both are hashes made from the text; no bucket pointer of a later
+offset is read. Within one context every place but the first is settled: all its windows start
 earlier elsewhere. A bucket with one context needs no more. First places of buckets with
-several contexts go on to the next level, which reuses their bucket identifiers and the
-bytes read once. Sorting by both identifiers also splits a bucket that holds much of the
+several contexts go on to the next level, which hashes longer strings of the bytes read once.
+Sorting by both identifiers also splits a bucket that holds much of the
 data over many tasks, and repeats of a context within a batch are settled before the
 shuffle. Identifiers are two 64-bit hashes of content, so no task needs a global rank.
 
