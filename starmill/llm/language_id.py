@@ -7,9 +7,11 @@ logistic losses of a codeword's bits, each weighted by how well its classifier d
 learning sample, and chooses the nearest codeword. A small lead over the next one is flagged
 as ambiguous.
 
-Learning reads a bounded sample: about ``PER_LANG`` whole texts of each of the ``MOST``
-commonest languages, ``SAMPLE`` in all, drawn by a hash of the id. Gram counts are made in
-tasks; the driver gets one row of ``GRAMS`` counts per drawn text. Prediction sees the
+Learning reads a bounded sample: about ``PER_LANG`` whole texts of each language, ``SAMPLE``
+in all or one per language if they are more, drawn by a hash of the id. A language of which
+none was drawn gives the text with its least hash, so every language that has a row to learn
+from is learned. Gram counts are made in tasks; the driver gets one row of ``GRAMS`` counts per
+drawn text, and the model holds ``GRAMS`` shares per language. Prediction sees the
 text only: rows with null text or without a letter are ``und`` with score 0, as is every
 row if nothing could be learned. Repeated rows are predicted alike; a null id is not held
 out and not learned from.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from starmill.llm.kernel import text_slices
 
 GRAMS, SIZES = 1 << 15, (2, 3, 4)
-PER_LANG, MOST, SAMPLE = 300, 200, 4000
+PER_LANG, SAMPLE = 300, 4000
 LEAD = 0.2
 
 
@@ -95,26 +97,36 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _counted(texts: DataFrame) -> list[dict]:
+    return texts.mapInArrow(_counter, "lang string, grams array<int>, counts array<int>").toArrow().to_pylist()
+
+
 def fit(docs: DataFrame, text_column: str = "text") -> Model | None:
     known = docs.select("doc_id", F.col(text_column).alias("text"), F.col("lang").cast("string").alias("lang")).where(
         "doc_id is not null and text is not null and lang is not null").where(~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST).collect()
+    spark = docs.sparkSession
+    counts = known.groupBy("lang").count().collect()  # one row per language
     if not counts:
         return None
     each = min(PER_LANG, max(SAMPLE // len(counts), 1))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = known.where(draw < F.try_element_at(F.create_map(*(
         F.lit(x) for r in counts for x in (r["lang"], min(each / r["count"], 1.0)))), F.col("lang")))
-    rows = drawn.select("lang", "text").limit(2 * SAMPLE).mapInArrow(
-        _counter, "lang string, grams array<int>, counts array<int>").toArrow().to_pylist()
+    rows = _counted(drawn.select("lang", "text").limit(2 * max(SAMPLE, len(counts))))
+    missing = sorted({r["lang"] for r in counts} - {r["lang"] for r in rows})
+    if missing:
+        wanted = spark.createDataFrame([(x,) for x in missing], "lang string")
+        rows += _counted(known.join(wanted, "lang", "left_semi").groupBy("lang").agg(
+            F.min_by("text", F.struct(draw, "text")).alias("text")))
     rows.sort(key=lambda r: (r["lang"], r["grams"], r["counts"]))
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
+    place = {name: k for k, name in enumerate(languages)}
     shares = np.zeros((len(languages), GRAMS))
     for r in rows:
         x = np.array(r["counts"], float)
-        shares[languages.index(r["lang"]), r["grams"]] += x / x.sum() if len(x) else 0
+        shares[place[r["lang"]], r["grams"]] += x / x.sum() if len(x) else 0
     shares = shares / np.maximum(shares.sum(1, keepdims=True), 1e-12) + 0.2 / GRAMS
     codes = codewords(len(languages))
     weights, bias = np.zeros((GRAMS + 1, codes.shape[1]), np.float32), np.zeros(codes.shape[1])
@@ -124,7 +136,7 @@ def fit(docs: DataFrame, text_column: str = "text") -> Model | None:
     right = np.zeros(codes.shape[1])
     for r in rows:
         margin = np.array(r["counts"], float) @ weights[r["grams"]] if r["grams"] else bias
-        right += (margin * codes[languages.index(r["lang"])] > 0)
+        right += (margin * codes[place[r["lang"]]] > 0)
     wrong = 1 - right / len(rows)
     trust = np.log((1 - wrong + 0.01) / (wrong + 0.01))
     return Model(languages, codes, weights, bias, np.maximum(trust, 0.01))
@@ -142,7 +154,8 @@ def _decoded(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
         margin[full] = np.add.reduceat(total, offsets[:-1][full], axis=0, dtype=np.float64)
     length = np.maximum(np.diff(offsets), 1)[:, None]
     margin = margin / np.sqrt(length)
-    loss = np.logaddexp(0, -margin[:, None, :] * model.codes[None]) @ model.trust
+    plus = model.codes.T > 0
+    loss = (np.logaddexp(0, -margin) * model.trust) @ plus + (np.logaddexp(0, margin) * model.trust) @ ~plus
     near = np.exp(loss.min(1, keepdims=True) - loss)
     near /= near.sum(1, keepdims=True)
     best = loss.argmin(1)

@@ -43,6 +43,26 @@ def test_language_edge_cases(spark, docs):
     assert language_id.predict(empty, None).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """More languages than a fixed number, some of one row, one with most of the rows."""
+    rows = [(100_000 * n + k, f"{'abcdefghijklmnop'[k % 16]}{'qrstuvwxyz'[k // 16 % 10]}{k % 7}{'éàü'[k % 3]} " * 20, f"l{k:03d}")
+            for k in range(230) for n in range(1, 9 if k % 2 else 5)]
+    rows += [(50_000_000 + k, "common words here", "big") for k in range(9000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    wanted = {r.lang for r in frame.where(~language_id.held_out()).select("lang").distinct().collect()}
+    model = language_id.fit(frame)
+    assert len(wanted) > 200 and set(model.languages) == wanted
+    got = language_id.predict(frame, model).join(frame.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang = 'big' and lang_pred != 'big'").count() == 0
+
+
+def test_rare_language_beside_a_common_one(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 2)
+    rows = [(k, f"text number {k}", f"l{k % 40}") for k in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert len(language_id.fit(frame).languages) == 40
+
+
 def test_learning_ignores_held_out_rows(docs):
     flipped = docs.withColumn("lang", F.when(language_id.held_out(), "xx").otherwise(F.col("lang")))
     one, two = language_id.fit(docs), language_id.fit(flipped)
