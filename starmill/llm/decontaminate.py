@@ -13,7 +13,10 @@ most. Weights are integers, so similarities are exact.
 3. Multi-index search: with ``BLOCKS`` blocks, two fingerprints within ``RADIUS`` bits have a
    block in which they differ by ``RADIUS // BLOCKS`` bits at most, so joining the blocks with
    all such neighbours of the items' blocks finds every pair within the radius. A pair at
-   the threshold is about 10 bits apart, deviation 3.
+   the threshold is about 10 bits apart, deviation 3. Pairs beyond the radius are found by
+   weight: a similar window shares the threshold's part of the item's weight, so it has one of
+   the item's rarest shingles whose weights just exceed the rest. Pairs that share one, with
+   totals that allow the threshold, are passed on whatever their distance.
 4. The weighted similarity of the pair's shingle counts, sum of minima by sum of maxima,
    decides.
 
@@ -99,6 +102,16 @@ def within_radius(windows: DataFrame, items: DataFrame, items_rows: int) -> Data
         "block", "value", "print", "other").distinct()
 
 
+def _by_weight(weighed: DataFrame, of_items: DataFrame, percent: int, items_rows: int) -> DataFrame:
+    """(SPAN, item) that share one of the item's rarest shingles; all similar pairs do."""
+    rarest = Window.partitionBy("item").orderBy(F.desc("weight"), "h")
+    heavy = F.col("times") * F.col("weight")
+    before = F.sum(heavy).over(rarest) - heavy
+    needed = of_items.withColumns({"before": before, "total": F.sum(heavy).over(Window.partitionBy("item"))}).where(
+        F.col("before") * 100 <= F.col("total") * (100 - percent)).select("item", "h")
+    return weighed.select(*SPAN, "h").join(_bounded(needed, items_rows), "h").select(*SPAN, "item").distinct()
+
+
 def _found(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame:
     """Leaks of items by shingles of k words; rows SPAN, item, item_id, distance, similarity."""
     shingled = stored(items.select("item", "item_id", F.posexplode(_shingles("words", k)).alias("place", "h")), "item-shingles")
@@ -128,8 +141,12 @@ def _found(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame
     weighed = stored(counted.join(_bounded(rarity, rows), "h", "left").withColumn("weight", F.coalesce("weight", rarest)), "windows")
     of_items = shingled.groupBy("item", "item_id", "h").agg(F.count("*").alias("times")).join(rarity, "h")
     item_prints = stored(fingerprint(of_items, ["item", "item_id"]).withColumnRenamed("whole", "item_whole"), "item-prints")
-    pairs = within_radius(fingerprint(weighed, SPAN), item_prints.select("item", "print"), many).join(
-        _bounded(item_prints.select("item", "item_id", "item_whole"), many), "item")
+    prints = stored(fingerprint(weighed, SPAN), "window-prints")
+    near = within_radius(prints, item_prints.select("item", "print"), many).select(*SPAN, "item")
+    pairs = near.union(_by_weight(weighed, of_items, percent, rows)).distinct().join(prints, SPAN).join(
+        _bounded(item_prints.withColumnRenamed("print", "other"), many), "item").where(
+        (F.col("whole") * 100 >= F.col("item_whole") * percent) & (F.col("item_whole") * 100 >= F.col("whole") * percent)).withColumn(
+        "distance", F.bit_count(F.col("print").bitwiseXOR(F.col("other")))).drop("print", "other")
     other = of_items.select("item", "h", F.col("times").alias("item_times"))
     shared = pairs.join(weighed, SPAN).join(_bounded(other, rows), ["item", "h"]).groupBy(
         *SPAN, "item", "item_id", "distance", "whole", "item_whole").agg(

@@ -78,6 +78,15 @@ def test_equals_brute_force(spark):
     assert len(got) == len(pairs)
 
 
+def test_pairs_beyond_the_radius(spark, monkeypatch):
+    """However few bits the search allows, every similar window is verified."""
+    monkeypatch.setattr(decontaminate, "RADIUS", 2)
+    docs, items, _ = data(3)
+    got = decontaminate.leaks(*frames(spark, docs, items)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == set(brute(docs, items))
+    assert max(r.distance for r in got) > 2
+
+
 def test_drop_leaks(spark):
     docs, items, planted = data(2)
     d, i = frames(spark, docs + [(0, "the same id, another text")], items)
