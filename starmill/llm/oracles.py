@@ -178,5 +178,39 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint)
     coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(found, [])))), ','), '') as labels,
     case when n > 0 then 1.0 else round(least(coalesce(best, 0.0), 1.0), 6) end as score
 from docs d left join based b on d.r = b.r left join agreed a on d.r = a.r
+""",
+    "op12_divergence_cube": rf"""
+with d as (
+    select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+    from documents),
+found as (select lang, source, term, count(*) as n, count(distinct r) as docs
+    from (select r, lang, source, unnest(w) as term from d) group by all),
+words as (select lang, term, sum(n) as n from found group by all having sum(docs) >= 3),
+langs as (select lang, count(*)::hugeint as v, sum(n)::hugeint as size from words group by lang),
+counted as (select f.* from found f join words using (lang, term)),
+groups as (
+    select distinct d.lang, d.source, coalesce(s.size, 0)::hugeint as size
+    from d left join (select lang, source, sum(n) as size from counted group by all) s
+        on d.lang = s.lang and d.source = s.source),
+dense as (
+    select g.lang, g.source, w.term, coalesce(c.n, 0) as n,
+        1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (g.size + l.v) as p,
+        1 + 1000000000::hugeint * (w.n + 1) // (l.size + l.v) as q
+    from groups g join words w on g.lang = w.lang join langs l on g.lang = l.lang
+    left join counted c on g.lang = c.lang and g.source = c.source and w.term = c.term),
+sums as (
+    select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+    from dense a join dense b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join sums s on a.lang = s.lang and a.source = s.source and b.source = s.item),
+terms as (
+    select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value from dense where n > 0 and p > q),
+ranked as (
+    select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank
+    from (select * from pairs union all select * from terms))
+select lang, source, part, item, value::bigint as value, rank::integer as rank from ranked where part = 'pair' or rank <= 200
 """,
 }

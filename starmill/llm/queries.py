@@ -9,7 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starmill.functions.shared import shared_dir
-from starmill.llm import decontaminate, language_id, licenses, mixing, near_dup, quality, suffix_dedup, token_orc, topk, url_trust
+from starmill.llm import (
+    decontaminate,
+    divergence,
+    language_id,
+    licenses,
+    mixing,
+    near_dup,
+    quality,
+    suffix_dedup,
+    token_orc,
+    topk,
+    url_trust,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,6 +73,10 @@ def license_labels(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents"))
 
 
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_table(spark, folder, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_host_trust": url_verdicts,
@@ -73,4 +89,5 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dup": near_duplicates,
         "op9_token_orc": token_files,
         "op10_license_scan": license_labels,
+        "op12_divergence_cube": source_divergence,
     }
