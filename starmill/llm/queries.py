@@ -17,10 +17,12 @@ from starmill.llm import (
     mixing,
     near_dup,
     quality,
+    small_world,
     suffix_dedup,
     token_orc,
     topk,
     url_trust,
+    whitening,
 )
 
 
@@ -73,10 +75,18 @@ def license_labels(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents"))
 
 
+def whitened_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(_table(spark, folder, "documents"))
 
 
+def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return small_world.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_host_trust": url_verdicts,
@@ -89,5 +99,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dup": near_duplicates,
         "op9_token_orc": token_files,
         "op10_license_scan": license_labels,
+        "op11_whitening": whitened_vectors,
         "op12_divergence_cube": source_divergence,
+        "op13_small_world": near_vectors,
     }
