@@ -45,7 +45,7 @@ LEAST = 0.95
 #: Rows of a shard at most (in the mean), shards at least, queries of a task.
 SHARD, SHARDS, BLOCK = 250_000, 4, 16_384
 #: Neighbours of a node above level 0 (twice as many on it), beam when building and when asking.
-NEAR, BUILD, ASK = 12, 40, 32
+NEAR, BUILD, ASK = 12, 32, 16
 AUDIT, RECALL = 2048, 0.97
 #: Queries searched side by side, and radians by which a certain answer must be clear of rounding.
 SIDE, MARGIN = 512, 1e-6
@@ -76,10 +76,14 @@ class Graph:
             open_[left, at] = False
             there = near[nodes[left, at]]
             found = np.einsum("qmd,qd->qm", self.points[there], asked[left])
+            found[there < 0] = -np.inf
             own = nodes[left]
-            known = (there[:, :, None] == own[:, None, :]).any(2)
-            found[(there < 0) | known | (found <= cosines[left, -1:])] = -np.inf
-            better = np.flatnonzero((found > -np.inf).any(1))
+            row, at = np.nonzero(found > cosines[left, -1:])
+            known = (own[row] == there[row, at][:, None]).any(1)
+            fits = np.zeros(found.shape, bool)
+            fits[row[~known], at[~known]] = True
+            found[~fits] = -np.inf
+            better = np.flatnonzero(fits.any(1))
             if not len(better):
                 continue
             rows = left[better]
