@@ -8,12 +8,20 @@ class, named by the smallest id, before anything is compared. Per class:
   less the 1/4 that agree by chance, estimates the similarity by counting bits.
 
 Bands are as many as leave a pair at the threshold unfound with probability below
-``MISSED``. A bucket links its members to its smallest one only (a star), so a bucket of n
-costs n rows. Star pairs that pass the estimate are confirmed on full sets and give first
-components. What a star can't settle, members of a family of buckets that are still in
-different components, is compared in blocks of ``BLOCK`` documents: only block pairs that
-cross components, estimates first, full sets where the estimate allows a link. Nothing is
-capped, and a large group whose members are linked by its stars costs no block at all.
+``MISSED``. Candidates come in two rounds. In the first, ``EARLY`` bands link the members of
+a bucket to its smallest one only (a star), so a bucket of n costs n rows; in the second, the
+other bands link what the first left apart, one row per bucket and group. All candidates
+together make families. Star pairs of the first round that pass the estimate are confirmed on
+full sets and give first components.
+
+What the stars can't settle, members of a family that are still in different components, is
+found by an exact prefix filter. Shingles are put in one order, rarest first (by a sketch of
+``SKETCH`` counters). Of a linked pair, the larger set's first ``n - ceil(t n) + 1`` shingles and
+the smaller one's first ``n - ceil(2 t n / (1 + t)) + 1`` share one, at places that leave enough
+of both sets behind them. So postings of those few shingles are joined within a family, only
+between components; estimates and full sets confirm what is left. Documents that share a
+template but are not linked have their own rare shingles first, and meet nobody. Postings of
+more than ``BLOCK`` entries are cut, and their partners copied to each part. Nothing is capped.
 
 Words are lower-cased (A-Z) and separated by blank, tab to carriage return. A text with
 fewer than k words is one shingle; a text without words (null, empty, blank) is linked with
@@ -29,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +45,7 @@ from starmill.llm.components import components
 from starmill.llm.kernel import long_lists, mix, shingle_sets, text_slices, words
 from starmill.llm.stored import stored
 
-BITS, MISSED, BLOCK = 2, 1e-6, 128
+BITS, MISSED, BLOCK, EARLY, SKETCH = 2, 1e-6, 128, 4, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -152,15 +161,26 @@ def signatures(docs: DataFrame, rule: Rule, text_column: str = "text") -> DataFr
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket, each bucket as a star around its smallest."""
+    """Pairs (a, b) of classes that share one of ``bands``, each bucket as a star around its smallest."""
     postings = classes.select("node", F.explode("bands").alias("bucket"))
     centers = postings.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last")
     return postings.join(centers.drop("last"), "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    one = sets.select(F.col("node").alias("a"), F.col("planes").alias("p"), F.col("shingles").alias("s"))
-    two = sets.select(F.col("node").alias("b"), F.col("planes").alias("q"), F.col("shingles").alias("t"))
+def _families(classes: DataFrame, stars: DataFrame) -> DataFrame:
+    """(node, family): classes connected by buckets of any band, of which ``stars`` has the early ones."""
+    early = stored(components(stars), "early-families")
+    named = classes.join(early, "node", "left").select(
+        F.coalesce("component", "node").alias("node"), F.slice("bands", EARLY + 1, 1 << 20).alias("bands"))
+    late = candidates(named).select("a", "b")
+    return components(late.unionByName(early.select(F.col("component").alias("a"), F.col("node").alias("b")))).withColumnRenamed(
+        "component", "family")
+
+
+def _alike(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs whose sizes and bit planes allow a link, from rows without shingles."""
+    one = light.select(F.col("node").alias("a"), F.col("planes").alias("p"), F.col("size").alias("m"))
+    two = light.select(F.col("node").alias("b"), F.col("planes").alias("q"), F.col("size").alias("n"))
     differ = F.lit(0)
     for w in range(rule.words):
         odd = F.lit(0).cast("bigint")
@@ -168,90 +188,87 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             i = bit * rule.words + w
             odd = odd.bitwiseOR(F.col("p")[i].bitwiseXOR(F.col("q")[i]))
         differ = differ + F.bit_count(odd)
-    joined = pairs.join(two, "b").join(one, "a")
-    sizes = F.least(F.size("s"), F.size("t")) * 100 >= F.greatest(F.size("s"), F.size("t")) * rule.percent
-    likely = joined.where(sizes & (F.lit(rule.hashes) - differ >= rule.least_equal))
-    shared = likely.withColumn("shared", F.size(F.array_intersect("s", "t")))
+    sizes = F.least("m", "n") * 100 >= F.greatest("m", "n") * rule.percent
+    return pairs.join(two, "b").join(one, "a").where(
+        sizes & (F.lit(rule.hashes) - differ >= rule.least_equal)).select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Of pairs (a, b), those linked by their full sets; sets are joined only for pairs that the estimate leaves."""
+    likely = stored(_alike(pairs, sets.select("node", "planes", F.size("shingles").alias("size")), rule), "likely")
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
+    shared = likely.join(two, "b").join(one, "a").withColumn("shared", F.size(F.array_intersect("s", "t")))
     return shared.where(F.expr(f"100 * shared >= {rule.percent} * (size(s) + size(t) - shared)")).select("a", "b")
 
 
-def _block_links(rule: Rule):
-    def compare(group: pa.Table) -> pa.Table:
-        """Links between components over the documents of two blocks, one per pair of components."""
-        nodes = group.column("component").to_numpy()
-        sides = group.column("side").to_numpy()
-        planes = np.stack(group.column("planes").to_numpy()).view(np.uint64)
-        sets, sizes = {}, np.array([len(x) for x in group.column("shingles")])
-        root = {int(x): int(x) for x in nodes}
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        def members(i: int) -> set:
-            if i not in sets:
-                sets[i] = set(group.column("shingles")[i].as_py())
-            return sets[i]
-
-        left = np.flatnonzero(sides <= 1)
-        right = np.flatnonzero(sides >= 1)
-        found = []
-        for i in left.tolist():
-            other = right[right > i] if sides[i] == 1 else right
-            other = other[nodes[other] != nodes[i]]
-            odd = np.zeros((len(other), rule.words), np.uint64)
-            for bit in range(BITS):
-                part = slice(bit * rule.words, (bit + 1) * rule.words)
-                odd |= planes[other, part] ^ planes[i, part]
-            equal = rule.hashes - np.bitwise_count(odd).sum(1).astype(np.int64)
-            near = (equal >= rule.least_equal) & (
-                np.minimum(sizes[other], sizes[i]) * 100 >= np.maximum(sizes[other], sizes[i]) * rule.percent)
-            for j in other[near].tolist():
-                one, two = top(int(nodes[i])), top(int(nodes[j]))
-                if one == two:
-                    continue
-                shared = len(members(i) & members(j))
-                if 100 * shared >= rule.percent * (int(sizes[i]) + int(sizes[j]) - shared):
-                    found.append((int(nodes[i]), int(nodes[j])))
-                    root[max(one, two)] = min(one, two)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()),
-                         "b": pa.array([x for _, x in found], pa.int64())})
-
-    return compare
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        flat = batch.column("shingles").flatten().to_numpy().view(np.uint64)
+        total += np.bincount((flat % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
+
+
+def _prefixes(rule: Rule, frequency: np.ndarray):
+    """Rarest shingles of each set: ``place`` in the order, ``short`` if the set may be the smaller one there."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[tuple] = []
+            size = np.asarray(pc.list_value_length(batch.column("shingles"))).astype(np.int64)
+            flat, at = batch.column("shingles").flatten().to_numpy(), np.cumsum(size) - size
+            for k, (a, n) in enumerate(zip(at.tolist(), size.tolist(), strict=True)):
+                own = flat[a: a + n]
+                order = np.lexsort((own, frequency[(own.view(np.uint64) % np.uint64(SKETCH)).astype(np.int64)]))
+                most = n + (-rule.percent * n) // 100 + 1
+                few = n + (-2 * rule.percent * n) // (100 + rule.percent) + 1
+                place = np.arange(most)
+                made.append((np.full(most, k), own[order[:most]], place, place < few, np.full(most, n)))
+            if made:
+                row, shingle, place, short, n = (np.concatenate(x) for x in zip(*made, strict=True))
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(row) for c in ("family", "component", "node")), pa.array(shingle),
+                     pa.array(place.astype(np.int32)), pa.array(short), pa.array(n)],
+                    names=["family", "component", "node", "shingle", "place", "short", "size"])
+
+    return cut
 
 
 def _crossing(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links between different components of one family (columns node, family, component)."""
-    sizes = members.groupBy("family", "component").agg(F.count("*").alias("n"))
-    families = sizes.groupBy("family").agg(
-        F.sum("n").alias("all"), F.count("*").alias("parts"),
-        F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("small"))
-    # two members in two components: their one pair was the star's
-    unsettled = families.where("parts > 1 and `all` > 2").select("family", "small")
-    blocks = sizes.join(unsettled, "family")
-    big = F.col("n") >= BLOCK
-    # a large component is cut by node, small ones are put together by component
-    placed = members.join(blocks, ["family", "component"]).select(
-        "node", "family", "component", F.when(big, F.col("component")).alias("own"),
-        F.when(big, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-        .otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("small") / BLOCK))).alias("part")).withColumn(
-        "block", F.xxhash64(F.coalesce("own", F.lit(-1)), "part"))
-    kinds = placed.select("family", "own", "block").distinct()
-    one = kinds.select("family", F.col("own").alias("own1"), F.col("block").alias("block1"))
-    two = kinds.select("family", F.col("own").alias("own2"), F.col("block").alias("block2"))
-    pairs = one.join(two, "family").where(
-        "block1 <= block2 and not coalesce(own1 = own2, false)").select(
-        "family", F.xxhash64("family", "block1", "block2").alias("pair"), "block1", "block2")
-    sides = pairs.select("family", "pair", F.explode(F.when(
-        F.col("block1") == F.col("block2"), F.array(F.struct(F.lit(1).alias("side"), F.col("block1").alias("block"))))
-        .otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("block1").alias("block")),
-                           F.struct(F.lit(2).alias("side"), F.col("block2").alias("block"))))).alias("x")).select(
-        "family", "pair", "x.side", "x.block")
-    rows = placed.select("node", "family", "component", "block").join(sides, ["family", "block"]).select(
-        "pair", "side", "node", "component").join(sets, "node")
-    return rows.groupBy("pair").applyInArrow(_block_links(rule), "a bigint, b bigint").distinct()
+    """Pairs of components of one family that a link joins; ``members`` has node, family, component."""
+    families = members.groupBy("family").agg(
+        F.count("*").alias("all"), F.min("component").alias("one"), F.max("component").alias("last"))
+    # two members in two components: their one pair was a star's, unless a late band found it
+    unsettled = families.where("one <> last").select("family")
+    open_ = stored(members.join(unsettled, "family", "left_semi").join(sets.select("node", "shingles"), "node"), "unsettled")
+    counted = open_.select("shingles").mapInArrow(_sketched, "at bigint, n bigint").groupBy("at").agg(
+        F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
+    frequency = np.zeros(SKETCH, np.int64)
+    frequency[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
+    postings = stored(open_.mapInArrow(
+        _prefixes(rule, frequency), "family bigint, component bigint, node bigint, shingle bigint, place int, short boolean, size bigint"),
+        "postings")
+    key = ["family", "shingle"]
+    lists = postings.groupBy(*key).agg(
+        F.min("component").alias("one"), F.max("component").alias("last"), F.sum(F.col("short").cast("int")).alias("n")).where(
+        "one <> last and n > 0").select(*key, F.ceil(F.col("n") / BLOCK).alias("cuts"))
+    met = postings.join(lists, key)
+    small = met.where("short").select(
+        *key, F.pmod(F.xxhash64("node"), F.col("cuts")).alias("part"), F.col("node").alias("a"), F.col("component").alias("one"),
+        F.col("size").alias("m"), F.col("place").alias("i"))
+    large = met.select(
+        *key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("part"), F.col("node").alias("b"),
+        F.col("component").alias("two"), F.col("size").alias("n"), F.col("place").alias("j"))
+    share, whole = rule.percent, 100 + rule.percent
+    pairs = small.join(large, [*key, "part"]).where(
+        "one <> two and (m < n or m = n and a < b)"
+        f" and 100 * m >= {share} * n and {whole} * least(m - i, n - j) >= {share} * (m + n)").select("a", "b").distinct()
+    linked = _confirmed(stored(pairs, "crossing-pairs"), sets, rule)
+    of = members.select("node", "component")
+    return linked.join(of.toDF("a", "one"), "a").join(of.toDF("b", "two"), "b").select(
+        F.col("one").alias("a"), F.col("two").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Rule | None = None, text_column: str = "text") -> DataFrame:
@@ -264,8 +281,8 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None, text_column: str
     signed = stored(signatures(docs, rule, text_column), "signatures")
     known = signed.where("doc_id is not null and name is not null")
     classes = stored(known.groupBy("name").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
-    stars = stored(candidates(classes), "stars")
-    families = stored(components(stars).withColumnRenamed("component", "family"), "families")
+    stars = stored(candidates(classes.select("node", F.slice("bands", 1, EARLY).alias("bands"))), "stars")
+    families = stored(_families(classes, stars), "families")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     sets = stored(texts.join(families.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(
         _setter(rule), "node bigint, planes array<bigint>, shingles array<bigint>"), "sets")
