@@ -256,6 +256,10 @@ _RAW = {
         select o_orderkey, cast(o_totalprice as double) as o_totalprice from x_orders
         order by o_totalprice desc, o_orderkey limit 100""",
     "limit_offset": "select o_orderkey from x_orders order by o_orderkey desc limit 3 offset 1",
+    "limit_offset_deep": """
+        select o_orderkey, cast(o_totalprice as double) as o_totalprice from x_orders
+        qualify row_number() over (order by o_totalprice desc, o_orderkey)
+            between (select count(*) // 2 from x_orders) + 1 and (select count(*) // 2 from x_orders) + 5""",
     "subq_scalar": """
         select c_custkey from x_customer where cast(c_acctbal as double) >
             (select cast(sum(c_acctbal) as double) / count(*) from x_customer)""",

@@ -68,6 +68,14 @@ _RAW = {
         select o_orderstatus, cast(sum(case when o_orderstatus = 'F' then 2 else 1 end) as bigint)
             as n
         from x_orders group by o_orderstatus""",
+    "dml_insert_select_limit": """
+        select o_orderstatus, count(*) as n
+        from (select o_orderkey, o_orderstatus from x_orders
+              union all
+              (select o_orderkey, o_orderstatus from x_orders
+               where o_orderkey = (select min(o_orderkey) from x_orders)
+                  or o_orderkey = (select max(o_orderkey) from x_orders) limit 10))
+        group by o_orderstatus""",
     "dml_insert_on_conflict": """
         select s_suppkey, s_name from x_supplier
         union all
@@ -99,6 +107,25 @@ _RAW = {
         select 'value_1' as column_name, 0::bigint as nulls
         union all select 'value_2', 0
         union all select 'value_3', count(*) from events where event_id % 5 = 0""",
+    "dq_referencing_insert": """
+        select outcome, count(*) as n, cast(sum(value_1) as bigint) as value_1, cast(sum(value_2) as bigint) as value_2,
+            cast(sum(value_3) as bigint) as value_3
+        from (
+            select *, case when value_3 <= 10 then 'check'
+                when key is not null and key not in (select o_custkey from x_orders where o_custkey is not null)
+                    then 'foreign key' else 'inserted' end as outcome
+            from (
+                select user_id as key, case when event_id % 2 = 0 then user_id else 5 end as value_1, 10 as value_2,
+                    case when event_id % 5 <> 0 then event_id % 100 end as value_3
+                from events))
+        group by outcome""",
+    "dq_tenant_keys": """
+        select cast(tenant as int) as tenant, count(distinct number) as keys, count(*) as n
+        from (select o_custkey % 10 as tenant, o_orderkey // 8 * 8 as number from x_orders where o_orderkey % 4 > 0) r
+        where not exists (
+            select 1 from x_orders p
+            where p.o_orderkey % 4 = 0 and p.o_custkey % 10 = r.tenant and p.o_orderkey = r.number)
+        group by tenant""",
     "table_distribute": """
         select layout, o_orderstatus, count(*) as n
         from x_orders cross join (select unnest(['hash', 'reference', 'append']) as layout)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starmill.functions import substrings
+
 
 def _found(pattern: str) -> Column:
     """First group of the pattern, or null if a line does not match."""
@@ -61,53 +63,18 @@ def new_orders_per_minute(lines: DataFrame) -> DataFrame:
         "run", F.regexp_extract("value", pattern, 1).cast("bigint").alias("nopm"))
 
 
-_BITS = 1 << 16
-
-
-def _one_bit(place: Column) -> Column:
-    """A 64-bit word with the bit of ``place`` set, out of a table of the 64 words."""
-    table = F.array(*[F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint") for b in range(64)])
-    return F.get(table, place.bitwiseAND(F.lit(63)).cast("int"))
-
-
 def log_trace_filter(lines: DataFrame, word: str) -> DataFrame:
     """Lines that contain the id (first token) of some line mentioning ``word``.
 
-    An id may stand anywhere in a line, also inside a longer token. Ids have few
-    different lengths, so each line looks at its substrings of those lengths. A bitmap of
-    fixed size, with one bit set for the hash of each id, tells within the row which of them
-    can be an id; only those become rows and meet the ids in an equality join.
+    An id may stand anywhere in a line, also inside a longer token. ``substrings`` finds
+    them through Bloom filters sized by the number of ids.
     """
     ids = (
         lines.filter(F.lower("value").contains(word.lower()))
         .select(F.split(F.ltrim("value"), r"\s+")[0].alias("id"))
         .filter(F.col("id") != "").distinct()
     )
-    lengths = ids.agg(F.collect_set(F.length("id")).alias("n")).scalar()
-    windows = F.flatten(F.transform(
-        F.col("_lengths"),
-        lambda n: F.when(
-            F.length("value") >= n,
-            F.transform(F.sequence(F.lit(1), F.length("value") - n + 1),
-                        lambda at: F.substring(F.col("value"), at, n)),
-        ).otherwise(F.array().cast("array<string>"))))
-    # at most _BITS / 64 words, whatever the number of ids
-    bit = F.pmod(F.xxhash64("id"), F.lit(_BITS))
-    words = ids.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(
-        F.bit_or(_one_bit(bit)).alias("word"))
-    every = ids.sparkSession.range(_BITS // 64).select(F.col("id").cast("int").alias("at")).join(words, "at", "left")
-    bitmap = every.agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("at", F.coalesce("word", F.lit(0).cast("bigint")).alias("word")))),
-        lambda x: x["word"]).alias("b")).scalar()
-
-    def can_be(gram: Column) -> Column:
-        own = F.pmod(F.xxhash64(gram), F.lit(_BITS))
-        return F.get("_bitmap", F.shiftright(own, 6).cast("int")).bitwiseAND(_one_bit(own)) != 0
-
-    grams = lines.withColumn("_lengths", lengths).withColumn("_bitmap", bitmap).select(
-        "line", F.explode(F.array_distinct(F.filter(windows, can_be))).alias("gram"))
-    hits = grams.join(ids, F.col("gram") == F.col("id"), "left_semi").select("line").distinct()
-    return lines.join(hits, "line", "left_semi")
+    return lines.join(substrings.containing(lines, ids), "line", "left_semi")
 
 
 def no_traces(lines: DataFrame, word: str) -> DataFrame:

@@ -7,9 +7,9 @@ enter a block, one pass computes where the chain leaves the block and how many
 characters it adds. Joining these small tables end to end gives each block's true
 entry, and a second pass writes the text.
 
-The finished pool has a fixed size whatever the scale factor. It is joined in pieces short
-enough that cutting out a comment reads about a kilobyte; the exact pool is too large to
-broadcast from a small driver, so Spark's size check decides which side is.
+The finished pool has a fixed size whatever the scale factor. It is also written as one file
+of fixed lines, which Spark ships to each executor once; workers map it into memory and cut
+comments out of it in Arrow batches. So comments need no join and no row moves.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starmill.generator import words
 from starmill.generator.streams import MODULUS, MULTIPLIER, draw, draw_at, uniform
@@ -30,14 +33,18 @@ BLOCK_DRAWS = 250_000
 SENTENCE_DRAWS = 32
 PIECE = 1024
 OVERLAP = 256
+# Characters of a line of the pool's file, and the largest share of a comment batch.
+LINE = 1 << 20
 
 
 @dataclass(frozen=True)
 class Pool:
-    """Pieces of the pool: ``piece`` number and ``text`` with the start of the next piece."""
+    """Pieces of the pool, ``piece`` number and ``text`` with the start of the next piece, and
+    the name of the file shipped to executors, which holds lines of ``LINE`` characters."""
 
     pieces: DataFrame
     characters: int
+    file: str
 
 
 def _draws(first: int, count: int) -> np.ndarray:
@@ -224,11 +231,26 @@ def build_pool(spark: SparkSession, path: str, characters: int = words.POOL_CHAR
         F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts")
     ).select("piece", F.array_join(F.col("parts.part"), "").alias("text"))
     pieces.write.mode("overwrite").parquet(path)
+    _write_file(spark.read.parquet(path), f"{path}-file")
     return read_pool(spark, path, characters)
 
 
+def _write_file(pieces: DataFrame, path: str) -> None:
+    """One text file of the whole pool, which has a fixed size: 300 lines by a single task."""
+    per_line = LINE // PIECE
+    lines = pieces.groupBy(F.floor(F.col("piece") / per_line).alias("line")).agg(
+        F.array_sort(F.collect_list(F.struct("piece", F.substring("text", 1, PIECE).alias("text")))).alias("parts"))
+    whole = lines.select("line", F.array_join(F.col("parts.text"), "").alias("value"))
+    whole.coalesce(1).sortWithinPartitions("line").select("value").write.mode("overwrite").text(path)
+
+
 def read_pool(spark: SparkSession, path: str, characters: int = words.POOL_CHARACTERS) -> Pool:
-    return Pool(spark.read.parquet(path), characters)
+    """The pool written to ``path``; its file is shipped to all executors."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-file")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    file, = (str(f.getPath()) for f in files if f.getPath().getName().startswith("part-"))
+    spark.sparkContext.addFile(file)
+    return Pool(spark.read.parquet(path), characters, file.rpartition("/")[2])
 
 
 def comment_span(stream: str, jumped: Column, characters: int,
@@ -246,14 +268,26 @@ def comment_span(stream: str, jumped: Column, characters: int,
     return uniform(at, 0, characters - high), uniform(size, low, high)
 
 
+def _cutter(file: str, out: str):
+    """Replace the columns _at and _size by the text there."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = np.memmap(SparkFiles.get(file), np.uint8, "r")
+        for batch in batches:
+            at, size = (batch.column(c).cast(pa.int64()).to_numpy() for c in ("_at", "_size"))
+            ends = np.cumsum(size)
+            place = np.arange(int(size.sum())) + np.repeat(at - (ends - size), size)
+            data = pool[place + place // LINE]  # a line break follows each line
+            text = pa.StringArray.from_buffers(
+                len(at), pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(data))
+            kept = [c for c in batch.schema.names if c not in ("_at", "_size")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), text], names=[*kept, out])
+
+    return cut
+
+
 def with_comment(df: DataFrame, pool: Pool, span: tuple[Column, Column], out: str) -> DataFrame:
-    """Look the comment up in the pool by its piece."""
+    """Cut the comment out of the pool's file, within the row's own task."""
     at, size = span
-    located = df.withColumns({"_at": at, "_size": size}).withColumn(
-        "_piece", F.floor(F.col("_at") / PIECE))
-    return (
-        located.join(pool.pieces.withColumnRenamed("text", "_text"), F.col("_piece") == F.col("piece"))
-        .withColumn(out, F.expr(
-            f"substring(_text, cast(_at % {PIECE} + 1 as int), cast(_size as int))"))
-        .drop("_at", "_size", "_piece", "piece", "_text")
-    )
+    located = df.withColumns({"_at": at, "_size": size})
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    return located.mapInArrow(_cutter(pool.file, out), schema)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starmill.operators import paging
 from starmill.functions.money import exact_sum, mean, net_price, net_sum, rounded
 from starmill.sources.star import Star
 
@@ -163,6 +164,13 @@ def limit_offset(star: Star) -> DataFrame:
     return star.orders.select("o_orderkey").orderBy(F.desc("o_orderkey")).offset(1).limit(3)
 
 
+def limit_offset_deep(star: Star, k: int = 5) -> DataFrame:
+    """The ``k`` orders after the dearer half."""
+    orders = star.orders.select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    half = orders.agg(F.floor(F.count(F.lit(1)) / 2)).first()[0]
+    return paging.page(orders, [("o_totalprice", False), ("o_orderkey", True)], half, k)
+
+
 # --- subqueries --------------------------------------------------------------
 
 def subq_scalar(star: Star) -> DataFrame:
@@ -219,7 +227,7 @@ PLANS = {
         agg_group_multi, agg_global, agg_count_col, agg_count_distinct, agg_min_max,
         agg_conditional, agg_of_agg, agg_having, agg_having_subquery, agg_group_expr,
         agg_group_hidden, agg_distinct_by_group, agg_checksum, agg_param_batch,
-        sort_multi, sort_by_agg, topk, limit_unordered, limit_unordered_count, limit_offset,
+        sort_multi, sort_by_agg, topk, limit_unordered, limit_unordered_count, limit_offset, limit_offset_deep,
         subq_scalar, subq_scalar_correlated, subq_from, cte, view,
     )
 }

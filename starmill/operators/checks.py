@@ -64,12 +64,70 @@ def not_null(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.unpivot([], columns, "column_name", "nulls")
 
 
+def referencing_insert(rows: DataFrame, key: str, parent: DataFrame, parent_key: str, condition: Column) -> DataFrame:
+    """``rows`` with ``outcome``: inserted, or the constraint that refuses the row, the check before the key.
+
+    An unknown condition and a null key pass. Parents are made distinct before the join, so
+    a parent that repeats adds no rows.
+    """
+    parents = parent.select(F.col(parent_key).alias("_parent")).distinct().withColumn("_known", F.lit(True))
+    refused = F.when(~condition, "check").when(F.col(key).isNotNull() & F.col("_known").isNull(), "foreign key")
+    return rows.join(parents, F.col(key) == F.col("_parent"), "left").withColumn(
+        "outcome", refused.otherwise("inserted")).drop("_parent", "_known")
+
+
+def _tags(df: DataFrame, tags: list[tuple[int, bool, list[str]]]) -> DataFrame:
+    """(number, one, two, n, parent): per row and tag, a constraint's key as child or as parent.
+
+    Rows are summed per key within a task before they are sent; a child with a null key is
+    not sent.
+    """
+    made = [F.struct(
+        F.lit(number).alias("number"), F.col(columns[0]).cast("bigint").alias("one"),
+        (F.col(columns[1]) if len(columns) > 1 else F.lit(0)).cast("bigint").alias("two"),
+        F.lit(0 if parent else 1).cast("bigint").alias("n"), F.lit(parent).alias("parent"))
+        for number, parent, columns in tags]
+    return df.select(F.explode(F.array(*made)).alias("t")).select("t.*").filter("one is not null and two is not null")
+
+
+def _merged(tags: DataFrame) -> DataFrame:
+    return tags.groupBy("number", "one", "two").agg(F.sum("n").alias("n"), F.max("parent").alias("parent"))
+
+
 def star_foreign_keys(star: Star) -> DataFrame:
-    """Orphans of every foreign key of the star schema."""
-    out = None
-    for child, columns, parent, parent_columns in FOREIGN_KEYS:
-        rows = foreign_key(getattr(star, child), columns, getattr(star, parent), parent_columns)
-        found = rows.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-        found = found.select(F.lit(f"{child}.{'+'.join(columns)}").alias("foreign_key"), "keys", "n")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """Orphans of every foreign key of the star schema, each stored table read once.
+
+    Every table sends its keys, tagged by constraint and side, to one grouped sum, which
+    sees for each key whether it has children and a parent. Where ``partsupp`` is not stored
+    but follows from the lines, its rows are the distinct keys that the lines sent.
+    """
+    tags: dict[str, list[tuple[int, bool, list[str]]]] = {}
+    own = {number: FOREIGN_KEYS[number] for number in range(len(FOREIGN_KEYS))}
+    for number, (child, columns, parent, parent_columns) in own.items():
+        tags.setdefault(child, []).append((number, False, columns))
+        tags.setdefault(parent, []).append((number, True, parent_columns))
+    derived = tags.pop("partsupp") if not star.has_partsupp else []
+    sent = None
+    for table, wanted in tags.items():
+        rows = _tags(getattr(star, table), wanted)
+        sent = rows if sent is None else sent.unionByName(rows)
+    keys = _merged(sent)
+    if derived:
+        line, = (number for number, (child, _, parent, _) in own.items() if (child, parent) == ("lineitem", "partsupp"))
+        place = {"ps_partkey": "one", "ps_suppkey": "two"}
+        of_line = F.col("number") == line
+        row = [F.struct(
+            F.lit(number).alias("number"), F.col(place[columns[0]]).alias("one"),
+            (F.col(place[columns[1]]) if len(columns) > 1 else F.lit(0).cast("bigint")).alias("two"),
+            F.lit(0 if parent else 1).cast("bigint").alias("n"), F.lit(parent).alias("parent"))
+            for number, parent, columns in derived]
+        itself = F.struct("number", "one", "two", "n", "parent")
+        keys = _merged(keys.select(F.explode(F.when(of_line, F.array(itself, *row)).otherwise(F.array(itself))).alias("t")).select("t.*"))
+    orphan = F.col("n") * (~F.col("parent")).cast("bigint")
+    names = F.element_at(F.array(*[F.lit(f"{c}.{'+'.join(k)}") for c, k, _, _ in FOREIGN_KEYS]), F.col("number") + 1)
+    # a marker per constraint, so that one without any rows is reported as well
+    markers = star.spark.range(len(FOREIGN_KEYS)).select(
+        F.col("id").cast("int").alias("number"), F.lit(0).cast("bigint").alias("orphans"))
+    return keys.select("number", orphan.alias("orphans")).unionByName(markers).groupBy("number").agg(
+        F.count(F.when(F.col("orphans") > 0, 1)).alias("keys"), F.sum("orphans").alias("n")).select(
+        names.alias("foreign_key"), "keys", "n")

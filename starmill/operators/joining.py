@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from starmill.functions.money import net_sum, rounded
 from starmill.functions.shared import shared_dir
 from starmill.operators.joins import null_aware_anti, opposite_pairs, with_match, without_match
-from starmill.operators.layout import write_bucketed
+from starmill.operators.layout import write_colocated
 from starmill.sources.desk import Desk, supplier_key
 from starmill.sources.star import Star
 
@@ -176,18 +176,17 @@ def join_broadcast_ref(star: Star) -> DataFrame:
 
 
 def join_colocated(star: Star, buckets: int | None = None) -> DataFrame:
-    """Join of two tables bucketed alike on the order key: no exchange before the join."""
-    spark = star.spark
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base, tag = shared_dir(spark, "colocated"), uuid.uuid4().hex[:8]
-    lines = write_bucketed(
-        star.lineitem.select("l_orderkey", "l_quantity"), f"lines_{tag}", f"{base}/lines",
-        "l_orderkey", buckets)
-    orders = write_bucketed(
-        star.orders.select("o_orderkey", "o_orderstatus"), f"orders_{tag}", f"{base}/orders",
-        "o_orderkey", buckets)
+    """Join of two tables bucketed alike on the order key: no exchange before the join.
+
+    Order keys with many lines are cut, and their orders copied to each cut.
+    """
+    lines, orders = write_colocated(
+        star.lineitem.select("l_orderkey", "l_quantity"), "l_orderkey",
+        star.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey",
+        shared_dir(star.spark, "colocated"), uuid.uuid4().hex[:8], buckets)
+    on = (F.col("o_orderkey") == F.col("l_orderkey")) & (orders["_salt"] == lines["_salt"])
     return (
-        orders.hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+        orders.hint("merge").join(lines, on)
         .groupBy("o_orderstatus").agg(rounded(F.sum("l_quantity")).alias("quantity"))
     )
 

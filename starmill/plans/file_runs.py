@@ -158,7 +158,8 @@ def table_size(star: Star) -> DataFrame:
 
 
 def warm_cache(star: Star) -> DataFrame:
-    return files.warm_cache({name: star.raw(name) for name in GIVEN})
+    """Rows of each given table, counted through the cache after its statistics are taken."""
+    return files.warm_cache(star.spark, {name: f"{star.path}/{name}.parquet" for name in GIVEN})
 
 
 # --- log reducers ------------------------------------------------------------

@@ -102,6 +102,14 @@ def dml_insert_select(star: Star) -> DataFrame:
     return none.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+def dml_insert_select_limit(star: Star, limit: int = 10) -> DataFrame:
+    """At most ten rows of two keys, the smallest and the largest, copied into the table."""
+    table = star.orders.select("o_orderkey", "o_orderstatus")
+    ends = table.agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+    wanted = (F.col("o_orderkey") == ends.select("low").scalar()) | (F.col("o_orderkey") == ends.select("high").scalar())
+    return dml.insert_select(table, table, wanted, limit).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
 def dml_insert_on_conflict(star: Star) -> DataFrame:
     table = star.supplier.select("s_suppkey", "s_name")
     rows = star.raw("events").select(
@@ -161,6 +169,33 @@ def dq_defaults_notnull(star: Star) -> DataFrame:
     return checks.not_null(filled, ["value_1", "value_2", "value_3"])
 
 
+def dq_referencing_insert(star: Star) -> DataFrame:
+    """Events put into a table that refers to the customers with orders, with defaults and a check.
+
+    ``value_1`` is left out by odd events and takes its default, ``value_2`` by all;
+    ``value_3`` must be above ten and the key must exist. Rows per outcome, and their sums.
+    """
+    rows = star.raw("events").select(
+        F.col("user_id").alias("key"), F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("value_1"),
+        F.lit(None).cast("bigint").alias("value_2"),
+        F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 100).alias("value_3"))
+    judged = checks.referencing_insert(
+        checks.fill_defaults(rows, {"value_1": F.lit(5), "value_2": F.lit(10)}),
+        "key", star.orders, "o_custkey", F.col("value_3") > 10)
+    return judged.groupBy("outcome").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value_1").alias("value_1"), F.sum("value_2").alias("value_2"),
+        F.sum("value_3").alias("value_3"))
+
+
+def dq_tenant_keys(star: Star) -> DataFrame:
+    """Per tenant, rows of tables 1 to 3 whose number is no id of the tenant's own table 0."""
+    rows = _tenants(star).withColumn("number", F.floor(F.col("id") / 8) * 8)
+    orphans = checks.foreign_key(
+        rows.filter("tbl > 0"), ["tenant", "number"],
+        rows.filter("tbl = 0").select(F.col("tenant").alias("_tenant"), F.col("id").alias("_id")), ["_tenant", "_id"])
+    return orphans.groupBy("tenant").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n"))
+
+
 def table_distribute(star: Star) -> DataFrame:
     """The same count per status from the hash, reference and append layouts."""
     spark, tag = star.spark, uuid.uuid4().hex[:8]
@@ -168,7 +203,7 @@ def table_distribute(star: Star) -> DataFrame:
     out = None
     for kind in ("hash", "reference", "append"):
         stored = layout.table_distribute(
-            source, kind, shared_dir(spark, kind), f"orders_{kind}_{tag}", "o_orderkey", 8)
+            source, kind, shared_dir(spark, kind), f"orders_{kind}_{tag}", "o_orderkey")
         rows = stored.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).select(
             F.lit(kind).alias("layout"), "o_orderstatus", "n")
         out = rows if out is None else out.unionByName(rows)
@@ -219,8 +254,8 @@ def wide_table(star: Star) -> DataFrame:
 
 PLANS = (
     dml_insert, dml_update_set, dml_update_delta, dml_update_all_but, dml_update_like,
-    dml_delete_keys, dml_insert_select, dml_insert_on_conflict, dml_refresh_pair,
-    dq_primary_key, dq_foreign_key, dq_orphans, dq_check, dq_defaults_notnull,
+    dml_delete_keys, dml_insert_select, dml_insert_select_limit, dml_insert_on_conflict, dml_refresh_pair,
+    dq_primary_key, dq_foreign_key, dq_orphans, dq_check, dq_defaults_notnull, dq_referencing_insert, dq_tenant_keys,
     table_distribute, tenant_layout, tenant_read, wide_table,
 )
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from starmill.functions.shared import shared_dir
 
 # Column order and types of the delimited files.
 _DDL = {
@@ -97,31 +102,48 @@ def read_golden(spark: SparkSession, path: str, columns: T.StructType) -> DataFr
     )
 
 
+def ranked(df: DataFrame, keys: list[str], numbers: list[str]) -> DataFrame:
+    """``df`` with ``place``: the rank of a row by ``numbers`` among the rows alike in ``keys``.
+
+    Rows are cut into ranges by (key, numbers, a tie-breaker), so no task holds a whole key,
+    let alone a whole answer without keys. The ranges are written down; a place is the rank
+    within one's range plus the rows of that key in earlier ranges.
+    """
+    spark = df.sparkSession
+    key = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("bigint")
+    order = ["_key", *numbers, "_tie"]
+    # equal rows are interchangeable; their tie-breaker lets a range end between them
+    cut = df.withColumn("_key", key).withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*order)
+    path = shared_dir(spark, "ranked")
+    cut.withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("_key", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ahead = sizes.select("_key", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(W.partitionBy("_key", "_range").orderBy(*numbers, "_tie"))
+    return rows.withColumn("place", inside).join(ahead, ["_key", "_range"]).withColumn(
+        "place", F.col("place") + F.col("_ahead")).drop("_key", "_tie", "_range", "_ahead")
+
+
 def compare_answers(result: DataFrame, expected: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Rows found on one side only, or with a number further apart than ``tolerance``.
 
     Row order does not count, nor does the number of blanks in a text. Rows pair up on
     their other columns; rows alike in those pair in the order of their numbers.
     """
-    numbers = [n for n, kind in expected.dtypes if kind in ("double", "float")
-               or kind.startswith("decimal")]
+    kinds = dict(expected.dtypes)
+    numbers = [n for n, kind in kinds.items() if kind in ("double", "float") or kind.startswith("decimal")]
     keys = [n for n in expected.columns if n not in numbers]
 
-    for name, kind in expected.dtypes:
-        if kind == "string":
-            one_blank = F.trim(F.regexp_replace(name, " +", " "))
-            result, expected = (df.withColumn(name, one_blank) for df in (result, expected))
-
-    def ranked(df: DataFrame, prefix: str) -> DataFrame:
-        place = F.row_number().over(
-            W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
-            .orderBy(*[F.col(n) for n in numbers] or [F.lit(0)]))
-        return df.select(
-            *[F.col(k).cast(dict(expected.dtypes)[k]).alias(f"{prefix}{k}") for k in keys],
-            *[F.col(n).cast("double").alias(f"{prefix}{n}") for n in numbers],
-            place.alias(f"{prefix}_place"))
-
-    left, right = ranked(result.select(*expected.columns), "got_"), ranked(expected, "want_")
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        cells = [F.col(k).cast(kinds[k]) for k in keys]
+        cells = [F.trim(F.regexp_replace(c, " +", " ")) if kinds[k] == "string" else c for k, c in zip(keys, cells)]
+        plain = df.select(*[c.alias(f"{prefix}{k}") for k, c in zip(keys, cells)],
+                          *[F.col(n).cast("double").alias(f"{prefix}{n}") for n in numbers])
+        return ranked(plain, [f"{prefix}{k}" for k in keys], [f"{prefix}{n}" for n in numbers]).withColumnRenamed(
+            "place", f"{prefix}_place")
+
+    left, right = side(result, "got_"), side(expected, "want_")
     on = F.col("got__place") == F.col("want__place")
     for key in keys:
         on = on & F.col(f"got_{key}").eqNullSafe(F.col(f"want_{key}"))
@@ -187,14 +209,44 @@ def table_size(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
         F.coalesce("tbl", F.lit("total")).alias("tbl"), "rows", "bytes")
 
 
-def warm_cache(tables: dict[str, DataFrame]) -> DataFrame:
-    """Count every table and keep it, in memory as far as that goes, else on disk.
+# Types that Spark takes no column statistics of.
+_NESTED = ("array", "struct", "map", "variant")
+
 
-    ``spark.catalog.clearCache()`` or ``unpersist`` lets them go.
+def analyzed(spark: SparkSession, tables: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables stored at the given paths, with statistics of every column that is not nested.
+
+    ``ANALYZE TABLE`` counts rows, nulls, distinct values, bounds and lengths of each column;
+    with ``spark.sql.cbo.enabled`` the optimizer estimates rows of filters and joins by them.
+    Spark keeps statistics with a catalog entry, so each table gets one for the time being;
+    the returned DataFrames are bound to it, and it is dropped again.
     """
-    counts = None
-    for name, df in tables.items():
-        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-        row = kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tbl"), "n")
-        counts = row if counts is None else counts.unionByName(row)
-    return counts
+    made = {}
+    for name, path in tables.items():
+        entry = f"analyzed_{name}_{uuid.uuid4().hex[:8]}"
+        spark.catalog.createTable(entry, path=path, source="parquet")
+        try:
+            plain = [f"`{c}`" for c, kind in spark.table(entry).dtypes if not kind.startswith(_NESTED)]
+            spark.sql(f"analyze table {entry} compute statistics" + (f" for columns {', '.join(plain)}" if plain else ""))
+            made[name] = spark.table(entry)
+            made[name]._jdf.queryExecution().optimizedPlan().stats()  # binds plan and statistics
+        finally:
+            spark.sql(f"drop table {entry}")
+    return made
+
+
+@contextmanager
+def warmed(tables: dict[str, DataFrame]) -> Iterator[dict[str, int]]:
+    """Rows of every table, which stay cached, in memory as far as that goes, while the block runs."""
+    kept = {name: df.persist(StorageLevel.MEMORY_AND_DISK) for name, df in tables.items()}
+    try:
+        yield {name: df.count() for name, df in kept.items()}
+    finally:
+        for df in kept.values():
+            df.unpersist()
+
+
+def warm_cache(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
+    """Statistics of every table, then its rows counted through the cache, which is let go again."""
+    with warmed(analyzed(spark, tables)) as counts:
+        return spark.createDataFrame(sorted(counts.items()), "tbl string, n bigint")

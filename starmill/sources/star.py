@@ -224,17 +224,23 @@ class Star:
         return self._orders(df)
 
     @cached_property
-    def partsupp(self) -> DataFrame:
+    def has_partsupp(self) -> bool:
+        """False in the reduced schema, where the lines' keys stand for the table."""
         try:
-            stored = self.raw("partsupp")
-        except Exception as error:  # the reduced schema has no partsupp file
+            self.raw("partsupp")
+        except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            stored = (
-                self.raw("lineitem")
-                .select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"))
-                .distinct()
-            )
+            return False
+        return True
+
+    @cached_property
+    def partsupp(self) -> DataFrame:
+        stored = self.raw("partsupp") if self.has_partsupp else (
+            self.raw("lineitem")
+            .select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"))
+            .distinct()
+        )
         return self._project(stored, {
             "ps_partkey": ("bigint", "null"),
             "ps_suppkey": ("bigint", "null"),
