@@ -9,12 +9,12 @@ skip stripes and row groups. Columns of a file:
 * ``n_tokens`` (with the end id) and ``ids``.
 
 Rows without an id come first; rows that repeat an id stand together, ordered by a hash of
-their text, then by the text. Null and empty texts hold the end id alone.
+their text, then by the text; equal rows may be cut into several ranges. Null and empty texts hold the end id alone.
 
 Encoding: byte-level BPE never merges across a single blank between two other characters,
 a letter beside a sign, or a single line feed, so a text is cut there, each distinct piece
-is encoded once by the tokenizers library and kept in a bounded cache of the worker, and ids
-are put together by numpy. Texts with a blank beside other white space, or with ``<|``, as
+is encoded once by the tokenizers library and kept in a bounded table of the worker, and ids
+are looked up and put together by numpy. Texts with a blank beside other white space, or with ``<|``, as
 special tokens have, are encoded whole.
 """
 
@@ -34,8 +34,8 @@ from starmill.llm.kernel import mix, powers, prefix_hash, text_slices
 
 SCHEMA = "doc_id bigint, shard int, place bigint, n_tokens bigint, ids array<int>"
 END = 0
-#: Pieces a worker remembers, and the longest that it keeps, in bytes.
-CACHE, KEPT = 250_000, 64
+#: Places for pieces that a worker remembers, the ids it holds for them, and the longest that it keeps, in bytes.
+CACHE, HELD, KEPT = 1 << 20, 4_000_000, 64
 _SLICE = 2 << 20
 _WIDE = {0xE19A80, 0xE2819F, 0xE38080, 0xE280A8, 0xE280A9, 0xE280AF, *range(0xE28080, 0xE2808B)}
 
@@ -43,11 +43,11 @@ _workers: dict[str, tuple] = {}
 
 
 def _library(path: str) -> tuple:
-    """The tokenizer and the cache of this worker process, made once per file."""
+    """The tokenizer and what this worker process knows by it, made once per file."""
     if path not in _workers:
         from tokenizers import Tokenizer
 
-        _workers[path] = (Tokenizer.from_file(path), {})
+        _workers[path] = (Tokenizer.from_file(path), _Known())
     return _workers[path]
 
 
@@ -113,34 +113,89 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.append(starts[1:], len(data))
 
 
-def _encoded(tokenizer, pieces: list[bytes]) -> list[np.ndarray]:
-    """Ids of each piece; pieces are joined where their ids can be told apart again."""
-    made: list = [None] * len(pieces)
-    texts = [x.decode() for x in pieces]
-    lead, plain, alone = [], [], []
-    for k, text in enumerate(texts):
-        if len(text.split()) != 1 or text[-1].isspace() or len(text) > KEPT:
-            alone.append(k)
-        else:
-            (lead if text[0] == " " else alone if text[0].isspace() else plain).append(k)
+def _plain(piece: bytes) -> int:
+    """0 for a blank and a word, 1 for a word: pieces whose ids can be told apart in a row of such; else 2."""
+    text = piece.decode()
+    if len(text.split()) != 1 or text[-1].isspace() or len(text) > KEPT:
+        return 2
+    return 0 if text[0] == " " else 2 if text[0].isspace() else 1
+
+
+def _kinds_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+    """``_plain`` of each piece; those of ASCII letters and digits are told from running counts."""
+    odd = np.concatenate(([0], np.cumsum(_kinds()[data] != 1)))
+    lead = data[starts] == 32
+    body = starts + lead
+    simple = (odd[ends] == odd[body]) & (body < ends) & (ends - starts <= KEPT)
+    made = np.where(simple, np.where(lead, 0, 1), 2).astype(np.int8)
+    for k in np.flatnonzero(~simple).tolist():
+        made[k] = _plain(pieces[k])
+    return made
+
+
+def _encoded(tokenizer, pieces: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all pieces, where each piece's begin, how many they are); many pieces go in one call."""
     feed = tokenizer.encode("\n", add_special_tokens=False).ids[0]
     opens = _opening(tokenizer)
-    for chosen, glue in ((lead, ""), (plain, "\n")):
-        groups = [chosen[k: k + 64] for k in range(0, len(chosen), 64)]
-        joined = [glue.join([texts[k] for k in group]) for group in groups]
-        for group, e in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+    begin, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+    made, total = [], 0
+    for kind, glue, most in ((0, b"", 64), (1, b"\n", 64), (2, b"", 1)):
+        chosen = np.flatnonzero(kinds == kind)
+        groups = [chosen[k: k + most] for k in range(0, len(chosen), most)]
+        texts = [glue.join([pieces[k] for k in group.tolist()]).decode() for group in groups]
+        for group, e in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int32)
-            if glue:
-                at = np.flatnonzero(ids == feed)
-                parts = [ids[a:b] for a, b in zip([0, *(at + 1)], [*at, len(ids)], strict=True)]
-            else:
+            if kind == 0:
                 at = np.flatnonzero(opens[ids])
-                parts = [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)]
-            for k, part in zip(group, parts, strict=True):
-                made[k] = part
-    for k, e in zip(alone, tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False), strict=True):
-        made[k] = np.array(e.ids, np.int32)
-    return made
+            elif kind == 1:
+                breaks = np.flatnonzero(ids == feed)
+                ids, at = np.delete(ids, breaks), np.concatenate(([0], breaks - np.arange(len(breaks))))
+            else:
+                at = np.zeros(1, np.int64)
+            begin[group] = total + at
+            size[group] = np.diff(np.append(at, len(ids)))
+            made.append(ids)
+            total += len(ids)
+    return np.concatenate(made) if made else np.zeros(0, np.int32), begin, size
+
+
+class _Known:
+    """Ids of pieces seen before: a table with one place per hash, and the ids one after another.
+
+    A piece is known by a 64-bit hash of its bytes and length, its first eight bytes and its
+    last ones. A later piece may take another's place; that one is encoded again.
+    """
+
+    def __init__(self):
+        self.name, self.head = np.zeros(CACHE, np.uint64), np.zeros(CACHE, np.uint64)
+        self.begin, self.size = np.full(CACHE, -1, np.int32), np.zeros(CACHE, np.int16)
+        self.ids, self.filled = np.zeros(HELD, np.int32), 0
+
+    def place(self, name: np.ndarray) -> np.ndarray:
+        return (name % np.uint64(CACHE)).astype(np.int64)
+
+    def add(self, ids: np.ndarray) -> int:
+        """Where the ids now begin."""
+        at, self.filled = self.filled, self.filled + len(ids)
+        if self.filled > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(self.filled - len(self.ids), np.int32)))
+        self.ids[at: self.filled] = ids
+        return at
+
+    def limit(self) -> None:
+        """Forget all pieces if their ids have grown beyond ``HELD``."""
+        if self.filled > HELD:
+            self.begin[:], self.ids, self.filled = -1, np.zeros(HELD, np.int32), 0
+
+
+def _heads(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """First eight bytes of each piece (fewer: as many), mixed with its last four."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    every = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    masks = np.array([(1 << 8 * min(k, 8)) - 1 for k in range(9)], np.uint64)
+    first = np.ascontiguousarray(every[starts]).view(np.uint64).ravel() & masks[np.minimum(length, 8)]
+    last = np.ascontiguousarray(every[np.maximum(starts + length - 4, starts)]).view(np.uint64).ravel() & masks[np.minimum(length, 4)]
+    return first ^ mix(last + length.astype(np.uint64))
 
 
 @lru_cache(4)
@@ -155,31 +210,34 @@ def _encode(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     rows = len(offsets) - 1
     if not len(data):
         return np.full(rows, END, np.int32), np.arange(rows + 1)
-    tokenizer, cache = _library(path)
+    tokenizer, known = _library(path)
+    known.limit()
     starts, ends = _pieces(data, offsets)
     running, (_, down) = prefix_hash(data, False), powers(len(data))
-    name = mix((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    _, first, which = np.unique(name, return_index=True, return_inverse=True)
+    span = ends - starts
+    name = mix((running[ends] - running[starts]) * down[starts] + span.astype(np.uint64))
+    head, place = _heads(data, starts, span), known.place(name)
+    begin, length = known.begin[place].astype(np.int64), known.size[place].astype(np.int64)
+    missing = np.flatnonzero((known.name[place] != name) | (known.head[place] != head) | (begin < 0))
+    _, first, which = np.unique(name[missing], return_index=True, return_inverse=True)
+    new = missing[first]
     raw = data.tobytes()
-    distinct = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    if len(cache) > CACHE:
-        cache.clear()
-    unknown = [x for x in distinct if x not in cache]
-    new = {}
-    for k in range(0, len(unknown), 4096):
-        part = unknown[k: k + 4096]
-        for x, ids in zip(part, _encoded(tokenizer, part), strict=True):
-            (cache if len(x) <= KEPT else new)[x] = ids.tobytes()
-    known = [cache[x] if x in cache else new[x] for x in distinct]
-    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-    table, begin = np.frombuffer(b"".join(known), np.int32), np.cumsum(size) - size
+    pieces = [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+    ids, at, size = _encoded(tokenizer, pieces, _kinds_of(data, starts[new], ends[new], pieces))
+    at += known.add(ids)
+    begin[missing], length[missing] = at[which], size[which]
+    _, own = np.unique(place[new], return_index=True)  # one piece per place
+    own = own[span[new][own] <= KEPT]
+    slot = place[new][own]
+    known.name[slot], known.head[slot] = name[new][own], head[new][own]
+    known.begin[slot], known.size[slot] = at[own], size[own]
+    table = known.ids
     row = np.searchsorted(offsets, starts, "right") - 1
-    length = size[which]
     target = np.cumsum(length) - length + row
     total = int(length.sum()) + rows
     ids = np.full(total, END, np.int32)
     inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    ids[np.repeat(target, length) + inside] = table[np.repeat(begin[which], length) + inside]
+    ids[np.repeat(target, length) + inside] = table[np.repeat(begin, length) + inside]
     counts = np.bincount(row, weights=length, minlength=rows).astype(np.int64) + 1
     return ids, np.concatenate(([0], np.cumsum(counts)))
 
@@ -208,9 +266,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_column: str = "d
                  text_column: str = "text", stripe: int = 64 << 20) -> None:
     """Encode every text with the tokenizer file ``tokenizer`` and write ORC files to ``path``."""
     named = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    order = ["doc_id", "tie"]
-    ordered = named.withColumn("tie", F.xxhash64("text")).repartitionByRange(*order)
-    ordered.sortWithinPartitions(*order, "text").select("doc_id", "text").mapInArrow(
+    # rows of one id and text are interchangeable; a spread lets a range end between them
+    order = ["doc_id", "tie", "spread"]
+    ordered = named.withColumn("tie", F.xxhash64("text")).withColumn(
+        "spread", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*order)
+    ordered.sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text").mapInArrow(
         _encoder(tokenizer), SCHEMA).write.format("orc").option("compression", "zstd").option(
         "orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option(
         "orc.row.index.stride", "10000").option("orc.stripe.size", str(stripe)).save(path)
