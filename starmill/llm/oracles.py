@@ -154,18 +154,14 @@ places as (
 weights as (
     select word, round(ln(((select count(*) from docs) + 1)::double / (count(distinct r) + 1)) + 1.0, 6) as weight
     from (select r, word from places union all select null, word from index) group by word),
-rare as (
-    select r, word from (select distinct r, word from places) join weights using (word)
-    qualify row_number() over (partition by r order by weight desc, word) <= 4),
 aligned as (
-    select p.r, i.template, i.label, p.place - i.place as shift, sum(weight) as weight, sum(i.needed) as needed,
-        max((p.word in (select word from rare x where x.r = p.r))::int) as has_rare
+    select p.r, i.template, i.label, p.place - i.place as shift, sum(weight) as weight, sum(i.needed) as needed
     from places p join index i on p.word = i.word join weights g on g.word = i.word group by all),
 totals as (select template, sum(weight) as whole, sum(needed) as all_needed from index join weights using (word) group by template),
 agreed as (
     select r, list(distinct label) as found, max(weight / whole) as best
     from aligned join totals using (template)
-    where has_rare = 1 and needed = all_needed and weight / whole >= 0.6 group by r),
+    where needed = all_needed and weight / whole >= 0.6 group by r),
 base as (
     select r, phrase, label, i - 1 as place
     from (select r, w, unnest(range(1, len(w) + 1)) as i from docs),

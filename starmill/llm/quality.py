@@ -113,7 +113,10 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 
 def _stored(docs: DataFrame) -> Column:
-    return (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("double")
+    """The stored number of characters; null if there is no such column or it holds no numbers."""
+    kind = dict(docs.dtypes).get("n_chars", "")
+    number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+    return (F.col("n_chars") if number else F.lit(None)).cast("double")
 
 
 def _featuriser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,3 +74,26 @@ def test_empty_table(spark):
 def test_mandatory_phrase_must_stand_in_its_sentence():
     with pytest.raises(ValueError):
         licenses.postings((("x", "one two three", "two one"),))
+
+
+def test_sql_and_query_agree_on_files_with_several_licences(spark):
+    import random
+
+    import duckdb
+    import pyarrow as pa
+
+    from starmill.llm.oracles import ORACLES
+
+    rng = random.Random(6)
+    sentences = [sentence for _, sentence, _ in licenses.TEMPLATES]
+    several = [" and ".join(rng.sample(sentences, k)) for k in (2, 5, 9, 17) for _ in range(6)]
+    rows = list(enumerate(LINES[:11] + several + [f"plain words of file {k} " + " ".join(rng.sample(sentences[0].split(), 3)) for k in range(40)]))
+    documents = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    with duckdb.connect() as c:
+        c.register("documents", documents)
+        made = c.execute(ORACLES["op10_license_scan"])
+        names = [d[0] for d in made.description]
+        want = sorted(made.fetchall(), key=lambda r: r[names.index("doc_id")])
+    got = sorted((tuple(r[n] for n in names) for r in scanned(spark, rows)), key=lambda r: r[names.index("doc_id")])
+    assert got == want
+    assert max(len(r[names.index("labels")].split(",")) for r in got) >= len({label for label, _, _ in licenses.TEMPLATES})

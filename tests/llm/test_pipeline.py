@@ -69,3 +69,42 @@ def test_tokens(stages):
 
 def test_run_equals_its_stages(spark, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(str, stages[5].collect()))
+
+
+def odd_documents(spark):
+    base = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 90")
+    one = base.where("doc_id = 3").first()
+    more = spark.createDataFrame(
+        [(None, one.text, "en", "src1", 1), (None, None, None, None, None), (None, "", "en", None, 0), (3, one.text, one.lang, one.source, 1),
+         (4, "another text of the same id", "en", "src2", 5), (9000, None, "en", "src3", None), (9001, " \n\t ", None, "src3", 4),
+         (9002, "one", "en", "src3", 3), (9003, "long " * 60_000, "en", None, 300_000)], base.schema)
+    odd = base.unionByName(more).withColumn("n_chars", quality.F.lit("many"))
+    for name, value in (("node", 1), ("bands", "b"), ("draw", 0.5), ("part", "p"), ("item", 7), ("start", "s"), ("size", -1), ("row", "r")):
+        odd = odd.withColumn(name, quality.F.lit(value))
+    return odd
+
+
+def test_odd_rows_pass_every_stage(spark):
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stored(stage(spark, docs, DATA), name)
+        assert after.columns == docs.columns and dict(after.dtypes) == dict(docs.dtypes)
+        assert after.count() > 0
+        if name == "near_duplicates":
+            counts = {(r.doc_id, r.text) for r in after.collect()}
+            assert len(counts) == after.where("doc_id is not null").distinct().count() + after.where("doc_id is null").distinct().count()
+            assert after.where("doc_id = 3").count() <= 1
+            before = docs.where("doc_id is null").count()
+            assert after.where("doc_id is null").count() == before  # linked with nothing
+        if name == "mixing":
+            assert after.where("text is null or trim(text) = ''").count() == 0
+        docs = after
+    digest = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert digest.count() == docs.count()
+
+
+def test_an_empty_table_passes_every_stage(spark):
+    docs = odd_documents(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, DATA), name)
+        assert docs.count() == 0
