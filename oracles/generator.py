@@ -218,6 +218,87 @@ from walk where row > 0"""
 
 _j = value
 
+
+def _params_sql():
+    """Parameters of all queries by recursion: redraws until a word differs, and shuffles swap by swap."""
+    def d(q, k):
+        return f"(seed % {P} * {pow(A, q + k, P)}::bigint % {P})"
+
+    def n(q, k, low, high):
+        return unif(d(q, k), low, high)
+
+    def w(q, k, names):
+        return word(d(q, k), names)
+
+    def month(k):
+        return f"strftime(date '1993-01-01' + to_months(cast({k} as int)), '%Y-%m-%d')"
+
+    def year(k):
+        return f"'19' || {k} || '-01-01'"
+
+    def brand(q, k):
+        return f"'Brand#' || {n(q, k, 1, 5)} || {n(q, k + 1, 1, 5)}"
+
+    def weighted_word(q, k, pairs):
+        return weighted(d(q, k), pairs)
+
+    def shuffled(q, k, size, taken, first):
+        values = f"range({first}, {first + size})"
+        for i in range(taken):
+            j = f"{unif(d(q, k + i), i, size - 1)} + 1"
+            values = (f"(select list_transform(range(1, {size + 1}), lambda x: case when x = {i + 1} then l[j]"
+                      f" when x = j then l[{i + 1}] else l[x] end) from (select {values} as l, {j} as j))")
+        return f"array_to_string(({values})[1:{taken}], '|')"
+
+    regions, key = [], 0
+    for _, step in words.NATION_STEPS:
+        key += step
+        regions.append(words.REGIONS[key])
+    nation_list = ", ".join(f"'{x}'" for x in regions)
+    type_list = words.PART_TYPES
+    other = {q: f"(select v from accepted a where a.seed = s.seed and a.q = {q})" for q in (7, 12)}
+    by_query = {
+        1: [n(1, 1, 60, 120)],
+        2: [n(2, 1, 1, 50), f"string_split({w(2, 2, type_list)}, ' ')[-1]", w(2, 3, words.REGIONS)],
+        3: [w(3, 1, words.SEGMENTS), f"cast(date '1995-03-01' + cast({n(3, 2, 0, 30)} as int) as varchar)"],
+        4: [month(n(4, 1, 1, 58))],
+        5: [w(5, 1, words.REGIONS), year(n(5, 2, 93, 97))],
+        6: [year(n(6, 1, 93, 97)), f"'0.0' || {n(6, 2, 2, 9)}", n(6, 3, 24, 25)],
+        7: [w(7, 1, words.NATIONS), word(other[7], words.NATIONS)],
+        8: [w(8, 1, words.NATIONS), f"([{nation_list}])[{n(8, 1, 1, 25)}]", w(8, 2, type_list)],
+        9: [w(9, 1, words.COLOURS)],
+        10: [month(n(10, 1, 1, 24))],
+        11: [w(11, 1, words.NATIONS), "'0.0001000000'"],
+        12: [w(12, 1, words.SHIP_MODES), word(other[12], words.SHIP_MODES),
+             year(unif(f"({other[12]} * {A} % {P})", 93, 97))],
+        13: [weighted_word(13, 1, words.QUERY_ADJECTIVES), weighted_word(13, 2, words.QUERY_NOUNS)],
+        14: [month(n(14, 1, 0, 59))],
+        15: [month(n(15, 1, 0, 57))],
+        16: [brand(16, 1), f"array_to_string(string_split({w(16, 3, type_list)}, ' ')[1:2], ' ')", shuffled(16, 4, 50, 8, 1)],
+        17: [brand(17, 1), w(17, 3, words.CONTAINERS)],
+        18: [n(18, 1, 312, 315)],
+        19: [brand(19, 1), brand(19, 3), brand(19, 5), n(19, 7, 1, 10), n(19, 8, 10, 20), n(19, 9, 20, 30)],
+        20: [w(20, 1, words.COLOURS), year(n(20, 2, 93, 97)), w(20, 3, words.NATIONS)],
+        21: [w(21, 1, words.NATIONS)],
+        22: [shuffled(22, 1, 25, 7, 20)],
+    }
+    starts = " union all ".join(
+        f"select seed, {q} as q, {d(q, 2)} as v, {unif(d(q, 1), 1, size)} as first, {size} as size from s"
+        for q, size in ((7, len(words.NATIONS)), (12, len(words.SHIP_MODES))))
+    chosen = unif("v", 1, "size")
+    rows_of = " union all ".join(
+        f"select seed, {q} as query, {' || chr(124) || '.join(f'({x})' for x in parts)} as parameters from s"
+        for q, parts in by_query.items())
+    return f"""
+        with recursive s as (select c_custkey + 1 as seed from customer),
+        tries as (
+            {starts}
+            union all
+            select seed, q, v * {A} % {P}, first, size from tries where {chosen} = first),
+        accepted as (select seed, q, v from tries where {chosen} <> first)
+        {rows_of}"""
+
+
 ORACLES = {
     "gen_rng_stream": f"""
         select row, {_j('line_quantity', 'j7', 1)} as first,
@@ -325,6 +406,7 @@ ORACLES = {
         from (select k, c + cast('0x' || substr(md5('7:' || k), 1, 8) as bigint) % (c + 1) as n
               from (select unnest(range((select count(*) from region))) as k,
                            (select count(*) from customer) as c))""",
+    "gen_query_params": _params_sql(),
     "gen_query_order": f"""
         select cast(c_custkey % {len(words.QUERY_ORDERS)} as bigint) as stream, cast(position as int) as position,
                ([{', '.join(str(list(o)) for o in words.QUERY_ORDERS)}])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +13,6 @@ from starmill.generator import words
 from starmill.generator.streams import (
     MODULUS, MULTIPLIER, expanded, long_array, word_array, pick_index, uniform)
 
-# A second choice that must differ from the first is drawn again until it does. This
-# many draws leave a chance below 10^-25 that none differs.
-_REDRAWS = 30
-
-
 def _draw(query: int, k: int) -> Column:
     """Draw ``k`` of a query's stream; stream q starts q steps after the seed."""
     return F.col("seed") % MODULUS * pow(MULTIPLIER, query + k, MODULUS) % MODULUS
@@ -38,20 +37,34 @@ def _word(query: int, k: int, weighted: list) -> Column:
     return _chosen(_draw(query, k), weighted)
 
 
-def _differs(query: int, k: int, names: list[str]) -> Column:
-    """For draw ``k`` and those after it: whether they choose another word than the one before."""
-    first = _word(query, k - 1, names)
-    return F.transform(_draws(query, k, _REDRAWS), lambda v: _chosen(v, names) != first)
+# Second choices that must differ from the first, by query: the words and the draw of the second one.
+_OTHERS = {7: (words.NATIONS, 2), 12: (words.SHIP_MODES, 2)}
+
 
+def _redrawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per seed and query of ``_OTHERS``: the first draw from the second one on that chooses
+    another word than the draw before it, however many that takes, and the draw that follows."""
+    def choice(draws: np.ndarray, size: int) -> np.ndarray:
+        return (draws / float(MODULUS) * size).astype(np.int64)
 
-def _draws_until_other(query: int, k: int, names: list[str]) -> Column:
-    """Number of draws from ``k`` on until the word differs from the one before."""
-    return F.array_position(_differs(query, k, names), True)
+    for batch in batches:
+        seed = np.fmod(batch.column("seed").to_numpy(), MODULUS)
+        made, names = [batch.column("seed")], ["seed"]
+        for query, (listed, k) in _OTHERS.items():
+            first = choice(seed * pow(MULTIPLIER, query + k - 1, MODULUS) % MODULUS, len(listed))
+            draws = seed * pow(MULTIPLIER, query + k, MODULUS) % MODULUS
+            # a zero seed draws nothing but zeros, so its choices can't differ
+            pending = np.flatnonzero((choice(draws, len(listed)) == first) & (seed != 0))
+            while len(pending):
+                draws[pending] = draws[pending] * MULTIPLIER % MODULUS
+                pending = pending[choice(draws[pending], len(listed)) == first[pending]]
+            made += [pa.array(draws), pa.array(draws * MULTIPLIER % MODULUS)]
+            names += [f"other{query}", f"next{query}"]
+        yield pa.RecordBatch.from_arrays(made, names=names)
 
 
-def _other_word(query: int, k: int, names: list[str]) -> Column:
-    at = (_draws_until_other(query, k, names) - 1).cast("int")
-    return _chosen(F.get(_draws(query, k, _REDRAWS), at), names)
+def _other_word(query: int) -> Column:
+    return _chosen(F.col(f"other{query}"), _OTHERS[query][0])
 
 
 def _month(months: Column) -> Column:
@@ -105,8 +118,6 @@ def _by_query(factor: float) -> dict[int, Column]:
         regions_of_nations.append(words.REGIONS[key])
     nation8 = pick_index(_draw(8, 1), len(words.NATIONS)).cast("int")
     modes = words.SHIP_MODES
-    # The year of query 12 is drawn after however many draws the second mode took.
-    year12 = F.get(_draws(12, 3, _REDRAWS), (_draws_until_other(12, 2, modes) - 1).cast("int"))
     return {
         1: _texts(_number(1, 1, 60, 120)),
         2: _texts(_number(2, 1, 1, 50),
@@ -118,15 +129,15 @@ def _by_query(factor: float) -> dict[int, Column]:
         5: _texts(_word(5, 1, words.REGIONS), _january(5, 2)),
         6: _texts(_january(6, 1), F.concat(F.lit("0.0"), _number(6, 2, 2, 9).cast("string")),
                   _number(6, 3, 24, 25)),
-        7: _texts(_word(7, 1, words.NATIONS), _other_word(7, 2, words.NATIONS)),
+        7: _texts(_word(7, 1, words.NATIONS), _other_word(7)),
         8: _texts(F.get(word_array(words.NATIONS), nation8),
                   F.get(word_array(regions_of_nations), nation8),
                   _word(8, 2, words.PART_TYPES)),
         9: _texts(_word(9, 1, words.COLOURS)),
         10: _texts(_month(_number(10, 1, 1, 24))),
         11: _texts(_word(11, 1, words.NATIONS), F.lit(f"{0.0001 / factor:11.10f}")),
-        12: _texts(_word(12, 1, modes), _other_word(12, 2, modes),
-                   _year(uniform(year12, 93, 97))),
+        12: _texts(_word(12, 1, modes), _other_word(12),
+                   _year(uniform(F.col("next12"), 93, 97))),  # however many draws the second mode took
         13: _texts(_word(13, 1, words.QUERY_ADJECTIVES), _word(13, 2, words.QUERY_NOUNS)),
         14: _texts(_month(_number(14, 1, 0, 59))),
         15: _texts(_month(_number(15, 1, 0, 57))),
@@ -149,7 +160,9 @@ def query_parameters(seeds: DataFrame, factor: float = 1.0) -> DataFrame:
     rows = F.array(*[
         F.struct(F.lit(query).alias("query"), parameters.alias("parameters"))
         for query, parameters in _by_query(factor).items()])
-    return seeds.select("seed", F.explode(rows).alias("row")).select("seed", "row.*")
+    drawn = seeds.select(F.col("seed").cast("bigint").alias("seed")).mapInArrow(
+        _redrawn, "seed bigint, other7 bigint, next7 bigint, other12 bigint, next12 bigint")
+    return drawn.select("seed", F.explode(rows).alias("row")).select("seed", "row.*")
 
 
 def query_order(streams: DataFrame,
