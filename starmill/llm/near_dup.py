@@ -19,7 +19,8 @@ found by an exact prefix filter. Shingles are put in one order, rarest first (by
 ``SKETCH`` counters). Of a linked pair, the larger set's first ``n - ceil(t n) + 1`` shingles and
 the smaller one's first ``n - ceil(2 t n / (1 + t)) + 1`` share one, at places that leave enough
 of both sets behind them. So postings of those few shingles are joined within a family, only
-between components; estimates and full sets confirm what is left. Documents that share a
+between components; estimates and full sets confirm what is left, the likeliest pair of each two
+components first, since one link joins them. Documents that share a
 template but are not linked have their own rare shingles first, and meet nobody. Postings of
 more than ``BLOCK`` entries are cut, and their partners copied to each part. Nothing is capped.
 
@@ -38,14 +39,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starmill.llm.components import components
 from starmill.llm.kernel import long_lists, mix, shingle_sets, text_slices, words
 from starmill.llm.stored import stored
 
-BITS, MISSED, BLOCK, EARLY, SKETCH = 2, 1e-6, 128, 4, 1 << 18
+BITS, MISSED, BLOCK, EARLY, SKETCH, TRIES = 2, 1e-6, 128, 4, 1 << 18, 8
 
 
 @dataclass(frozen=True)
@@ -178,7 +179,7 @@ def _families(classes: DataFrame, stars: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs whose sizes and bit planes allow a link, from rows without shingles."""
+    """Pairs whose sizes and bit planes allow a link, with ``differ``, from rows without shingles."""
     one = light.select(F.col("node").alias("a"), F.col("planes").alias("p"), F.col("size").alias("m"))
     two = light.select(F.col("node").alias("b"), F.col("planes").alias("q"), F.col("size").alias("n"))
     differ = F.lit(0)
@@ -189,17 +190,50 @@ def _alike(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
             odd = odd.bitwiseOR(F.col("p")[i].bitwiseXOR(F.col("q")[i]))
         differ = differ + F.bit_count(odd)
     sizes = F.least("m", "n") * 100 >= F.greatest("m", "n") * rule.percent
-    return pairs.join(two, "b").join(one, "a").where(
-        sizes & (F.lit(rule.hashes) - differ >= rule.least_equal)).select("a", "b")
+    return pairs.join(two, "b").join(one, "a").withColumn("differ", differ).where(
+        sizes & (F.lit(rule.hashes) - F.col("differ") >= rule.least_equal)).select(*pairs.columns, "differ")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Of pairs (a, b), those linked by their full sets; sets are joined only for pairs that the estimate leaves."""
-    likely = stored(_alike(pairs, sets.select("node", "planes", F.size("shingles").alias("size")), rule), "likely")
+def _exact(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Of pairs (a, b), those linked by their full sets."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
-    shared = likely.join(two, "b").join(one, "a").withColumn("shared", F.size(F.array_intersect("s", "t")))
-    return shared.where(F.expr(f"100 * shared >= {rule.percent} * (size(s) + size(t) - shared)")).select("a", "b")
+    shared = pairs.join(two, "b").join(one, "a").withColumn("shared", F.size(F.array_intersect("s", "t")))
+    return shared.where(F.expr(f"100 * shared >= {rule.percent} * (size(s) + size(t) - shared)")).select(*pairs.columns)
+
+
+def _light(sets: DataFrame) -> DataFrame:
+    return sets.select("node", "planes", F.size("shingles").alias("size"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Of pairs (a, b), those linked; sets are joined only for pairs that the estimate leaves."""
+    return _exact(stored(_alike(pairs, _light(sets), rule), "likely"), sets, rule).select("a", "b")
+
+
+def _joined(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) between components, from candidates a, b in components ``one`` and ``two``.
+
+    One link joins two components, so the likeliest pair of each two is tried first. What
+    that joins needs no further pair; of the rest each round tries ``TRIES`` times as many.
+    """
+    left = stored(_alike(pairs, _light(sets), rule).select(
+        "a", "b", "differ", F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")), "likely")
+    place = F.row_number().over(Window.partitionBy("one", "two").orderBy("differ", "a", "b"))
+    found, tries = None, 1
+    while True:
+        linked = stored(_exact(left.withColumn("place", place).where(F.col("place") <= tries), sets, rule).select(
+            F.col("one").alias("a"), F.col("two").alias("b")).distinct(), "crossing")
+        found = linked if found is None else found.unionByName(linked)
+        rest = left.withColumn("place", place).where(F.col("place") > tries)
+        if not rest.limit(1).count():
+            return found
+        top = stored(components(linked).select("node", F.col("component").alias("top")), "tops")
+        rest = rest.join(top.withColumnRenamed("node", "one").withColumnRenamed("top", "p"), "one", "left").join(
+            top.withColumnRenamed("node", "two").withColumnRenamed("top", "q"), "two", "left").withColumns(
+            {"x": F.coalesce("p", "one"), "y": F.coalesce("q", "two")}).where("x <> y")
+        left = stored(rest.select("a", "b", "differ", F.least("x", "y").alias("one"), F.greatest("x", "y").alias("two")), "left")
+        tries *= TRIES
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,11 +298,9 @@ def _crossing(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     share, whole = rule.percent, 100 + rule.percent
     pairs = small.join(large, [*key, "part"]).where(
         "one <> two and (m < n or m = n and a < b)"
-        f" and 100 * m >= {share} * n and {whole} * least(m - i, n - j) >= {share} * (m + n)").select("a", "b").distinct()
-    linked = _confirmed(stored(pairs, "crossing-pairs"), sets, rule)
-    of = members.select("node", "component")
-    return linked.join(of.toDF("a", "one"), "a").join(of.toDF("b", "two"), "b").select(
-        F.col("one").alias("a"), F.col("two").alias("b")).distinct()
+        f" and 100 * m >= {share} * n and {whole} * least(m - i, n - j) >= {share} * (m + n)").select(
+        "a", "b", "one", "two").distinct()
+    return _joined(stored(pairs, "crossing-pairs"), sets, rule)
 
 
 def near_duplicates(docs: DataFrame, rule: Rule | None = None, text_column: str = "text") -> DataFrame:
