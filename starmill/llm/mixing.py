@@ -2,8 +2,8 @@
 
 A source's target is its share of all words, at most ``most`` times its own size; what a
 source cannot give is reshared by weight. The documents of a source stand in the order of a
-hash of their id and text; a target of 2.3 times the size takes all of them twice and the first 30 %
-a third time, the last one in part, so a source's taken words equal its rounded target.
+hash of their id (then by id and size); a target of 2.3 times the size takes all of them twice and the
+first 30 % a third time, the last one in part, so a source's taken words equal its rounded target.
 
 Each source has a schedule: its weight over training time 0 to 1, piecewise linear. The
 schedule's integral, scaled to the target, is the source's cumulative demand. Inverting it
@@ -12,12 +12,13 @@ the training order.
 
 Running sums are split: every source is cut into ranges of the hash that hold about
 ``per_range`` documents, ranges are summed (with map-side sums), and only the small table of
-ranges is added up in order. No task holds a source.
+ranges is added up in order. No task holds a source. Rows of one source, id and size are alike
+to the plan and go through it as one counted class, so of many rows that share an id, or lack
+one, a range holds one class for each size. ``training_set`` orders a class by a hash of
+id and text and cuts it into cells of about ``per_range`` rows, so only equal texts of one id meet.
 
 Nulls: a null text has size 0, a null source is a source of its own that comes last, a null
-id sorts first. Repeated rows are documents of their own; rows of one id and one text (of
-many that lack an id, say) go through ``mix`` as one counted row, so they do not meet in a task,
-while ``training_set`` keeps them in one range. An empty table gives no rows.
+id sorts first. Repeated rows are documents of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from starmill.llm.stored import stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: Copies of one row that a task writes at a time.
 COPIES = 100_000
+#: Columns that rows of one class share: source (by its rank), id and size.
+CLASS = ("rank", "no_id", "id", "size")
 #: Weight by training time, one list of (time, weight) for each source in turn.
 SCHEDULES = (((0.0, 2.0), (1.0, 0.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.0), (0.5, 1.0), (1.0, 2.0)))
 
@@ -90,26 +93,46 @@ def _sized(docs: DataFrame, text_column: str, *more: Column) -> DataFrame:
         F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64(text_column).cast("string"))).alias("draw"), *more)
 
 
-def _placed(rows: DataFrame, sized: DataFrame, weights: Sequence[int], most: int, per_range: int) -> DataFrame:
-    """``rows`` (a _sized table) with what the plan of ``sized`` says: rank, target, words ahead, taken."""
-    ranges = max(16, min(1 << 24, sized.count() // per_range))
-    # 32 bits of the hash, cut into even ranges that keep its order
-    part = F.floor(F.conv(F.substring("draw", 1, 8), 16, 10).cast("bigint") * F.lit(ranges) / F.lit(1 << 32))
-    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumnRenamed("source", "of")
+def _cut(digest: str, ranges: int) -> Column:
+    """Number of the range that a digest falls into; even ranges of its first 32 bits keep its order."""
+    return F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") * F.lit(ranges) / F.lit(1 << 32))
 
-    def keyed(table: DataFrame) -> DataFrame:
-        return table.withColumn("part", part).join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
-    sums = keyed(sized).groupBy("rank", "part").agg(F.sum("size").alias("words"))
+def _ranges(rows: DataFrame, per_range: int) -> int:
+    return max(16, min(1 << 24, rows.count() // per_range))
+
+
+def _classes(sized: DataFrame) -> DataFrame:
+    """Rows of one source, id and size as one row with their number."""
+    return stored(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")), "classes")
+
+
+def _keyed(table: DataFrame, plan: DataFrame) -> DataFrame:
+    """With what the plan says of the source; the columns of CLASS are never null."""
+    return table.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumns({
+        "no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0))})
+
+
+def _plan(classes: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
+    """``targets`` of the sources, with the source as ``of``, the goal and the uses of whole sources."""
+    sizes = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
+    goal = F.floor(F.col("target") + F.lit(0.5)).cast("bigint")
+    full = F.coalesce(F.expr("goal div nullif(source_size, 0)"), F.lit(0))
+    return targets(sizes, weights, most).withColumnRenamed("source", "of").withColumn("goal", goal).withColumn("full", full)
+
+
+def _placed(classes: DataFrame, plan: DataFrame, per_range: int) -> DataFrame:
+    """The classes with what the plan says and ``ahead``, the words of the source before the class."""
+    place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    keyed = _keyed(classes.withColumn("place", place), plan).withColumns({
+        "words": F.col("size") * F.col("copies"), "part": _cut("place", _ranges(classes, per_range))})
+    sums = keyed.groupBy("rank", "part").agg(F.sum("words").alias("words"))
     up_to = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("rank", "part", F.coalesce(F.sum("words").over(up_to), F.lit(0)).alias("base"))
     inside = Window.partitionBy("rank", "part").orderBy(
-        "draw", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = keyed(rows).withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
-        bases, ["rank", "part"]).withColumn("ahead", F.col("ahead") + F.col("base"))
-    goal = F.floor(F.col("target") + F.lit(0.5)).cast("bigint")
-    full = F.coalesce(F.expr("goal div nullif(source_size, 0)"), F.lit(0))
-    return _taken(ahead.withColumn("goal", goal).withColumn("full", full))
+        "place", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    return keyed.withColumn("ahead", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(
+        bases, ["rank", "part"]).withColumn("ahead", F.col("ahead") + F.col("base")).drop("words", "part", "base")
 
 
 def _taken(ahead: DataFrame) -> DataFrame:
@@ -136,14 +159,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3,
     ``taken``: words the mix takes of it, repeats counted. ``position``: training time of
     its first use in millionths, null if it is not used.
     """
-    same = ["doc_id", "source", "size", "draw"]
-    counted = stored(_sized(docs, text_column).groupBy(*same).agg(F.count("*").alias("copies")), "sized")
-    whole = counted.withColumns({"one": F.col("size"), "size": F.col("size") * F.col("copies")})
-    classes = _placed(whole, whole, weights, most, per_range).select(
-        "doc_id", "source", "source_size", "target", "rank", "goal", "full", "ahead", "draw", "copies", F.col("one").alias("size"))
+    counted = _classes(_sized(docs, text_column))
+    classes = _placed(counted, _plan(counted, weights, most), per_range)
     # copies are spread over tasks, a chunk each, before they become rows again
     chunks = classes.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / COPIES))))
-    spread = chunks.repartition("draw", "chunk").withColumn("copy", F.explode(F.sequence(
+    spread = chunks.repartition(*CLASS, "chunk").withColumn("copy", F.explode(F.sequence(
         F.col("chunk") * COPIES, F.least((F.col("chunk") + 1) * COPIES, F.col("copies")) - 1)))
     placed = _taken(spread.withColumn("ahead", F.col("ahead") + F.col("copy") * F.col("size")))
     position = F.when(F.col("taken") > 0, _time(F.col("ahead"), schedules))
@@ -163,7 +183,17 @@ def training_set(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int
     A last use counts if it takes at least half of the document.
     """
     sized = stored(_sized(docs, text_column), "sized")
-    placed = _placed(_sized(docs, text_column, F.struct("*").alias("row")), sized, weights, most, per_range)
+    counted = _classes(sized)
+    plan = _plan(counted, weights, most)
+    cell = _cut("draw", _ranges(sized, per_range))
+    before = Window.partitionBy(*CLASS).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = _keyed(sized.withColumn("cell", cell), plan).groupBy(*CLASS, "cell").agg(F.count("*").alias("n")).select(
+        *CLASS, "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    starts = cells.join(_placed(counted, plan, per_range).select(*CLASS, F.col("ahead").alias("start")), [*CLASS])
+    rows = _keyed(_sized(docs, text_column, F.struct("*").alias("row")).withColumn("cell", cell), plan)
+    number = F.row_number().over(Window.partitionBy(*CLASS, "cell").orderBy("draw")) - 1
+    placed = _taken(rows.withColumn("number", number).join(starts, [*CLASS, "cell"]).withColumn(
+        "ahead", F.col("start") + (F.col("earlier") + F.col("number")) * F.col("size")))
     uses = F.col("full") + F.when((F.col("last") * 2 >= F.col("size")) & (F.col("size") > 0), F.lit(1)).otherwise(F.lit(0))
     used = placed.withColumn("uses", uses).where("uses > 0 and size > 0").withColumn(
         "use", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("uses") - 1)))

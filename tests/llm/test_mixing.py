@@ -96,3 +96,25 @@ def test_rows_without_an_id_are_split_and_their_copies_counted(spark, monkeypatc
     assert max(loads) < 2 * 1200 / 16
     again = mixing.mix(frame(spark, rows).repartition(5), per_range=20).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_order_is_that_of_the_sql_and_rows_of_one_id_are_classes(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from starmill.llm.oracles import ORACLES
+
+    rows = [(k if k % 3 else None, "w " * (k % 7), f"s{k % 4}" if k % 4 else None) for k in range(1200)]
+    rows += [(7, f"x{k} y", "s1") for k in range(300)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, source string").toPandas()
+    con = duckdb.connect()
+    con.register("documents", documents.astype({"doc_id": "Int64"}))
+    cursor = con.execute(ORACLES["op5_mixing"])
+    names = [d[0] for d in cursor.description]
+    want = sorted(map(str, cursor.fetchall()))
+    mixed = mixing.mix(frame(spark, rows), per_range=20).select(*names).collect()
+    assert sorted(str(tuple(r)) for r in mixed) == want
+    # 400 rows without an id and 300 of id 7 have seven sizes and four sources at most
+    counted = mixing._classes(mixing._sized(frame(spark, rows), "text"))
+    assert counted.where("doc_id is null or doc_id = 7").count() <= 2 * 7 * 4
+    used = mixing.training_set(frame(spark, rows), per_range=20).groupBy("source").count().collect()
+    targets = {r.source: r.target for r in mixing.mix(frame(spark, rows)).collect()}
+    assert {r.source for r in used} == set(targets)
