@@ -8,7 +8,7 @@ first 30 % a third time, the last one in part, so a source's taken words equal i
 Each source has a schedule: its weight over training time 0 to 1, piecewise linear. The
 schedule's integral, scaled to the target, is the source's cumulative demand. Inverting it
 at the words before a document gives that document's training time; a range sort by it is
-the training order.
+the training order, in which ``mix`` and ``training_set`` return their rows.
 
 Running sums are split: every source is cut into ranges of the hash that hold about
 ``per_range`` documents, ranges are summed (with map-side sums), and only the small table of
@@ -154,10 +154,10 @@ def _time(ahead: Column, schedules: Sequence[Sequence[tuple[float, float]]]) ->
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3,
         schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, per_range: int = 500,
         text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, position.
+    """One row per document in training order: doc_id, source, size, source_size, target, taken, position.
 
     ``taken``: words the mix takes of it, repeats counted. ``position``: training time of
-    its first use in millionths, null if it is not used.
+    its first use in millionths, null if it is not used; such rows come last.
     """
     counted = _classes(_sized(docs, text_column))
     classes = _placed(counted, _plan(counted, weights, most), per_range)
@@ -167,7 +167,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3,
         F.col("chunk") * COPIES, F.least((F.col("chunk") + 1) * COPIES, F.col("copies")) - 1)))
     placed = _taken(spread.withColumn("ahead", F.col("ahead") + F.col("copy") * F.col("size")))
     position = F.when(F.col("taken") > 0, _time(F.col("ahead"), schedules))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", position.alias("position"))
+    ordered = placed.withColumn("position", position).orderBy(
+        F.col("position").asc_nulls_last(), "doc_id", "rank", "size", "copy")
+    return ordered.select("doc_id", "source", "size", "source_size", "target", "taken", "position")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:

@@ -98,6 +98,13 @@ def test_rows_without_an_id_are_split_and_their_copies_counted(spark, monkeypatc
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_rows_come_in_training_order(spark):
+    rows = [(k if k % 5 else None, "a b " * (k % 4), f"s{k % 3}") for k in range(900)]
+    got = [r.position for r in mixing.mix(frame(spark, rows), per_range=20).collect()]
+    used = [p for p in got if p is not None]
+    assert used == sorted(used) and got[len(used):] == [None] * (len(got) - len(used)) and len(used) < len(got)
+
+
 def test_order_is_that_of_the_sql_and_rows_of_one_id_are_classes(spark):
     duckdb = pytest.importorskip("duckdb")
     from starmill.llm.oracles import ORACLES
