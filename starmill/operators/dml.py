@@ -63,8 +63,9 @@ def delete_like(table: DataFrame, key: str, pattern: str) -> DataFrame:
     return table.filter(F.coalesce(~matches, F.lit(True)))
 
 
-def delete_keys(table: DataFrame, keys: DataFrame, key: str, batch_key: str | None = None) -> DataFrame:
-    return without_match(table, keys, {key: batch_key or key})
+def delete_keys(table: DataFrame, keys: DataFrame, key: str, batch_key: str | None = None,
+                tasks: int = 0) -> DataFrame:
+    return without_match(table, keys, {key: batch_key or key}, tasks)
 
 
 def insert_select(target: DataFrame, source: DataFrame, condition: Column | None = None,
@@ -95,9 +96,12 @@ def post_transactions(accounts: DataFrame, tellers: DataFrame, branches: DataFra
 
 
 def refresh(orders: DataFrame, lines: DataFrame, new_orders: DataFrame, new_lines: DataFrame,
-            deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One refresh set: insert orders with their lines, then delete by order key."""
+            deleted: DataFrame, tasks: int = 0) -> tuple[DataFrame, DataFrame]:
+    """One refresh set: insert orders with their lines, then delete by order key.
+
+    With ``tasks`` both tables come dealt by order key over so many tasks.
+    """
     return (
-        delete_keys(insert(orders, new_orders), deleted, "o_orderkey"),
-        delete_keys(insert(lines, new_lines), deleted, "l_orderkey", "o_orderkey"),
+        delete_keys(insert(orders, new_orders), deleted, "o_orderkey", tasks=tasks),
+        delete_keys(insert(lines, new_lines), deleted, "l_orderkey", "o_orderkey", tasks),
     )

@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Order lines that one task of a join on order keys holds.
+TASK_LINES = 400_000
+
+
+def line_tasks(spark: SparkSession, lines: int) -> int:
+    """Tasks that hold about ``TASK_LINES`` of so many lines each; 0 (Spark's choice) if two would do."""
+    wanted = lines // TASK_LINES
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted) if wanted > 1 else 0
+
+
+def spread(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over so many tasks and joined by sorting, which can spill.
+
+    Spark merges shuffle partitions up to a size in compressed bytes, and it copies a side to
+    all tasks that is small in its compressed file; either way the memory of a task grows with
+    the input. For keys that few rows share, such as those of orders: a partition dealt by
+    request is not split again. With no ``tasks`` the rows are left to Spark.
+    """
+    return in_order(df.repartition(tasks, *keys), tasks) if tasks else df
+
+
+def in_order(df: DataFrame, tasks: int) -> DataFrame:
+    """``df`` for a join by sorting, whose hot partitions Spark may split; see ``spread``."""
+    return df.hint("merge") if tasks else df
+
+
 def with_match(left: DataFrame, right: DataFrame, on: dict[str, str]) -> DataFrame:
     """Rows of ``left`` with at least one row of ``right``; ``on`` maps left to right columns.
 
@@ -16,17 +42,28 @@ def with_match(left: DataFrame, right: DataFrame, on: dict[str, str]) -> DataFra
     return _by_keys(left, right, on, "left_semi")
 
 
-def without_match(left: DataFrame, right: DataFrame, on: dict[str, str]) -> DataFrame:
-    """Rows of ``left`` without any row of ``right``; see ``with_match``."""
-    return _by_keys(left, right, on, "left_anti")
+def without_match(left: DataFrame, right: DataFrame, on: dict[str, str], tasks: int = 0) -> DataFrame:
+    """Rows of ``left`` without any row of ``right``; see ``with_match`` and, for ``tasks``, ``spread``."""
+    if not tasks:
+        return _by_keys(left, right, on, "left_anti")
+    keys, condition = _keys(right, on)
+    # an anti join would be pushed below the deal, to where Spark chooses the tasks
+    marked = spread(keys, tasks, *keys.columns).withColumn("_found", F.lit(True))
+    return spread(left, tasks, *on).join(marked, condition, "left").where("_found is null").select(*left.columns)
 
 
 def _by_keys(left: DataFrame, right: DataFrame, on: dict[str, str], how: str) -> DataFrame:
+    keys, condition = _keys(right, on)
+    return left.join(keys, condition, how)
+
+
+def _keys(right: DataFrame, on: dict[str, str]) -> tuple[DataFrame, Column]:
+    """The distinct keys of ``right`` and the condition that a left row has one."""
     keys = right.select(*[F.col(r).alias(f"_key_{l}") for l, r in on.items()]).distinct()
     condition = F.lit(True)
     for column in on:
         condition = condition & (F.col(column) == F.col(f"_key_{column}"))
-    return left.join(keys, condition, how)
+    return keys, condition
 
 
 def null_aware_anti(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataFrame:

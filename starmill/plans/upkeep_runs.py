@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from starmill.functions.money import rounded
 from starmill.functions.shared import shared_dir
 from starmill.operators import checks, dml, layout
+from starmill.operators.joins import in_order
 from starmill.operators.scalars import row_json
 from starmill.sources.star import Star
 
@@ -90,7 +91,7 @@ def dml_update_like(star: Star) -> DataFrame:
 
 def dml_delete_keys(star: Star) -> DataFrame:
     gone = star.raw("events").select(F.col("event_id").alias("k"))
-    return dml.delete_keys(star.lineitem, gone, "l_orderkey", "k").groupBy("l_orderkey").agg(
+    return dml.delete_keys(star.lineitem, gone, "l_orderkey", "k", star.tasks).groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -129,10 +130,10 @@ def dml_refresh_pair(star: Star) -> DataFrame:
     new_lines = lines.filter(F.col("l_orderkey") % 10 == 0).withColumn(
         "l_orderkey", F.col("l_orderkey") + shift)
     deleted = star.raw("events").select(F.col("event_id").alias("o_orderkey"))
-    after_orders, after_lines = dml.refresh(orders, lines, new_orders, new_lines, deleted)
+    after_orders, after_lines = dml.refresh(orders, lines, new_orders, new_lines, deleted, star.tasks)
     per_order = after_lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
     return (
-        after_orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        after_orders.join(in_order(per_order, star.tasks), F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .groupBy("o_orderstatus")
         .agg(F.count(F.lit(1)).alias("orders"), rounded(F.sum("q")).alias("quantity"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from starmill.functions.money import mean, net_sum, rounded
 from starmill.operators import dml
-from starmill.operators.joins import opposite_pairs
+from starmill.operators.joins import opposite_pairs, spread
 from starmill.sources.star import Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,14 +118,13 @@ def jdbc_suppkey_prio(star: Star, values: tuple[int, ...] = tuple(range(10))) ->
 
 def jdbc_join4_params(star: Star, quantity: int = 5, extended: int = 7, total: int = 5000,
                       balance: int = 6000) -> DataFrame:
+    lines = star.lineitem.filter((F.col("l_quantity") > quantity) | (F.col("l_extendedprice") > extended)).join(
+        star.part.filter(F.col("p_size") > 8), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    orders = star.orders.filter(F.col("o_totalprice") > total).join(
+        star.customer.filter(F.col("c_acctbal") < balance), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
     return (
-        star.lineitem.filter((F.col("l_quantity") > quantity) | (F.col("l_extendedprice") > extended))
-        .join(star.part.filter(F.col("p_size") > 8), F.col("l_partkey") == F.col("p_partkey"),
-              "left_semi")
-        .join(star.orders.filter(F.col("o_totalprice") > total),
-              F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(star.customer.filter(F.col("c_acctbal") < balance),
-              F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+        spread(lines, star.tasks, "l_orderkey")
+        .join(spread(orders, star.tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("l_partkey", "o_orderkey").agg(F.count(F.lit(1)).alias("n"))
         .orderBy("l_partkey", "o_orderkey").limit(3000)
     )
@@ -136,12 +135,11 @@ def jdbc_join4_draws(star: Star, seed: int = 5, calls: int = 10, limit: int = 30
     drawn = random.Random(seed)
     draws = [(drawn.randrange(10), drawn.randrange(10), drawn.randrange(10_000), drawn.randrange(10_000))
              for _ in range(calls)]
-    joined = (
-        star.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
-        .join(star.part.filter(F.col("p_size") > 8), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-        .join(star.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(star.customer, F.col("o_custkey") == F.col("c_custkey"))
-    )
+    lines = star.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice").join(
+        star.part.filter(F.col("p_size") > 8), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    orders = star.orders.join(star.customer, F.col("o_custkey") == F.col("c_custkey"))
+    joined = spread(lines, star.tasks, "l_orderkey").join(
+        spread(orders, star.tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     meets = [
         ((F.col("l_quantity") > q) | (F.col("l_extendedprice") > e)) & (F.col("o_totalprice") > t)
         & (F.col("c_acctbal") < b) for q, e, t, b in draws]

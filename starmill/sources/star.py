@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starmill.operators.joins import line_tasks
+
 MONEY = "decimal(12,2)"
 # Rates are below 100, so price * (1 - rate) stays within 18 digits and Spark
 # keeps the product in a long instead of a BigDecimal.
@@ -155,6 +157,11 @@ class Star:
             ),
         })
 
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks for joins on order keys; the rows are counted in the files' footers."""
+        return line_tasks(self.spark, self.raw("lineitem").count())
+
     @cached_property
     def lineitem(self) -> DataFrame:
         return self.lines()
