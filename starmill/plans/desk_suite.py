@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from starmill.functions.money import exact_mean, exact_sum, mean, rounded, share
 from starmill.operators.joins import (
-    null_aware_anti, opposite_pairs, with_match, without_match)
+    in_order, null_aware_anti, opposite_pairs, spread, with_match, without_match)
 from starmill.sources.desk import Desk, supplier_key
 
 TOP = 10
@@ -28,8 +28,8 @@ def _home() -> Column:
 
 
 def _orders_with_lines(desk: Desk, orders: DataFrame | None = None) -> DataFrame:
-    return (desk.orders if orders is None else orders).join(
-        desk.order_line,
+    return spread(desk.orders if orders is None else orders, desk.tasks, "o_w_id", "o_d_id", "o_id").join(
+        spread(desk.order_line, desk.tasks, "ol_w_id", "ol_d_id", "ol_o_id"),
         (F.col("ol_w_id") == F.col("o_w_id"))
         & (F.col("ol_d_id") == F.col("o_d_id"))
         & (F.col("ol_o_id") == F.col("o_id")),
@@ -37,8 +37,8 @@ def _orders_with_lines(desk: Desk, orders: DataFrame | None = None) -> DataFrame
 
 
 def _customers_with_orders(desk: Desk) -> DataFrame:
-    return desk.customer.join(
-        desk.orders,
+    return in_order(desk.customer, desk.tasks).join(
+        in_order(desk.orders, desk.tasks),
         (F.col("c_id") == F.col("o_c_id"))
         & (F.col("c_w_id") == F.col("o_w_id"))
         & (F.col("c_d_id") == F.col("o_d_id")),
@@ -51,8 +51,8 @@ def _lines_with_stock(desk: Desk, warehouse: str = "ol_supply_w_id") -> DataFram
     ``warehouse`` names the supplying warehouse or the home one, ``ol_w_id``.
     """
     stock = desk.stock.select("s_w_id", "s_i_id", supplier_key().alias("s_suppkey"))
-    return desk.order_line.join(
-        stock,
+    return in_order(desk.order_line, desk.tasks).join(
+        in_order(stock, desk.tasks),
         (F.col(warehouse) == F.col("s_w_id")) & (F.col("ol_i_id") == F.col("s_i_id")),
     )
 
@@ -152,8 +152,8 @@ def q05(desk: Desk) -> DataFrame:
     recent = _customers_with_orders(desk).filter(
         F.col("o_entry_d") >= F.lit("2015-01-02").cast("date")
     ).select("o_id", "o_w_id", "o_d_id", _home().alias("home"))
-    lines = recent.join(
-        _lines_with_stock(desk, "ol_w_id"),
+    lines = spread(recent, desk.tasks, "o_w_id", "o_d_id", "o_id").join(
+        spread(_lines_with_stock(desk, "ol_w_id"), desk.tasks, "ol_w_id", "ol_d_id", "ol_o_id"),
         (F.col("ol_o_id") == F.col("o_id")) & (F.col("ol_w_id") == F.col("o_w_id"))
         & (F.col("ol_d_id") == F.col("o_d_id")),
     )
@@ -185,8 +185,8 @@ def q07(desk: Desk) -> DataFrame:
         "o_id", "o_w_id", "o_d_id", "o_entry_d", _home().alias("home"),
         F.substring("c_state", 1, 1).alias("cust_nation"))
     return (
-        buyers.join(
-            lines,
+        spread(buyers, desk.tasks, "o_w_id", "o_d_id", "o_id").join(
+            spread(lines, desk.tasks, "ol_w_id", "ol_d_id", "ol_o_id"),
             (F.col("ol_w_id") == F.col("o_w_id")) & (F.col("ol_d_id") == F.col("o_d_id"))
             & (F.col("ol_o_id") == F.col("o_id")),
         )
@@ -218,14 +218,14 @@ def q08(desk: Desk) -> DataFrame:
     ).select("o_id", "o_w_id", "o_d_id", "o_entry_d")
     lines = (
         _lines_with_stock(desk)
-        .join(items, F.col("ol_i_id") == F.col("i_id"), "left_semi")
+        .join(in_order(items, desk.tasks), F.col("ol_i_id") == F.col("i_id"), "left_semi")
         .join(suppliers, F.col("s_suppkey") == F.col("su_suppkey"))
     )
     own = exact_sum(
         F.when(F.col("n_name") == "Germany", F.col("ol_cents")).otherwise(0), 2)
     return (
-        buyers.join(
-            lines,
+        spread(buyers, desk.tasks, "o_w_id", "o_d_id", "o_id").join(
+            spread(lines, desk.tasks, "ol_w_id", "ol_d_id", "ol_o_id"),
             (F.col("ol_w_id") == F.col("o_w_id")) & (F.col("ol_d_id") == F.col("o_d_id"))
             & (F.col("ol_o_id") == F.col("o_id")),
         )
@@ -243,12 +243,12 @@ def q09(desk: Desk) -> DataFrame:
         ).select("su_suppkey", "n_name"))
     lines = (
         _lines_with_stock(desk)
-        .join(items, F.col("ol_i_id") == F.col("i_id"), "left_semi")
+        .join(in_order(items, desk.tasks), F.col("ol_i_id") == F.col("i_id"), "left_semi")
         .join(suppliers, F.col("s_suppkey") == F.col("su_suppkey"))
     )
     return (
-        lines.join(
-            desk.orders,
+        spread(lines, desk.tasks, "ol_w_id", "ol_d_id", "ol_o_id").join(
+            spread(desk.orders, desk.tasks, "o_w_id", "o_d_id", "o_id"),
             (F.col("ol_w_id") == F.col("o_w_id")) & (F.col("ol_d_id") == F.col("o_d_id"))
             & (F.col("ol_o_id") == F.col("o_id")),
         )

@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starmill.operators.joins import line_tasks, spread
 from starmill.sources.star import Star
 
 WAREHOUSES = 5
@@ -45,6 +46,11 @@ class Desk:
     def _table(self, name: str) -> DataFrame:
         return self.star.raw(name) if self._complete else getattr(self, f"_derived_{name}")()
 
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks for joins on order keys; the rows are counted in the files' footers."""
+        return line_tasks(self.spark, self.star.raw("order_line").count()) if self._complete else self.star.tasks
+
     customer = cached_property(lambda self: self._table("customer"))
     orders = cached_property(lambda self: self._table("orders"))
     order_line = cached_property(lambda self: self._with_cents(self._table("order_line")))
@@ -87,8 +93,8 @@ class Desk:
 
     def _derived_order_line(self) -> DataFrame:
         owners = self._derived_orders().select("o_id", "o_w_id", "o_d_id")
-        return self.star.facts().join(
-            owners, F.col("l_orderkey") == F.col("o_id")
+        return spread(self.star.facts(), self.tasks, "l_orderkey").join(
+            spread(owners, self.tasks, "o_id"), F.col("l_orderkey") == F.col("o_id")
         ).selectExpr(
             "o_id as ol_o_id",
             "o_w_id as ol_w_id",
