@@ -26,19 +26,22 @@ _FILES = {"orders": r"^orders\.tbl\.u(\d+)", "lineitem": r"^lineitem\.tbl\.u(\d+
 
 def collect_changes(spark: SparkSession, incoming: str, work: str) -> None:
     """File all lines that have arrived into the change log and stop."""
-    path = F.col("_metadata.file_path")
-    name = F.regexp_extract(path, r"([^/]+)$", 1)
+    # Every line asks for its file's name, so that is cut out by splitting, not by search patterns.
+    path, name, folder = F.col("path"), F.col("name"), F.col("folder")
     kind, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     lines = spark.readStream.format("text").option("recursiveFileLookup", True).load(incoming)
     # A set written by several tasks is a folder named like the single file.
-    folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path")).withColumn(
+        "name", F.substring_index("path", "/", -1)).withColumn(
+        "folder", F.substring_index(F.substring_index("path", "/", -2), "/", 1))
+    whole_folder = F.substr(path, F.lit(1), F.length(path) - F.length(name) - 1)
     delivery = path
     for table, pattern in _FILES.items():
         for source in (folder, name):
             matches = source.rlike(pattern)
             kind = F.when(matches, table).otherwise(kind)
             number = F.when(matches, F.regexp_extract(source, pattern, 1).cast("bigint")).otherwise(number)
-        delivery = F.when(folder.rlike(pattern), F.regexp_extract(path, r"^(.*)/[^/]+$", 1)).otherwise(delivery)
+        delivery = F.when(folder.rlike(pattern), whole_folder).otherwise(delivery)
     changes = lines.select(
         "value", kind.alias("kind"), number.alias("set_number"), delivery.alias("delivery")
     ).filter("kind is not null")
