@@ -14,6 +14,9 @@ from starmill.generator.streams import alphanumeric, draw, jump, phone, pick, un
 from starmill.generator.words import CONTAINERS, NATIONS, NOUNS
 from starmill.sources.star import Star
 
+#: Seeds of query parameters that a task draws from.
+SEEDS = 5_000
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -221,6 +224,8 @@ def gen_random_tables(star: Star) -> DataFrame:
 def gen_query_params(star: Star) -> DataFrame:
     """Parameters of all queries, one seed per given customer."""
     seeds = _rows(star, "customer", "c_custkey").withColumnRenamed("row", "seed")
+    # a seed makes 22 rows, and the file of the keys is too small for Spark to cut it
+    seeds = seeds.repartition(max(1, star.raw("customer").count() // SEEDS), "seed")
     return parameters.query_parameters(seeds).select(
         "seed", "query", F.array_join("parameters", "|").alias("parameters"))
 
