@@ -8,14 +8,16 @@ characters it adds. Joining these small tables end to end gives each block's tru
 entry, and a second pass writes the text.
 
 The finished pool has a fixed size whatever the scale factor. It is also written as one file
-of fixed lines, which Spark ships to each executor once; workers map it into memory and cut
-comments out of it in Arrow batches. So comments need no join and no row moves.
+of fixed lines, which Spark ships to each executor once; workers read comments out of it in
+Arrow batches. So comments need no join and no row moves.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,9 @@ from pyspark.sql import types as T
 from starmill.generator import words
 from starmill.generator.streams import MODULUS, MULTIPLIER, draw, draw_at, uniform
 
-BLOCK_DRAWS = 250_000
+BLOCK_DRAWS = 50_000
+# Blocks that a task makes, one after the other.
+TASK_BLOCKS = 5
 # No sentence uses more draws: form, five phrases of at most five draws, terminator.
 SENTENCE_DRAWS = 32
 PIECE = 1024
@@ -207,9 +211,9 @@ def build_pool(spark: SparkSession, path: str, characters: int = words.POOL_CHAR
     """
     blocks = int(characters / 4.8) // BLOCK_DRAWS + 1  # a draw adds about five characters
     while True:
-        # One row per block, at most a few hundred: the pool has a fixed size.
+        # One row per block, some 1,300: the pool has a fixed size.
         chains = sorted(
-            spark.range(0, blocks, 1, blocks).withColumnRenamed("id", "block")
+            spark.range(0, blocks, 1, -(-blocks // TASK_BLOCKS)).withColumnRenamed("id", "block")
             .mapInPandas(_chains, "block bigint, exits array<bigint>, chars array<bigint>")
             .collect(), key=lambda r: r["block"])
         entry, first, plan = 0, 0, []
@@ -224,7 +228,7 @@ def build_pool(spark: SparkSession, path: str, characters: int = words.POOL_CHAR
         blocks *= 2
     parts = (
         spark.createDataFrame(plan, "block bigint, entry bigint, first bigint, stop bigint")
-        .repartitionByRange(len(plan), "block")
+        .repartitionByRange(-(-len(plan) // TASK_BLOCKS), "block")
         .mapInPandas(_texts, "piece bigint, at bigint, part string")
     )
     pieces = parts.groupBy("piece").agg(
@@ -271,16 +275,17 @@ def comment_span(stream: str, jumped: Column, characters: int,
 def _cutter(file: str, out: str):
     """Replace the columns _at and _size by the text there."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = np.memmap(SparkFiles.get(file), np.uint8, "r")
-        for batch in batches:
-            at, size = (batch.column(c).cast(pa.int64()).to_numpy() for c in ("_at", "_size"))
-            ends = np.cumsum(size)
-            place = np.arange(int(size.sum())) + np.repeat(at - (ends - size), size)
-            data = pool[place + place // LINE]  # a line break follows each line
-            text = pa.StringArray.from_buffers(
-                len(at), pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(data))
-            kept = [c for c in batch.schema.names if c not in ("_at", "_size")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), text], names=[*kept, out])
+        # reads, not a map: pages of a map would add up to the whole pool in each worker
+        with open(SparkFiles.get(file), "rb", buffering=0) as pool:
+            for batch in batches:
+                at, size = (batch.column(c).cast(pa.int64()).to_numpy() for c in ("_at", "_size"))
+                last = at + size - 1
+                first, count = at + at // LINE, size + last // LINE - at // LINE  # a line break follows each line
+                data = b"".join(map(os.pread, repeat(pool.fileno()), count.tolist(), first.tolist())).replace(b"\n", b"")
+                ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                text = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(data))
+                kept = [c for c in batch.schema.names if c not in ("_at", "_size")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), text], names=[*kept, out])
 
     return cut
 
