@@ -149,7 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_column: str = "text") -> Model
     ).toArrow().combine_chunks()
     if len(rows.column("quality").unique()) < 2:
         return None
-    return _learn(rows, counts)
+    model = _learn(rows, counts)
+    del rows
+    pa.default_memory_pool().release_unused()  # else the driver holds the drawn rows' memory from here on
+    return model
 
 
 def _learn(rows: pa.Table, counts: dict[int, int], rounds: int = 12, batch: int = 64, rate: float = 0.08) -> Model:
