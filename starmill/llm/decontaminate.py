@@ -127,7 +127,9 @@ def _found(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame
         *KEY, F.posexplode(_shingles("words", k)).alias("place", "h"))
     hits = stored(places.join(_bounded(rarity.select("h"), rows), "h", "left_semi"), "item-hits")
     offsets = shingled.join(_bounded(sizes, many), "item").select("h", F.col("place").alias("inside"), "size").distinct()
-    starts = hits.join(_bounded(offsets, rows), "h").select(*KEY, "size", (F.col("place") - F.col("inside")).alias("start")).distinct()
+    # small tables are written, as each stage and broadcast that a query starts at once takes megabytes of the driver
+    starts = stored(hits.join(_bounded(offsets, rows), "h").select(
+        *KEY, "size", (F.col("place") - F.col("inside")).alias("start")).distinct(), "item-starts")
     after = F.lead("start").over(Window.partitionBy(*KEY, "size").orderBy("start"))
     last = F.when(after - F.col("start") <= F.greatest(F.col("size") / 4, F.lit(1)), after - 1).otherwise(F.col("start"))
     spread = starts.withColumn("last", last).select(*KEY, "size", F.explode(F.sequence("start", F.greatest("last", "start"))).alias("start"))
@@ -141,14 +143,14 @@ def _found(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame
     counted = windows.select(*SPAN, F.explode(F.expr("slice(all, start + 1, size)")).alias("h")).groupBy(*SPAN, "h").agg(
         F.count("*").alias("times"))
     weighed = stored(counted.join(_bounded(rarity, rows), "h", "left").withColumn("weight", F.coalesce("weight", rarest)), "windows")
-    of_items = shingled.groupBy("item", "item_id", "h").agg(F.count("*").alias("times")).join(rarity, "h")
+    of_items = stored(shingled.groupBy("item", "item_id", "h").agg(F.count("*").alias("times")).join(rarity, "h"), "item-counts")
     item_prints = stored(fingerprint(of_items, ["item", "item_id"]).withColumnRenamed("whole", "item_whole"), "item-prints")
     prints = stored(fingerprint(weighed, SPAN), "window-prints")
     near = within_radius(prints, item_prints.select("item", "print"), many).select(*SPAN, "item")
-    pairs = near.union(_by_weight(weighed, of_items, percent, rows)).distinct().join(prints, SPAN).join(
+    pairs = stored(near.union(_by_weight(weighed, of_items, percent, rows)).distinct().join(prints, SPAN).join(
         _bounded(item_prints.withColumnRenamed("print", "other"), many), "item").where(
         (F.col("whole") * 100 >= F.col("item_whole") * percent) & (F.col("item_whole") * 100 >= F.col("whole") * percent)).withColumn(
-        "distance", F.bit_count(F.col("print").bitwiseXOR(F.col("other")))).drop("print", "other")
+        "distance", F.bit_count(F.col("print").bitwiseXOR(F.col("other")))).drop("print", "other"), "item-pairs")
     other = of_items.select("item", "h", F.col("times").alias("item_times"))
     shared = pairs.join(weighed, SPAN).join(_bounded(other, rows), ["item", "h"]).groupBy(
         *SPAN, "item", "item_id", "distance", "whole", "item_whole").agg(

@@ -186,12 +186,12 @@ def training_set(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int
     """
     sized = stored(_sized(docs, text_column), "sized")
     counted = _classes(sized)
-    plan = _plan(counted, weights, most)
+    plan = stored(_plan(counted, weights, most), "plan")  # one row for each source, joined three times
     cell = _cut("draw", _ranges(sized, per_range))
     before = Window.partitionBy(*CLASS).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = _keyed(sized.withColumn("cell", cell), plan).groupBy(*CLASS, "cell").agg(F.count("*").alias("n")).select(
         *CLASS, "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    starts = cells.join(_placed(counted, plan, per_range).select(*CLASS, F.col("ahead").alias("start")), [*CLASS])
+    starts = stored(cells.join(_placed(counted, plan, per_range).select(*CLASS, F.col("ahead").alias("start")), [*CLASS]), "starts")
     rows = _keyed(_sized(docs, text_column, F.struct("*").alias("row")).withColumn("cell", cell), plan)
     number = F.row_number().over(Window.partitionBy(*CLASS, "cell").orderBy("draw")) - 1
     placed = _taken(rows.withColumn("number", number).join(starts, [*CLASS, "cell"]).withColumn(

@@ -333,6 +333,6 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None, text_column: str
 
 def drop_near_duplicates(docs: DataFrame, rule: Rule | None = None, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each group."""
-    kept = near_duplicates(docs, rule, text_column).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = stored(near_duplicates(docs, rule, text_column).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
     same = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", text_column])
     return same.select(docs.columns).unionByName(docs.where("doc_id is null"))
