@@ -1,7 +1,8 @@
 """Near duplicates of embeddings by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one class, named by the smallest id, before anything is compared. Classes
-are dealt by a hash into shards; each shard is indexed whole by one graph:
+are dealt by a hash into shards of so many rows and bytes at most; each shard is indexed whole by
+one graph:
 
 * A class within half the link angle of a node that the graph already has joins that node's
   ball; all others become nodes. Two classes of one ball are linked for certain (the angles
@@ -10,8 +11,13 @@ are dealt by a hash into shards; each shard is indexed whole by one graph:
   double the graph; each is joined to neighbours picked for spread, and links are made both
   ways and pruned by the same rule.
 
-Every class queries every shard, in blocks of ``BLOCK`` queries: tasks are (shard, block).
-A beam search over the graph finds the nodes that may have links. A query whose beam is full
+The graphs are one table with a row per class: its vector, its ball and, if it is a node, its
+neighbours. So no row is large, a graph reaches a task in batches, and a task holds one shard:
+its vectors once as they are and once in single precision, and the neighbours.
+
+Every class queries every shard: tasks are (shard, block of shards). A task reads its shard's
+rows of the table and then streams the block's vectors from the same table; nothing is shuffled
+or copied for that, and jobs are of ``JOB`` tasks or three per core. A beam search over the graph finds the nodes that may have links. A query whose beam is full
 of such nodes is searched again with a beam twice as wide. Then a ball counts whole where its
 angles leave no doubt, and member by member otherwise, by cosines in double precision. Links
 are counted, not listed; a task keeps only a spanning forest of its links, and components
@@ -32,23 +38,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starmill.functions.shared import shared_dir
 from starmill.llm.components import components
 from starmill.llm.stored import stored
 
 LEAST = 0.95
-#: Rows of a shard at most (in the mean), shards at least, queries of a task.
-SHARD, SHARDS, BLOCK = 250_000, 4, 16_384
+#: Rows of a shard and bytes of its vectors at most (in the mean), shards at least, queries that make a block, tasks of a job.
+SHARD, BYTES, SHARDS, BLOCK, JOB = 250_000, 64 << 20, 4, 16_384, 16
 #: Neighbours of a node above level 0 (twice as many on it), beam when building and when asking.
 NEAR, BUILD, ASK = 12, 32, 16
 AUDIT, RECALL = 2048, 0.97
 #: Queries searched side by side, and radians by which a certain answer must be clear of rounding.
 SIDE, MARGIN = 512, 1e-6
+#: Rows of a batch that a task hands on, entries of beams and numbers of vectors worked on at once.
+BATCH, BEAMS, CELLS = 8192, 1 << 19, 1 << 19
 
 
 class Graph:
@@ -97,6 +107,12 @@ class Graph:
         return nodes, cosines
 
     def search(self, asked: np.ndarray, width: int, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """As ``beam``, from the top; side by side only as many as bound the neighbours' vectors and the beams."""
+        side = min(SIDE, BEAMS // width, 4 * CELLS // (4 * NEAR * self.points.shape[1]))
+        parts = [self._search(asked[a:b], width, level) for a, b in _slices(len(asked), side)]
+        return (np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])) if parts else self._search(asked, width, level)
+
+    def _search(self, asked: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.ndarray]:
         start = np.zeros(len(asked), np.int32)
         for above in range(len(self.near) - 1, level, -1):
             start = self.beam(above, asked, start, 1)[0][:, 0]
@@ -106,19 +122,18 @@ class Graph:
 def _spread(points: np.ndarray, own: np.ndarray, nodes: np.ndarray, cosines: np.ndarray, most: int) -> np.ndarray:
     """Up to ``most`` of each row's candidates (best first), none nearer to a picked one than to the row's own."""
     picked = np.full((len(own), most), -1, np.int32)
-    count = np.zeros(len(own), np.int64)
-    for j in range(nodes.shape[1]):
-        to_picked = np.einsum("qmd,qd->qm", points[picked], points[nodes[:, j]])
-        fits = (nodes[:, j] >= 0) & (nodes[:, j] != own) & (count < most)
-        fits &= ~((picked >= 0) & (to_picked > cosines[:, j:j + 1])).any(1)
-        rows = np.flatnonzero(fits)
-        picked[rows, count[rows]] = nodes[rows, j]
-        count[rows] += 1
-    for j in range(nodes.shape[1]):  # room that is left goes to the nearest others
-        fits = (nodes[:, j] >= 0) & (nodes[:, j] != own) & (count < most) & ~(picked == nodes[:, j:j + 1]).any(1)
-        rows = np.flatnonzero(fits)
-        picked[rows, count[rows]] = nodes[rows, j]
-        count[rows] += 1
+    for a, b in _slices(len(own), CELLS // (nodes.shape[1] * max(nodes.shape[1], points.shape[1]))):
+        some, to_own = nodes[a:b], cosines[a:b]
+        held = points[some]
+        between = held @ held.transpose(0, 2, 1)
+        fits = (some >= 0) & (some != own[a:b, None])
+        taken, count = np.zeros(some.shape, bool), np.zeros(b - a, np.int64)
+        for j in range(some.shape[1]):
+            taken[:, j] = fits[:, j] & (count < most) & ~(taken[:, :j] & (between[:, :j, j] > to_own[:, j:j + 1])).any(1)
+            count += taken[:, j]
+        rank = np.where(taken, 0, np.where(fits, 1, 2))  # room that is left goes to the nearest others
+        first = np.argsort(rank, axis=1, kind="stable")[:, :most]
+        picked[a:b, : first.shape[1]] = np.where(np.take_along_axis(rank, first, 1) < 2, np.take_along_axis(some, first, 1), -1)
     return picked
 
 
@@ -132,8 +147,9 @@ def _linked_back(graph: Graph, level: int, new: np.ndarray) -> None:
     source, target = source[order], target[order]
     held, first, size = np.unique(target, return_index=True, return_counts=True)
     place = np.arange(len(target)) - np.repeat(first, size)
-    for a in range(0, len(held), SIDE):
-        some, most = held[a: a + SIDE], int(size[a: a + SIDE].max())
+    side = min(SIDE, 4 * CELLS // (graph.points.shape[1] * (room + int(size.max(initial=0)))))
+    for a, b in _slices(len(held), side):
+        some, most = held[a:b], int(size[a:b].max())
         lists = np.full((len(some), room + most), -1, np.int32)
         lists[:, :room] = near[some]
         mine = slice(*np.searchsorted(target, [some[0], some[-1] + 1]))
@@ -161,9 +177,10 @@ def _joined_up(graph: Graph) -> None:
         edge = np.zeros(1, np.int64)
         while len(edge):
             reached[edge] = True
-            edge = np.unique(near[edge])
-            edge = edge[(edge >= 0)]
-            edge = edge[~reached[edge]]
+            there = np.zeros(len(near) + 1, bool)  # the last stands for no neighbour
+            for a, b in _slices(len(edge), BATCH):
+                there[near[edge[a:b]]] = True
+            edge = np.flatnonzero(there[:-1] & ~reached)
         lost = np.flatnonzero(~reached)
         if not len(lost):
             return
@@ -175,7 +192,7 @@ def _joined_up(graph: Graph) -> None:
 
 
 def build(vectors: np.ndarray, least: float = LEAST) -> tuple[Graph, np.ndarray, np.ndarray]:
-    """(graph, node of each row, row of each node) of unit rows, of which there is at least one."""
+    """(graph, node of each row, row of each node) of rows, of which there is at least one."""
     n = len(vectors)
     half = math.cos(math.acos(least) / 2 - MARGIN)
     draw = np.random.default_rng(n).random(n)
@@ -183,21 +200,20 @@ def build(vectors: np.ndarray, least: float = LEAST) -> tuple[Graph, np.ndarray,
     order = np.argsort(-level, kind="stable")
     ball, heads = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     top = int(level.max())
-    light = vectors.astype(np.float32)
     lists = [np.full((int((level >= k).sum()), NEAR * (4 if k == 0 else 2)), -1, np.int32) for k in range(top + 1)]
-    graph = Graph(np.zeros_like(light), [0] * (top + 1), lists)
+    graph = Graph(np.zeros(vectors.shape, np.float32), [0] * (top + 1), lists)
     made, done = 0, 0
     while done < n:
         batch = order[done: done + max(1, min(done, SIDE))]
         done += len(batch)
-        fresh = batch
+        fresh, light = batch, unit(vectors[batch]).astype(np.float32)
         if made:
-            nodes, cosines = graph.search(light[batch], BUILD)
+            nodes, cosines = graph.search(light, BUILD)
             joins = cosines[:, 0] >= half
             ball[batch[joins]] = nodes[joins, 0]
-            fresh = batch[~joins]
+            fresh, light = batch[~joins], light[~joins]
         # what joins no ball of the graph may join one that the batch itself begins
-        cross = light[fresh] @ light[fresh].T
+        cross = light @ light.T
         begun: list[int] = []
         for k in range(len(fresh)):
             if begun and cross[k, begun].max() >= half:
@@ -211,7 +227,7 @@ def build(vectors: np.ndarray, least: float = LEAST) -> tuple[Graph, np.ndarray,
         new, inside = fresh[head], cross[np.ix_(head, head)]
         np.fill_diagonal(inside, -np.inf)
         own = np.arange(made, made + len(head), dtype=np.int32)
-        graph.points[own], heads[own] = light[new], new
+        graph.points[own], heads[own] = light[head], new
         made += len(head)
         for k in range(top, -1, -1):
             here = np.flatnonzero(level[new] >= k)
@@ -223,7 +239,7 @@ def build(vectors: np.ndarray, least: float = LEAST) -> tuple[Graph, np.ndarray,
             cosines = np.take_along_axis(close, few, 1)
             nodes = np.where(cosines > -np.inf, own[here][few], -1)
             if graph.counts[k]:
-                old = graph.search(light[new[here]], BUILD, k)
+                old = graph.search(graph.points[own[here]], BUILD, k)
                 nodes, cosines = np.concatenate((old[0], nodes), 1), np.concatenate((old[1], cosines), 1)
             best = np.argsort(-cosines, axis=1, kind="stable")
             nodes, cosines = np.take_along_axis(nodes, best, 1), np.take_along_axis(cosines, best, 1)
@@ -242,46 +258,58 @@ def build(vectors: np.ndarray, least: float = LEAST) -> tuple[Graph, np.ndarray,
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows of length 1 in double precision; very large and very small entries are scaled first."""
     made = vectors.astype(float)
-    made = made / np.abs(made).max(1, keepdims=True)
-    return made / np.linalg.norm(made, axis=1, keepdims=True)
+    made /= np.abs(made).max(1, keepdims=True)
+    made /= np.linalg.norm(made, axis=1, keepdims=True)
+    return made
 
 
 class Shard:
-    """A shard's graph with the balls of its nodes, each sorted by angle from the node."""
-
-    def __init__(self, graph: Graph, points: np.ndarray, ids: np.ndarray, sizes: np.ndarray, ball: np.ndarray,
-                 heads: np.ndarray, least: float = LEAST):
-        self.graph, self.points, self.ids, self.sizes, self.heads = graph, points, ids, sizes, heads
-        self.least, self.reach = least, math.acos(least)
-        angle = np.arccos(np.clip(np.einsum("qd,qd->q", points, points[heads[ball]]), -1, 1))
-        angle[heads] = 0
+    """A shard's graph with the balls of its nodes, each sorted by angle from the node; the first rows are the nodes."""
+
+    def __init__(self, near: list[np.ndarray], raw: np.ndarray, ids: np.ndarray, sizes: np.ndarray, ball: np.ndarray,
+                 least: float = LEAST):
+        self.raw, self.ids, self.sizes, self.ball = raw, ids, sizes, ball
+        self.nodes, self.least, self.reach = len(near[0]), least, math.acos(least)
+        light = np.empty((self.nodes, raw.shape[1]), np.float32)
+        for a, b in _slices(self.nodes, CELLS // raw.shape[1]):
+            light[a:b] = unit(raw[a:b])
+        self.graph = Graph(light, [len(x) for x in near], near)
+        angle = np.zeros(len(raw))
+        for a, b in _slices(len(raw), CELLS // raw.shape[1], self.nodes):
+            angle[a:b] = np.arccos(np.clip(np.einsum("qd,qd->q", unit(raw[a:b]), unit(raw[ball[a:b]])), -1, 1))
         self.order = np.lexsort((angle, ball))
         self.key = 10.0 * ball[self.order] + angle[self.order]
-        self.end = np.searchsorted(ball[self.order], np.arange(len(heads)), "right")
+        self.end = np.searchsorted(ball[self.order], np.arange(self.nodes), "right")
         self.summed = np.concatenate(([0], np.cumsum(sizes[self.order])))
         self.widest = angle[self.order][self.end - 1]
-        self.ball = dict(zip(ids.tolist(), ball.tolist(), strict=True))
+        self.by_id = np.argsort(ids)
 
     def near_nodes(self, asked: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs of nodes near enough to have links, by beams that widen while full of them."""
         bound = math.cos(min(self.reach + float(self.widest.max()) + MARGIN, math.pi)) - 1e-5
-        found, left, width = [], np.arange(len(asked)), min(width, len(self.heads))
+        found, left, width = [], np.arange(len(asked)), min(width, self.nodes)
         while len(left):
-            nodes, cosines = self.graph.search(asked[left], width)
-            wider = (nodes[:, -1] >= 0) & (cosines[:, -1] >= bound) & (width < len(self.heads))
-            row, at = np.nonzero((cosines >= bound) & ~wider[:, None])
-            found.append((left[row], nodes[row, at].astype(np.int64)))
-            left, width = left[wider], min(2 * width, len(self.heads))
+            again = []
+            for a, b in _slices(len(left), BEAMS // width):
+                some = left[a:b]
+                nodes, cosines = self.graph.search(asked[some], width)
+                wider = (nodes[:, -1] >= 0) & (cosines[:, -1] >= bound) & (width < self.nodes)
+                row, at = np.nonzero((cosines >= bound) & ~wider[:, None])
+                found.append((some[row], nodes[row, at].astype(np.int64)))
+                again.append(some[wider])
+            left, width = np.concatenate(again), min(2 * width, self.nodes)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
 
     def links(self, ids: np.ndarray, asked: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(links of each query beside itself, queries and nodes of a (query, node) list where one holds)."""
         row, node = self.near_nodes(asked.astype(np.float32), width)
-        own = np.array([self.ball.get(i, -1) for i in ids.tolist()], np.int64)
-        here = np.flatnonzero(own >= 0)
-        pair = np.unique(np.concatenate((row * len(self.heads) + node, here * len(self.heads) + own[here])))
-        row, node = pair // len(self.heads), pair % len(self.heads)
-        away = np.arccos(np.clip(self._cosines(asked, row, self.heads[node]), -1, 1))
+        place = self.by_id[np.minimum(np.searchsorted(self.ids, ids, sorter=self.by_id), len(self.ids) - 1)]
+        inside = self.ids[place] == ids
+        own, own_size = np.where(inside, self.ball[place], -1), np.where(inside, self.sizes[place], 0)
+        here = np.flatnonzero(inside)
+        pair = np.unique(np.concatenate((row * self.nodes + node, here * self.nodes + own[here])))
+        row, node = pair // self.nodes, pair % self.nodes
+        away = np.arccos(np.clip(self._cosines(asked, row, node), -1, 1))
         begin = np.concatenate(([0], self.end[:-1]))[node]
         # up to ``sure`` all are linked, from ``far`` on none before ``sure`` was: between them they are compared
         sure = np.maximum(np.searchsorted(self.key, 10.0 * node + np.maximum(self.reach - away - MARGIN, -1), "right"), begin)
@@ -295,24 +323,24 @@ class Shard:
             fits = self._cosines(asked, row[which], member) >= self.least
             np.add.at(count, which[fits], self.sizes[member[fits]])
         mine = node == own[row]
-        some = count > np.where(mine, self._own_sizes(ids)[row], 0)
+        some = count > np.where(mine, own_size[row], 0)
         total = np.zeros(len(ids), np.int64)
         np.add.at(total, row, count)
-        return total - np.where(own >= 0, self._own_sizes(ids), 0), row[some], node[some]
-
-    def _own_sizes(self, ids: np.ndarray) -> np.ndarray:
-        order = np.argsort(self.ids)
-        at = np.minimum(np.searchsorted(self.ids, ids, sorter=order), len(self.ids) - 1)
-        return np.where(self.ids[order[at]] == ids, self.sizes[order[at]], 0)
+        return total - own_size, row[some], node[some]
 
     def _cosines(self, asked: np.ndarray, row: np.ndarray, member: np.ndarray) -> np.ndarray:
         made = np.empty(len(row))
-        for a in range(0, len(row), 100_000):
-            part = slice(a, a + 100_000)
-            made[part] = np.einsum("qd,qd->q", asked[row[part]], self.points[member[part]])
+        for a, b in _slices(len(row), CELLS // self.raw.shape[1]):
+            made[a:b] = np.einsum("qd,qd->q", asked[row[a:b]], unit(self.raw[member[a:b]]))
         return made
 
 
+def _slices(n: int, most: int, start: int = 0) -> Iterator[tuple[int, int]]:
+    """Ranges from ``start`` to n of ``most`` entries, one at least."""
+    for a in range(start, n, max(1, most)):
+        yield a, min(a + max(1, most), n)
+
+
 def _pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of entries whose sizes add up to about ``most``."""
     a, ends = 0, np.cumsum(sizes)
@@ -341,61 +369,158 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return kept
 
 
-def _rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One list of so many values per row."""
+    at = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=at[1:])
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(values))
+
+
+LINKS = "c bigint, other bigint, links bigint"
+#: ``place``: nodes as the graph numbers them, then all others; ``near``: a node's neighbours, level by level.
+INDEX = "width int, place int, rows int, nodes int, c bigint, size bigint, vector array<{}>, ball int, near array<int>, shard int"
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's rows with its graph."""
+    vectors, ids, sizes = [], [], []
+    for batch in batches:
+        width, shard = batch.column("width")[0].as_py(), batch.column("shard")[0].as_py()
+        vectors.append(_rows(batch.column("vector"), width))
+        ids.append(batch.column("c").to_numpy())
+        sizes.append(batch.column("size").to_numpy())
+    raw, ids, sizes = (np.concatenate(x) for x in (vectors, ids, sizes))
+    vectors.clear()
+    graph, ball, heads = build(raw)
+    n, nodes = len(raw), len(heads)
+    others = np.ones(n, bool)
+    others[heads] = False
+    order = np.concatenate((heads, np.flatnonzero(others)))
+    del graph.points
+    for a, b in _slices(n, BATCH):
+        some, m = order[a:b], max(0, min(b, nodes) - a)
+        held = [max(0, min(m, c - a)) for c in graph.counts]  # nodes of the slice that each level has
+        rooms = [x.shape[1] for x in graph.near]
+        length = np.zeros(b - a, np.int64)
+        for h, room in zip(held, rooms, strict=True):
+            length[:h] += room
+        flat, at = np.empty(int(length.sum()), np.int32), np.cumsum(length) - length
+        for h, room, near in zip(held, rooms, graph.near, strict=True):
+            flat[at[:h, None] + np.arange(room)] = near[a: a + h]
+            at[:h] += room
+        every = np.ones(b - a, np.int32)
+        yield pa.RecordBatch.from_pydict({
+            "width": every * raw.shape[1], "place": np.arange(a, b, dtype=np.int32), "rows": every * n, "nodes": every * nodes,
+            "c": ids[some], "size": sizes[some], "vector": _lists(raw[some].ravel(), np.full(b - a, raw.shape[1])),
+            "ball": ball[some].astype(np.int32), "near": _lists(flat, length), "shard": every * shard})
+
+
+class _Loading:
+    """A shard on its way in, row by row in the order of ``place``."""
+
+    def __init__(self, first: pa.RecordBatch):
+        n, nodes, self.width = (first.column(x)[0].as_py() for x in ("rows", "nodes", "width"))
+        self.raw = np.empty((n, self.width), first.column("vector").type.value_type.to_pandas_dtype())
+        self.ids, self.sizes, self.ball = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+        self.near, self.nodes, self.upper, self.done = np.empty((nodes, 4 * NEAR), np.int32), nodes, [], 0
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        to = slice(self.done, self.done + rows.num_rows)
+        assert rows.column("place")[0].as_py() == self.done and to.stop <= len(self.raw)
+        self.raw[to] = _rows(rows.column("vector"), self.width)
+        for into, name in ((self.ids, "c"), (self.sizes, "size"), (self.ball, "ball")):
+            into[to] = rows.column(name).to_numpy()
+        near = rows.column("near")
+        length, values = near.value_lengths().to_numpy(), near.flatten().to_numpy(zero_copy_only=False)
+        at, m = np.cumsum(length) - length, max(0, min(to.stop, self.nodes) - to.start)
+        self.near[to.start: to.start + m] = values[at[:m, None] + np.arange(4 * NEAR)]
+        for k in range(int(length.max() - 4 * NEAR) // (2 * NEAR)):
+            here = np.flatnonzero(length >= 4 * NEAR + 2 * NEAR * (k + 1))
+            if k == len(self.upper):
+                self.upper.append([])
+            self.upper[k].append(values[at[here, None] + 4 * NEAR + 2 * NEAR * k + np.arange(2 * NEAR)])
+        self.done = to.stop
+
+    def shard(self) -> Shard:
+        assert self.done == len(self.raw)
+        return Shard([self.near, *(np.concatenate(x) for x in self.upper)], self.raw, self.ids, self.sizes, self.ball)
 
 
-_PAYLOAD = ["vectors", "ids", "sizes", "ball", "heads"]
-PAYLOAD = "width int, shard int, kind string, counts array<int>, near array<binary>, " + ", ".join(f"{x} binary" for x in _PAYLOAD)
+def _asker(beam: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of each query (``other`` -1), then a forest of its shard's edges."""
+        loading = shard = asked = None
+        for batch in batches:
+            place = batch.column("place").fill_null(-1).to_numpy()
+            kind = np.stack((batch.column("shard").to_numpy(), batch.column("width").to_numpy(), place < 0), 1)
+            cuts = [0, *(np.flatnonzero((kind[1:] != kind[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                rows, of = batch.slice(a, b - a), tuple(kind[a, :2])
+                if place[a] >= 0:
+                    if of != asked:
+                        loading = shard = None  # before the next one takes room
+                        loading, asked = _Loading(rows), of
+                    loading.add(rows)
+                    continue
+                if of != asked:
+                    continue  # the shard has no vector of this width
+                shard = shard or loading.shard()
+                yield _answers(shard, rows.column("c").to_numpy(), _rows(rows.column("vector"), shard.raw.shape[1]), beam)
 
+    return ask
 
-def _indexed(rows: pa.Table) -> pa.Table:
-    width = rows.column("width")[0].as_py()
-    raw = _rows(rows.column("vector"), width)
-    graph, ball, heads = build(unit(raw))
-    arrays = [raw, rows.column("c").to_numpy(), rows.column("size").to_numpy(), ball, heads]
-    return pa.table({
-        "width": pa.array([width], pa.int32()), "shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()),
-        "kind": [raw.dtype.str], "counts": pa.array([graph.counts], pa.list_(pa.int32())),
-        "near": pa.array([[x.tobytes() for x in graph.near]], pa.list_(pa.binary())),
-        **{name: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for name, x in zip(_PAYLOAD, arrays, strict=True)}})
 
+def _answers(shard: Shard, ids: np.ndarray, raw: np.ndarray, beam: int) -> pa.RecordBatch:
+    made = {"c": [], "other": [], "links": []}
+    for a, b in _slices(len(ids), SIDE):
+        part = ids[a:b]
+        total, row, node = shard.links(part, unit(raw[a:b]), beam)
+        some = np.flatnonzero(total)
+        one, two = part[row], shard.ids[node]
+        kept = forest(one, two)
+        made["c"] += [part[some], one[kept]]
+        made["other"] += [np.full(len(some), -1), two[kept]]
+        made["links"] += [total[some], np.zeros(len(kept), np.int64)]
+    return pa.RecordBatch.from_pydict({k: np.concatenate(v).astype(np.int64) for k, v in made.items()})
 
-def _restored(row: dict) -> Shard:
-    raw = np.frombuffer(row["vectors"], row["kind"]).reshape(-1, row["width"])
-    ids, sizes, ball, heads = (np.frombuffer(row[x], np.int64) for x in _PAYLOAD[1:])
-    points = unit(raw)
-    near = [np.frombuffer(x, np.int32).reshape(c, -1) for c, x in zip(row["counts"], row["near"], strict=True)]
-    return Shard(Graph(points[heads].astype(np.float32), row["counts"], near), points, ids, sizes, ball, heads)
 
+def _task(index: DataFrame, shard: int, block: list[int]) -> DataFrame:
+    """One partition: by width, the rows of a shard in their order, then those of a block of shards, without place."""
+    return index.where(F.col("shard") == shard).unionByName(
+        index.where(F.col("shard").isin(block)).select("width", "c", "vector"), allowMissingColumns=True).withColumn(
+        "shard", F.lit(shard)).coalesce(1).sortWithinPartitions("width", F.asc_nulls_last("place"))
 
-def _asker(beam: int):
-    def ask(graphs: pa.Table, queries: pa.Table) -> pa.Table:
-        """Links of each query (``other`` null), then a forest of its shard's edges."""
-        made = {"c": [], "other": [], "links": []}
-        if graphs.num_rows and queries.num_rows:
-            shard = _restored(graphs.slice(0, 1).to_pylist()[0])
-            ids, asked = queries.column("c").to_numpy(), unit(_rows(queries.column("vector"), queries.column("width")[0].as_py()))
-            for a in range(0, len(ids), SIDE):
-                part = slice(a, a + SIDE)
-                total, row, node = shard.links(ids[part], asked[part], beam)
-                some = np.flatnonzero(total)
-                one, two = ids[part][row], shard.ids[shard.heads[node]]
-                kept = forest(one, two)
-                made["c"] += [ids[part][some], one[kept]]
-                made["other"] += [np.full(len(some), -1), two[kept]]
-                made["links"] += [total[some], np.zeros(len(kept), np.int64)]
-        return pa.table({k: np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for k, v in made.items()})
 
-    return ask
+def _tasks(index: DataFrame, some: list[tuple[int, list[int]]]) -> DataFrame:
+    """A partition for each (shard, block).
+
+    Spark puts single partitions together if all children of a union have one (spark.sql.unionOutputPartitioning);
+    a scan without rows, whose partitioning is not known, keeps them apart.
+    """
+    return reduce(DataFrame.unionByName, [_task(index, *x) for x in some], index.where("shard < 0"))
+
+
+def _asked(index: DataFrame, shards: int, blocks: int, beam: int) -> DataFrame:
+    """c, other, links of all classes and shards; block b holds the shards that leave b when divided by ``blocks``."""
+    spark, path = index.sparkSession, shared_dir(index.sparkSession, "small-world-links")
+    every = [(s, list(range(b, shards, blocks))) for s in range(shards) for b in range(blocks)]
+    for a, b in _slices(len(every), max(JOB, 3 * spark.sparkContext.defaultParallelism)):
+        _tasks(index, every[a:b]).mapInArrow(_asker(beam), LINKS).write.mode("append").parquet(path)
+    return spark.read.schema(LINKS).parquet(path)
 
 
 def _audited(classes: DataFrame, found: DataFrame) -> tuple[int, int]:
     """(links found, links there) of ``AUDIT`` classes drawn by a hash, against brute force."""
     drawn = classes.orderBy(F.xxhash64("c"), "c").limit(AUDIT).select("c", "width", "vector")
-    sample = drawn.toArrow()
+    sample = drawn.toArrow().combine_chunks()
     ids, widths = sample.column("c").to_numpy(), sample.column("width").to_numpy()
-    points = {int(w): unit(_rows(sample.filter(pa.array(widths == w)).column("vector"), int(w))) for w in np.unique(widths)}
+    points = {int(w): unit(_rows(sample.filter(pa.array(widths == w)).column("vector").combine_chunks(), int(w))) for w in np.unique(widths)}
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
@@ -403,12 +528,12 @@ def _audited(classes: DataFrame, found: DataFrame) -> tuple[int, int]:
             for w in np.unique(batch.column("width").to_numpy()).tolist():
                 if w not in points:
                     continue
-                part = pa.table(batch.filter(pa.array(batch.column("width").to_numpy() == w)))
-                other, size, own = unit(_rows(part.column("vector"), w)), part.column("size").to_numpy(), part.column("c").to_numpy()
-                for a in range(0, len(own), SIDE):
-                    near = other[a: a + SIDE] @ points[w].T >= LEAST
-                    near &= own[a: a + SIDE, None] != ids[widths == w][None]
-                    total += int((near * size[a: a + SIDE, None]).sum())
+                part = batch.filter(pa.array(batch.column("width").to_numpy() == w))
+                other, size, own = _rows(part.column("vector"), w), part.column("size").to_numpy(), part.column("c").to_numpy()
+                for a, b in _slices(len(own), SIDE):
+                    near = unit(other[a:b]) @ points[w].T >= LEAST
+                    near &= own[a:b, None] != ids[widths == w][None]
+                    total += int((near * size[a:b, None]).sum())
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
 
     there = classes.select("c", "width", "vector", "size").mapInArrow(compare, "n bigint").agg(F.sum("n")).first()[0] or 0
@@ -432,20 +557,16 @@ def near_duplicates(table: DataFrame, vector_column: str = "embedding") -> DataF
     classes = stored(rows.where("vector is not null").groupBy("h1", "h2").agg(
         F.min("vec_id").alias("node"), F.count("*").alias("size"), F.first("vector").alias("vector")).select(
         "*", F.size("vector").alias("width"), F.monotonically_increasing_id().alias("c")), "small-world-classes")
-    n = classes.count()
-    shards, blocks = max(SHARDS, -(-n // SHARD)), max(1, -(-n // BLOCK))
-    graphs = stored(classes.select(
-        "c", "size", "vector", "width", F.expr(f"cast(pmod(xxhash64(c), {shards}) as int)").alias("shard")).groupBy(
-        "width", "shard").applyInArrow(_indexed, PAYLOAD), "small-world-graphs")
-    each = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = classes.select(
-        "c", "vector", "width", F.expr(f"cast(pmod(xxhash64(c, 17), {blocks}) as int)").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    key = ["width", "shard", "block"]
+    n, cells = (x or 0 for x in classes.agg(F.count("*"), F.sum("width")).first())
+    shards = max(SHARDS, -(-n // SHARD), -(-cells * (8 if double else 4) // BYTES))
+    blocks = max(1, min(shards, -(-n // BLOCK)))
+    path = shared_dir(table.sparkSession, "small-world-index")
+    classes.select("c", "size", "vector", "width", F.expr(f"cast(pmod(xxhash64(c), {shards}) as int)").alias("shard")).groupBy(
+        "width", "shard").applyInArrow(_indexed, INDEX.format(kind)).write.partitionBy("shard").parquet(path)
+    index = table.sparkSession.read.schema(INDEX.format(kind)).parquet(path)
     beam = ASK
     while True:
-        found = stored(each.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(
-            _asker(beam), "c bigint, other bigint, links bigint"), "small-world-links")
+        found = _asked(index, shards, blocks, beam)
         seen, there = _audited(classes, found)
         if seen >= RECALL * there or beam >= max(SHARD, n):
             break

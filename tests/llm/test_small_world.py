@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from starmill.llm import small_world
@@ -129,3 +131,65 @@ def test_every_node_is_reached(n):
 def test_forest_connects_the_same():
     a, b = np.array([5, 5, 3, 1, 9, 3]), np.array([3, 1, 1, 5, 8, 5])
     assert len(small_world.forest(a, b)) == 3
+
+
+def given(points, size=500, shard=3):
+    """Batches of a shard's classes."""
+    for a in range(0, len(points), size):
+        part = points[a: a + size]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)), pa.array(part.ravel()))
+        yield pa.RecordBatch.from_pydict({
+            "c": np.arange(a, a + len(part)), "size": np.ones(len(part), np.int64), "vector": lists,
+            "width": np.full(len(part), part.shape[1], np.int32), "shard": np.full(len(part), shard, np.int32)})
+
+
+def test_a_graph_travels_as_rows(monkeypatch):
+    monkeypatch.setattr(small_world, "BATCH", 100)
+    points = np.array(vectors(6, 500, 40, 3), np.float32)
+    graph, ball, heads = small_world.build(points)
+    made = list(small_world._indexed(given(points)))
+    assert len(made) == -(-len(points) // 100) and max(b.nbytes for b in made) < 100_000
+    loading = small_world._Loading(made[0])
+    for batch in made:
+        loading.add(batch)
+    shard = loading.shard()
+    assert (shard.ids[: len(heads)] == heads).all() and (shard.raw == points[shard.ids]).all() and (shard.ball == ball[shard.ids]).all()
+    assert len(shard.graph.near) == len(graph.near) and all((a == b).all() for a, b in zip(shard.graph.near, graph.near, strict=True))
+    assert np.abs(shard.graph.points - graph.points).max() < 1e-6
+
+
+def test_a_task_holds_a_shard_about_twice():
+    points = np.random.default_rng(7).standard_normal((6000, 512)).astype(np.float32)
+    batches = list(given(points))
+    tracemalloc.start()
+    made = list(small_world._indexed(iter(batches)))
+    built = tracemalloc.get_traced_memory()[1]
+    tracemalloc.clear_traces()
+    loading = small_world._Loading(made[0])
+    for batch in made:
+        loading.add(batch)
+    small_world._answers(loading.shard(), np.arange(600), points[:600], 16)
+    asked = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(built, asked) < 2 * points.nbytes + 40e6  # 12.3 MB of vectors
+
+
+def test_each_task_is_a_partition_and_no_vector_is_shuffled(spark, plan, tmp_path):
+    made = [b for s in range(3) for b in small_world._indexed(given(np.array(vectors(s, 20, 3, 2), np.float32), shard=s))]
+    at = str(tmp_path / "index")
+    spark.createDataFrame(pa.Table.from_batches(made)).write.partitionBy("shard").parquet(at)
+    index = spark.read.schema(small_world.INDEX.format("float")).parquet(at)
+    tasks = small_world._tasks(index, [(0, [0, 2]), (1, [0]), (2, [1, 2]), (5, [0])])
+    assert [n for n in tasks.rdd.glom().map(len).collect() if n] == [38 * 3, 38 * 2, 38 * 3, 38]
+    assert "Exchange" not in plan(tasks)
+    first = tasks.rdd.glom().collect()[0] or tasks.rdd.glom().collect()[1]
+    assert [r.place for r in first] == [*range(38), *[None] * 76] and {r.shard for r in first} == {0}
+
+
+def test_many_small_shards_and_jobs_of_two_widths(spark, monkeypatch):
+    monkeypatch.setattr(small_world, "BYTES", 1_000)
+    monkeypatch.setattr(small_world, "BLOCK", 40)
+    monkeypatch.setattr(small_world, "JOB", 1)
+    rows = list(enumerate(vectors(8, 80, 10, 4) + vectors(9, 40, 5, 2, 8)))
+    random.Random(2).shuffle(rows)
+    assert found(spark, rows) == brute(rows)
