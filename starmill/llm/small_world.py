@@ -51,7 +51,7 @@ from starmill.llm.stored import stored
 
 LEAST = 0.95
 #: Rows of a shard and bytes of its vectors at most (in the mean), shards at least, queries that make a block, tasks of a job.
-SHARD, BYTES, SHARDS, BLOCK, JOB = 250_000, 64 << 20, 4, 16_384, 16
+SHARD, BYTES, SHARDS, BLOCK, JOB = 160_000, 40 << 20, 4, 16_384, 16
 #: Neighbours of a node above level 0 (twice as many on it), beam when building and when asking.
 NEAR, BUILD, ASK = 12, 32, 16
 AUDIT, RECALL = 2048, 0.97
